@@ -42,3 +42,7 @@ def millis(c: Column) -> Column:
 def minutes_or(c: Column, fallback: int) -> Column:
     """Non-positive or missing settings take the fallback."""
     return F.when(c > 0, c).otherwise(F.lit(fallback))
+
+
+def minutes_us(c: Column) -> Column:
+    return c.cast("bigint") * F.lit(60_000_000)

@@ -16,9 +16,11 @@ def replay_batch(letters: DataFrame, size: int = REPLAY_BATCH) -> DataFrame:
 
 
 def remaining(letters: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Letters left after a replay: failed, unparsable and beyond the batch."""
-    done = replayed.select("raw").distinct()
-    return letters.join(done, "raw", "left_anti")
+    """Lines left after a replay: failed, unparsable and beyond the batch.
+
+    Equal lines are counted, so a second copy of a replayed line stays.
+    """
+    return letters.select("raw").exceptAll(replayed.select("raw"))
 
 
 def backlog(letters: DataFrame, batch: DataFrame, replayed: DataFrame, threshold: int = ALERT_BACKLOG) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_base58, is_identifier, strip
-from ..functions.timing import parse_rfc3339
+from ..functions.timing import minutes_us, parse_rfc3339
 from ..session import dimension
 
 HISTORY_COLUMNS = ("timestamp", "program_id", "event_type", "signature", "payload")
@@ -115,7 +115,7 @@ def due_monitors(monitors: DataFrame, last_evaluated: DataFrame, now: str) -> Da
     age = F.unix_micros(utc_bound(now).cast("timestamp")) - F.unix_micros(
         F.col("last_evaluated_at").cast("timestamp")
     )
-    due = F.col("last_evaluated_at").isNull() | (age >= wait * F.lit(60_000_000))
+    due = F.col("last_evaluated_at").isNull() | (age >= minutes_us(wait))
     return monitors.where("is_active").join(last_evaluated, "monitor_id", "left").where(due)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.scoring import threshold_met
 from ..functions.signing import dedupe_key
 from ..functions.text import is_base58, is_http_url, strip
-from ..functions.timing import minutes_or, rfc3339
+from ..functions.timing import minutes_or, minutes_us, rfc3339
 from .guard import clean_sql, guarded_query, reject_reason
 from .history import utc_bound
 
@@ -190,14 +190,13 @@ def evaluate(
         F.col("threshold"), F.col("value"),
     )
     triggered = threshold_met(F.col("value"), F.col("comparator"), F.col("threshold"))
-    minute = F.lit(60_000_000)
     age = F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("last_triggered_at").cast("timestamp"))
-    cooling = F.coalesce((F.col("cooldown_minutes") > 0) & (age < F.col("cooldown_minutes") * minute), F.lit(False))
+    cooling = F.coalesce((F.col("cooldown_minutes") > 0) & (age < minutes_us(F.col("cooldown_minutes"))), F.lit(False))
     repeated = F.coalesce(
         (F.col("dedupe_minutes") > 0)
         & (strip(F.col("last_fingerprint")) != "")
         & (F.col("last_fingerprint") == F.col("dedupe_key"))
-        & (age < F.col("dedupe_minutes") * minute),
+        & (age < minutes_us(F.col("dedupe_minutes"))),
         F.lit(False),
     )
     failed = F.col("triggered").isNull()

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timing import minutes_us
+
 FAN_IN = 64
 CHUNK_ROWS = 1_000_000
 MAX_PERIODS = 4096
@@ -325,8 +327,7 @@ def suppress_alerts(triggered: DataFrame, **tuning) -> DataFrame:
     Needs monitor_id, evaluation_id, evaluated_at, cooldown_minutes,
     dedupe_minutes and dedupe_key; adds delivery_state and last_sent_us.
     """
-    minute = 60_000_000
-    quiet = F.greatest("cooldown_minutes", F.lit(0)) * F.lit(minute)
+    quiet = minutes_us(F.greatest("cooldown_minutes", F.lit(0)))
     at_us = F.unix_micros(F.col("evaluated_at").cast("timestamp"))
     ruled = apply_quiet_rule(
         triggered,
@@ -334,7 +335,7 @@ def suppress_alerts(triggered: DataFrame, **tuning) -> DataFrame:
         at_us,
         F.col("evaluation_id"),
         quiet,
-        F.greatest("dedupe_minutes", F.lit(0)) * F.lit(minute),
+        minutes_us(F.greatest("dedupe_minutes", F.lit(0))),
         F.btrim("dedupe_key"),
         **tuning,
     )

@@ -35,7 +35,10 @@ def append_dead_letters(letters: DataFrame, path: str) -> None:
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     """Parsed letters; unparsable lines stay as raw text with a NULL record."""
-    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    return parse_dead_letters(spark.read.text(path).where(strip(F.col("value")) != ""))
+
+
+def parse_dead_letters(lines: DataFrame) -> DataFrame:
     parsed = F.from_json(strip(F.col("value")), schemas.DEAD_LETTER, {"mode": "PERMISSIVE"})
     whole = parsed["event"]["event_id"].isNotNull() & parsed["failed_at_unix_ms"].isNotNull()
     return lines.select(
