@@ -24,6 +24,11 @@ _HTTP_URL = (
 )
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(c, F.lit(WHITE_SPACE))

@@ -29,21 +29,18 @@ DEFAULT_ROWS, MAX_ROWS, MAX_VALUES, SAMPLE_ROWS = 100, 1000, 100, 20
 _EDGE_BEFORE, _EDGE_AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 
+_FORMAT_CLAUSE = r"(?i)[\t\n\f\r ]+format[\t\n\f\r ]+[a-z_0-9]+[\t\n\f\r ]*\z"
+
+
 def clean_sql(text: Column) -> Column:
     """Trim, one trailing ';', code fences and a trailing FORMAT clause removed."""
     c = strip(text)
-    c = strip(F.when(c.endswith(";"), _drop_last(c)).otherwise(c))
-    c = F.when(c.startswith("```sql"), strip(F.substring(c, F.lit(7), F.length(c)))).otherwise(c)
-    c = F.when(c.startswith("```"), strip(F.substring(c, F.lit(4), F.length(c)))).otherwise(c)
-    c = strip(F.when(c.endswith("```"), F.left(c, F.length(c) - 3)).otherwise(c))
-    return strip(F.regexp_replace(c, r"(?i)[\t\n\f\r ]+format[\t\n\f\r ]+[a-z_0-9]+[\t\n\f\r ]*\z", ""))
-
-
-def _drop_last(c: Column) -> Column:
-    return F.left(c, F.length(c) - 1)
+    for edge in (r";\z", r"^```sql", r"^```", r"```\z", _FORMAT_CLAUSE):
+        c = strip(F.regexp_replace(c, edge, ""))
+    return c
 
 
-def reject_reason(raw: Column, cleaned: Column) -> Column:
+def reject_reason(cleaned: Column) -> Column:
     """First broken rule, NULL for an acceptable text."""
     low = F.lower(cleaned)
     unsafe = rf"(?iu){_EDGE_BEFORE}(?:{'|'.join(FORBIDDEN)}){_EDGE_AFTER}"
@@ -64,7 +61,7 @@ def reject_reason(raw: Column, cleaned: Column) -> Column:
 def guard_texts(texts: DataFrame, column: str) -> DataFrame:
     """Add clean_sql and reject_reason to a table of query texts."""
     cleaned = texts.withColumn("clean_sql", clean_sql(F.col(column)))
-    return cleaned.withColumn("reject_reason", reject_reason(F.col(column), F.col("clean_sql")))
+    return cleaned.withColumn("reject_reason", reject_reason(F.col("clean_sql")))
 
 
 def references_table(text: Column, table: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scoring import threshold_met
 from ..functions.signing import dedupe_key
-from ..functions.text import is_base58, is_http_url, strip
+from ..functions.text import bind, is_base58, is_http_url, strip
 from ..functions.timing import minutes_or, minutes_us, rfc3339
 from .guard import clean_sql, guarded_query, reject_reason
 from .history import utc_bound
@@ -53,8 +53,7 @@ def validate_monitors(requests: DataFrame) -> DataFrame:
     made = normalized_monitors(requests)
     stamp = F.lit("2000-01-01T00:00:00Z")
     rendered = render_template(F.col("query_template"), F.coalesce("program_id", F.lit("")), stamp, stamp)
-    made = made.withColumn("_sql", clean_sql(rendered))
-    unsafe = reject_reason(F.col("_sql"), F.col("_sql"))
+    unsafe = bind(clean_sql(rendered), reject_reason)
 
     def blank(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) == ""
@@ -71,8 +70,8 @@ def validate_monitors(requests: DataFrame) -> DataFrame:
     )
     for name, cap in CAPS.items():
         reason = reason.when(F.col(name) > cap, f"{name} cannot exceed {cap}")
-    reason = reason.when(unsafe.isNotNull(), F.concat(F.lit("query_template is invalid: "), unsafe))
-    return made.withColumn("reject_reason", reason).drop("_sql")
+    reason = F.coalesce(reason, F.concat(F.lit("query_template is invalid: "), unsafe))
+    return made.withColumn("reject_reason", reason)
 
 
 def accepted_monitors(requests: DataFrame) -> DataFrame:

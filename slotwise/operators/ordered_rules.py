@@ -201,7 +201,7 @@ def _state(carry: pd.DataFrame) -> tuple | None:
     return int(row["c_at"]), row["c_mark"], int(row["c_n"])
 
 
-def _mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
     pdf = pdf.sort_values(["at", "tie"], kind="stable")
     at = pdf["at"].to_numpy(np.int64)
     mark = pdf["mark"].to_numpy(object)
@@ -228,13 +228,36 @@ def _mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
 
 
 def _mark_alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return _mark_rows(pdf, None)
+    return mark_rows(pdf, None)
 
 
 def _mark_with_carry(key: tuple, pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
     if pdf.empty:
         return pdf.assign(accepted=[], anchor_at=[], position=[])
-    return _mark_rows(pdf, _state(carry))
+    return mark_rows(pdf, _state(carry))
+
+
+def rule_rows(
+    rows: DataFrame,
+    key: Column,
+    at_us: Column,
+    tie: Column,
+    quiet_us: Column,
+    repeat_us: Column | None = None,
+    mark: Column | None = None,
+) -> DataFrame:
+    """The columns the rule reads, next to the whole input row."""
+    repeat_us = F.lit(0) if repeat_us is None else repeat_us
+    mark = F.lit("") if mark is None else mark
+    return rows.select(
+        F.struct("*").alias("row"),
+        key.cast("string").alias("k"),
+        at_us.cast("long").alias("at"),
+        tie.cast("long").alias("tie"),
+        F.coalesce(quiet_us.cast("long"), F.lit(0)).alias("quiet"),
+        F.coalesce(repeat_us.cast("long"), F.lit(0)).alias("repeat"),
+        F.coalesce(mark, F.lit("")).alias("mark"),
+    )
 
 
 def apply_quiet_rule(
@@ -256,17 +279,7 @@ def apply_quiet_rule(
     that share a time are ordered by ``tie``. ``quiet_us`` and ``repeat_us``
     must be constant within a key.
     """
-    repeat_us = F.lit(0) if repeat_us is None else repeat_us
-    mark = F.lit("") if mark is None else mark
-    base = rows.select(
-        F.struct("*").alias("row"),
-        key.cast("string").alias("k"),
-        at_us.cast("long").alias("at"),
-        tie.cast("long").alias("tie"),
-        F.coalesce(quiet_us.cast("long"), F.lit(0)).alias("quiet"),
-        F.coalesce(repeat_us.cast("long"), F.lit(0)).alias("repeat"),
-        F.coalesce(mark, F.lit("")).alias("mark"),
-    )
+    base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
     # A rule without any period accepts every row; an hour keeps its chunks sane.
     span = F.greatest("quiet", "repeat")
     period = F.when(span > 0, span).otherwise(F.lit(3_600_000_000))
@@ -310,10 +323,12 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, tie: str, limit: int, window_us: int, **tuning) -> DataFrame:
+def rate_limit(
+    requests: DataFrame, key: str, at: str, tie: str, limit: int, window_us: int, rule=apply_quiet_rule, **tuning
+) -> DataFrame:
     """Fixed window opened by a key's first request; blocked requests do not count."""
     at_us = F.unix_micros(F.col(at).cast("timestamp"))
-    ruled = apply_quiet_rule(requests, F.col(key), at_us, F.col(tie), F.lit(window_us), **tuning)
+    ruled = rule(requests, F.col(key), at_us, F.col(tie), F.lit(window_us), **tuning)
     return (
         ruled.withColumn("allowed", F.col("position") <= limit)
         .withColumn("remaining", F.greatest(F.lit(limit) - F.col("position"), F.lit(0)))
@@ -321,7 +336,7 @@ def rate_limit(requests: DataFrame, key: str, at: str, tie: str, limit: int, win
     )
 
 
-def suppress_alerts(triggered: DataFrame, **tuning) -> DataFrame:
+def suppress_alerts(triggered: DataFrame, rule=apply_quiet_rule, **tuning) -> DataFrame:
     """Cool-down first, then de-duplication, against the last alert sent.
 
     Needs monitor_id, evaluation_id, evaluated_at, cooldown_minutes,
@@ -329,7 +344,7 @@ def suppress_alerts(triggered: DataFrame, **tuning) -> DataFrame:
     """
     quiet = minutes_us(F.greatest("cooldown_minutes", F.lit(0)))
     at_us = F.unix_micros(F.col("evaluated_at").cast("timestamp"))
-    ruled = apply_quiet_rule(
+    ruled = rule(
         triggered,
         F.col("monitor_id"),
         at_us,
@@ -348,12 +363,14 @@ def suppress_alerts(triggered: DataFrame, **tuning) -> DataFrame:
     )
 
 
-def new_nonces(requests: DataFrame, nonce: str, received_us: str, tie: str, ttl_us: int, **tuning) -> DataFrame:
+def new_nonces(
+    requests: DataFrame, nonce: str, received_us: str, tie: str, ttl_us: int, rule=apply_quiet_rule, **tuning
+) -> DataFrame:
     """A nonce is fresh once, and again only after its entry expired.
 
     The entry ends strictly after received time plus ttl; replays do not extend it.
     """
-    ruled = apply_quiet_rule(
+    ruled = rule(
         requests, F.col(nonce), F.col(received_us), F.col(tie), F.lit(ttl_us + 1), **tuning
     )
     return ruled.withColumnRenamed("accepted", "fresh").drop("anchor_at", "position")

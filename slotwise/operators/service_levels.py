@@ -20,6 +20,30 @@ LAG_LIMIT_MS, LAG_HOLD = 120_000, 600
 LAG_LEVELS, QUERY_LEVELS, MONITOR_LEVELS = (60_000, 120_000), (0.03, 0.05), (0.05, 0.10)
 
 
+def _with_lent_rows(df: DataFrame, at: str, span: int, bucket: int) -> DataFrame:
+    if bucket < span:
+        raise ValueError("a bucket must hold the whole span")
+    own = F.floor(F.col(at) / bucket)
+    lent = F.col(at) >= (own + 1) * bucket - span + 1
+    both = F.when(lent, F.array(own, own + 1)).otherwise(F.array(own))
+    return df.withColumn("_own", own).withColumn("_bucket", F.explode(both))
+
+
+def trailing_grid_sums(df: DataFrame, at: str, span: int, bucket: int, **columns: str) -> DataFrame:
+    """Sums over the last ``span`` steps of a full grid, as differences of running sums.
+
+    A sliding frame would add up the whole span again for every step.
+    """
+    by_step = W.partitionBy("_bucket").orderBy(at)
+    running = by_step.rowsBetween(W.unboundedPreceding, W.currentRow)
+    made = _with_lent_rows(df, at, span, bucket)
+    made = made.withColumns({f"_run_{n}": F.sum(c).over(running) for n, c in columns.items()})
+    made = made.withColumns(
+        {n: F.col(f"_run_{n}") - F.coalesce(F.lag(f"_run_{n}", span).over(by_step), F.lit(0)) for n in columns}
+    )
+    return made.where("_bucket = _own").drop("_bucket", "_own", *[f"_run_{n}" for n in columns])
+
+
 def trailing(
     df: DataFrame, keys: list[str], at: str, span: int, bucket: int, **aggregates: tuple
 ) -> DataFrame:
@@ -29,14 +53,7 @@ def trailing(
     window partition, so time is cut into buckets; the rows of the last ``span``
     units of a bucket are also given to the next one, where they only feed frames.
     """
-    if bucket < span:
-        raise ValueError("a bucket must hold the whole span")
-    own = F.floor(F.col(at) / bucket)
-    lent = F.col(at) >= (own + 1) * bucket - span + 1
-    spread = (
-        df.withColumn("_own", own)
-        .withColumn("_bucket", F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own))))
-    )
+    spread = _with_lent_rows(df, at, span, bucket)
     frame = W.partitionBy(*keys, "_bucket").orderBy(at).rangeBetween(-(span - 1), 0)
     made = spread.withColumns({name: fn(F.col(c)).over(frame) for name, (fn, c) in aggregates.items()})
     return made.where("_bucket = _own").drop("_bucket", "_own")
@@ -102,7 +119,7 @@ def grid_increases(
     full = grid.join(cells, "step", "left").fillna(0.0, subset=counters)
     span = window_s * SECOND // GRID
     bucket = max(span, hours * 24)
-    return trailing(full, [], "step", span, bucket, **{f"{c}_increase": (F.sum, c) for c in counters})
+    return trailing_grid_sums(full, "step", span, bucket, **{f"{c}_increase": c for c in counters})
 
 
 def error_rate(
@@ -124,7 +141,7 @@ def alert_states(checks: DataFrame, hold_s: int, at: str = "step", breached: str
     steps = hold_s * SECOND // GRID + 1
     flags = checks.withColumn("_flag", F.col(breached).cast("int"))
     day = 86400 * SECOND // GRID
-    held = trailing(flags, [], at, steps, max(day, steps), _held=(F.sum, "_flag"))
+    held = trailing_grid_sums(flags, at, steps, max(day, steps), _held="_flag")
     state = F.when(~F.col(breached), "inactive").when(F.col("_held") == steps, "firing").otherwise("pending")
     return held.withColumn("state", state).drop("_flag", "_held")
 

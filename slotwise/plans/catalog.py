@@ -307,7 +307,7 @@ def valid_webhook_urls(spark, sf):
 
 @query("registry_lookup")
 def registry_lookup(spark, sf):
-    return history.point_lookup(_registry(spark, sf), "program_id", "part7")
+    return history.point_lookup(_registry(spark, sf), "program_id", "part0")
 
 
 # --- joins -------------------------------------------------------------------
@@ -363,7 +363,7 @@ def monitor_last_state(spark, sf):
 
 @query("audit_for_monitor")
 def audit_for_monitor(spark, sf):
-    found = mon.audit_for_monitor(_audit(spark, sf), _monitors(spark, sf), 12)
+    found = mon.audit_for_monitor(_audit(spark, sf), _monitors(spark, sf), 3)
     newest = [F.desc("evaluated_at"), F.desc("evaluation_id")]
     return history.page(found, newest, 50, 5).select("evaluation_id", us("evaluated_at"), "value", "delivery_state")
 

@@ -79,7 +79,7 @@ _cte(
     """SELECT ts AS timestamp, CAST(event_id AS VARCHAR) AS event_id,
     CASE WHEN event_type = 'view' OR event_type = 'error' THEN 'account' ELSE 'transaction' END AS event_type,
     'Prog' || (1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 9) AS program_id,
-    epoch_ms(ts) // 400 AS slot, CASE WHEN user_id % 29 = 0 THEN NULL ELSE 'sig' || user_id END AS signature,
+    epoch_us(ts) // 400000 AS slot, CASE WHEN user_id % 29 = 0 THEN NULL ELSE 'sig' || user_id END AS signature,
     props AS payload FROM events""",
 )
 _cte(
@@ -90,7 +90,7 @@ _cte(
     CASE WHEN o_orderkey % 3 = 0 THEN ['part' || ((o_orderkey * 7) % 211)] ELSE [] END AS lw,
     CASE WHEN o_orderkey % 6 = 0 THEN ['part' || ((o_orderkey * 5) % 199)] ELSE [] END AS lr,
     5000 + o_orderkey % 5000 AS fee, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey * 10 END AS cu,
-    ['log ' || o_orderpriority] AS logs, epoch_ms(o_orderdate) AS observed, o_custkey, o_orderpriority FROM orders""",
+    ['log ' || o_orderpriority] AS logs, (epoch_us(o_orderdate) // 1000) AS observed, o_custkey, o_orderpriority FROM orders""",
 )
 _cte(
     "steps",
@@ -531,7 +531,7 @@ _O["valid_webhook_urls"] = f"""SELECT page_id, u AS url, {_url('u')} AS is_valid
 WHEN 1 THEN replace(url, '://', ':/') WHEN 2 THEN replace(replace(url, 'https', 'ftp'), 'http', 'FTP')
 WHEN 3 THEN '  HTTP://user@' || page_id || '.example:80/a%20b ' WHEN 4 THEN 'http://:80/' || page_id
 WHEN 5 THEN 'https:///' || page_id WHEN 6 THEN 'https://a b/' || page_id WHEN 7 THEN url || '/%zz' ELSE url END AS u FROM pages)"""
-_O["registry_lookup"] = _with("registry") + "SELECT * FROM registry WHERE program_id = 'part7' LIMIT 1"
+_O["registry_lookup"] = _with("registry") + "SELECT * FROM registry WHERE program_id = 'part0' LIMIT 1"
 _O["normalize_transactions"] = _with("tx_events") + "SELECT * FROM tx_events"
 _O["normalize_accounts"] = _with("acc_events") + "SELECT * FROM acc_events"
 _O["route_fanout"] = _with("matched") + "SELECT * EXCLUDE (ord) FROM matched"
@@ -547,7 +547,7 @@ _O["monitor_window_join"] = _with("values_now") + "SELECT monitor_id, program_id
 _O["monitor_last_state"] = _with("last_all") + """SELECT monitor_id, last_us AS last_evaluated_at_us, last_value,
 sent_us AS last_triggered_at_us, last_fingerprint FROM last_all"""
 _O["audit_for_monitor"] = _with("audit", "monitors") + """SELECT evaluation_id, at_us AS evaluated_at_us, value, delivery_state FROM audit
-WHERE monitor_id = 12 AND monitor_id IN (SELECT monitor_id FROM monitors) ORDER BY at_us DESC, evaluation_id DESC LIMIT 50 OFFSET 5"""
+WHERE monitor_id = 3 AND monitor_id IN (SELECT monitor_id FROM monitors) ORDER BY at_us DESC, evaluation_id DESC LIMIT 50 OFFSET 5"""
 _O["orphan_audit"] = _with("audit", "monitors") + """SELECT evaluation_id, monitor_id FROM audit a
 WHERE NOT EXISTS (SELECT 1 FROM monitors m WHERE m.monitor_id = a.monitor_id)"""
 _O["new_nonces"] = _chain(
@@ -614,11 +614,11 @@ _O["stage_errors"] = """SELECT CASE WHEN event_id % 40 = 7 THEN 'unknown' WHEN e
 ELSE event_type || '_stage_' || (event_id % 5) END AS stage, count(*) AS errors FROM events GROUP BY 1 ORDER BY 1"""
 _O["ingest_counters"] = """SELECT count(*) AS events_total, count(*) FILTER (event_type <> 'error') AS published_total,
 count(*) FILTER (event_type = 'error') AS publish_failures_total, count(*) FILTER (event_id % 13 = 0) AS delivery_failures_total,
-max(epoch_ms(ts)) AS last_event_observed_ms, max(epoch_ms(ts)) FILTER (event_type <> 'error') AS last_publish_success_ms,
-max(epoch_ms(ts)) FILTER (event_type = 'error') AS last_publish_failure_ms FROM events"""
-_O["ingestion_lag"] = """SELECT greatest(1706700000000 - max(epoch_ms(ts)), 0) AS ingestion_lag_ms FROM events WHERE event_id % 5 <> 0"""
+max((epoch_us(ts) // 1000)) AS last_event_observed_ms, max((epoch_us(ts) // 1000)) FILTER (event_type <> 'error') AS last_publish_success_ms,
+max((epoch_us(ts) // 1000)) FILTER (event_type = 'error') AS last_publish_failure_ms FROM events"""
+_O["ingestion_lag"] = """SELECT greatest(1706700000000 - max((epoch_us(ts) // 1000)), 0) AS ingestion_lag_ms FROM events WHERE event_id % 5 <> 0"""
 _O["slo_error_rate"] = _with("rates") + "SELECT * FROM rates"
-_O["slo_lag_level"] = """SELECT event_id, CASE WHEN epoch_ms(ts) % 180000 >= 120000 THEN 'red' WHEN epoch_ms(ts) % 180000 >= 60000
+_O["slo_lag_level"] = """SELECT event_id, CASE WHEN (epoch_us(ts) // 1000) % 180000 >= 120000 THEN 'red' WHEN (epoch_us(ts) // 1000) % 180000 >= 60000
 THEN 'orange' ELSE 'green' END AS lag_level, CASE WHEN event_id % 13 >= 5 THEN 'red' WHEN event_id % 13 >= 3 THEN 'orange'
 ELSE 'green' END AS query_level, CASE WHEN event_id % 13 >= 10 THEN 'red' WHEN event_id % 13 >= 5 THEN 'orange' ELSE 'green' END
 AS monitor_level FROM events"""
@@ -770,3 +770,38 @@ _cte(
     "evaluated",
 )
 _O["delivery_outbox"] = _with("outbox") + f"SELECT *, 'v1=' || {_hmac('sent_at', 'nonce', 'body')} AS signature FROM outbox"
+
+# Streams give the rows of their batch operators.
+_O["stream_updates"] = _with("raw_tx", "raw_acc") + """SELECT 'transaction' AS kind, slot, signature FROM raw_tx
+UNION ALL SELECT 'account', slot, signature FROM raw_acc"""
+_cte("all_events", "SELECT * FROM tx_events UNION ALL SELECT * FROM acc_events", "tx_events", "acc_events")
+_RECORD = """CAST(to_json({'event_id': event_id, 'event_type': event_type, 'program_id': program_id, 'slot': slot, 'signature': signature,
+'partition_key': partition_key, 'source_endpoint': source_endpoint, 'observed_at_unix_ms': observed_at_unix_ms, 'payload': payload}) AS VARCHAR)"""
+_O["stream_normalize"] = _with("all_events") + "SELECT * FROM all_events"
+_O["stream_publish_dlq"] = _with("all_events") + f"""SELECT event_id, CASE WHEN strlen({_RECORD}) <= 480 THEN 'published'
+ELSE 'dead_letter' END AS state FROM all_events"""
+_O["stream_ingest_metrics"] = _with("all_events") + """SELECT count(*) AS events_total, count(*) AS published_total,
+0 AS publish_failures_total, max(observed_at_unix_ms) AS last_event_observed_ms FROM all_events"""
+_O["stream_fanout"] = _with("all_events", "routes") + """SELECT event_id, route_id, url, source FROM (
+SELECT event_id, CAST(r.route_id AS VARCHAR) AS route_id, r.route_id AS ord, url, 'registry' AS source FROM all_events e JOIN routes r
+ON 'part' || r.route_id = e.program_id AND (r.event_type IS NULL OR r.event_type = e.event_type)
+UNION ALL SELECT event_id, 'static-env', 1000000, 'https://hook3.example/in', 'env' FROM all_events)
+QUALIFY row_number() OVER (PARTITION BY event_id, url ORDER BY ord) = 1"""
+_O["event_outbox"] = _with("tx_events", "routes") + f"""SELECT event_id, route_id, url, sha256(body) AS body_hash,
+'v1=' || {_hmac("'1706508000'", "sha256(event_id || '|' || route_id)", "body")} AS signature, 3 AS max_attempts FROM (
+SELECT *, CAST(to_json({{'agent_context': 'chain event', 'delivery_target': {{'event_type_filter': tf, 'program_id_filter': pf,
+'route_id': route_id, 'source': source}}, 'event': {{'event_id': event_id, 'event_type': event_type, 'program_id': program_id, 'slot': slot,
+'signature': signature, 'partition_key': partition_key, 'source_endpoint': source_endpoint, 'observed_at_unix_ms': observed_at_unix_ms,
+'payload': payload}}, 'timestamp_ms': 1706508000000}}) AS VARCHAR) AS body FROM (
+SELECT e.*, CAST(r.route_id AS VARCHAR) AS route_id, r.route_id AS ord, url, 'part' || r.route_id AS pf, coalesce(r.event_type, '*') AS tf,
+'registry' AS source FROM tx_events e JOIN routes r
+ON 'part' || r.route_id = e.program_id AND (r.event_type IS NULL OR r.event_type = e.event_type)
+UNION ALL SELECT *, 'static-env', 1000000, 'https://hook3.example/in', '*', '*', 'env' FROM tx_events)
+QUALIFY row_number() OVER (PARTITION BY event_id, url ORDER BY ord) = 1)"""
+_O["nonce_replay_filter"] = _O["new_nonces"]
+_O["stream_rate_limit"] = _O["rate_limit_audit"]
+_O["stream_alert_suppress"] = _O["dedupe_suppress"]
+_O["dlq_replay_job"] = _O["dlq_backlog"]
+_O["monitor_tick"] = _with("evaluated") + f"""SELECT monitor_id, value, delivery_state,
+{_NOW_US} - window_minutes::BIGINT * 60000000 AS window_from_us FROM evaluated
+WHERE is_active AND (last_us IS NULL OR {_NOW_US} - last_us >= schedule_minutes::BIGINT * 60000000)"""

@@ -10,15 +10,17 @@ from .. import schemas
 from ..functions.text import strip
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+# The default format keeps milliseconds only.
+_MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object per line; blank lines are skipped, one bad line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).options(mode="FAILFAST", **_MICROS).json(path)
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    df.write.mode("append").options(**_KEEP_NULLS, **_MICROS).json(path)
 
 
 def dead_letter_rows(events: DataFrame, failed_at_ms, error) -> DataFrame:

@@ -1,0 +1,62 @@
+"""The ordered rule of :mod:`slotwise.operators.ordered_rules` as keyed stream state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.ordered_rules import mark_rows, rule_rows
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class QuietRule(StatefulProcessor):
+    """Keeps the last accepted time, its mark and the rows seen since, per key."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "at long, mark string, n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # One micro-batch of one key; the source's rate option bounds it.
+        pdf = pd.concat(list(rows), ignore_index=True)
+        last = self.state.get() if self.state.exists() else None
+        out = mark_rows(pdf, tuple(last) if last else None)
+        end = out.iloc[-1]
+        own = out.loc[out["accepted"], "mark"]
+        mark = own.iloc[-1] if len(own) else last[1]
+        self.state.update((int(end["anchor_at"]), mark, int(end["position"])))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_quiet_rule(
+    rows: DataFrame,
+    key: Column,
+    at_us: Column,
+    tie: Column,
+    quiet_us: Column,
+    repeat_us: Column | None = None,
+    mark: Column | None = None,
+    state_ttl_ms: int | None = None,
+) -> DataFrame:
+    """Drop-in for ``apply_quiet_rule`` on a stream; rows of a key must arrive in order
+    across micro-batches. ``state_ttl_ms`` frees keys idle for that long."""
+    base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    ruled = base.groupBy("k").transformWithStateInPandas(
+        QuietRule(state_ttl_ms),
+        f"{fields}, accepted boolean, anchor_at long, position long",
+        "Append",
+        "processingTime" if state_ttl_ms else "none",
+    )
+    return ruled.select("row.*", "accepted", "anchor_at", "position")
