@@ -28,7 +28,8 @@ def contribution(precision: Column, prior: Column, coverage: Column, triggered:
     delta = precision - prior
     fired = delta * (F.lit(0.6) + F.lit(0.4) * coverage)
     silent = -delta * F.lit(0.25) * coverage
-    return F.when(triggered, fired).otherwise(silent)
+    # Adding zero turns a negative zero into zero.
+    return F.when(triggered, fired).otherwise(silent) + F.lit(0.0)
 
 
 def threshold_met(value: Column, comparator: Column, threshold: Column) -> Column:

@@ -249,7 +249,7 @@ _cte(
     "contributions",
     f"""SELECT f.launch_idx, f.signal, f.hit, precision, coverage, worked_with_signal, total_with_signal, prior,
     CASE WHEN f.hit THEN (precision - prior) * (0.6::DOUBLE + 0.4::DOUBLE * coverage)
-      ELSE -(precision - prior) * 0.25::DOUBLE * coverage END AS contribution
+      ELSE -(precision - prior) * 0.25::DOUBLE * coverage END + 0.0::DOUBLE AS contribution
     FROM {_SIGNAL_ROWS.format('future')} f JOIN perf USING (signal), prior""",
     "future",
     "perf",
