@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SIGNALS, clamp, contribution, growth_ratio, probability_band
-from ..functions.timing import rfc3339
-from ..session import fits_broadcast
+from ..functions.timing import micros, rfc3339
+from ..session import dimension
 
 # Default settings and window limit.
 MAX_WINDOW_HOURS = 336
@@ -55,25 +55,33 @@ def launch_windows(launches: DataFrame, settings: Settings) -> DataFrame:
 def launch_events(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """Events inside a window of a launch of their program.
 
-    The outermost window bounds become literals, so the scan prunes by time. A
-    counted, small launch table is broadcast; a larger one meets the events on
-    (program, day) and a hot program spreads over its days.
+    The outermost window bounds become literals, so the scan prunes by time.
+    Launches are listed under every time bucket their windows touch and events
+    meet them on (program, bucket), so few candidates fail the exact bounds and a
+    hot program spreads over its buckets. The list is broadcast when its counted
+    size allows it.
     """
     slim = windows.select("launch_idx", "program_id", "baseline_start", "launch_ts", "evaluation_end")
-    bounds = slim.agg(F.min("baseline_start").alias("low"), F.max("evaluation_end").alias("high")).first()
+    bounds = slim.agg(
+        F.min("baseline_start").alias("low"),
+        F.max("evaluation_end").alias("high"),
+        F.max(micros(F.col("evaluation_end")) - micros(F.col("baseline_start"))).alias("span"),
+    ).first()
     if bounds["low"] is None:
         events = events.where(F.lit(False))
     else:
         low, high = (F.lit(str(bounds[c])).cast("timestamp_ntz") for c in ("low", "high"))
         events = events.where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
-    inside = (F.col("timestamp") >= F.col("baseline_start")) & (F.col("timestamp") < F.col("evaluation_end"))
+    width = max((bounds["span"] or 0) // 8, 3_600_000_000)
+    first = F.floor(micros(F.col("baseline_start")) / width)
+    last = F.floor((micros(F.col("evaluation_end")) - 1) / width)
+    listed = slim.withColumn("bucket", F.explode(F.sequence(first, last)))
     signer = F.coalesce("signature", F.lit("")).alias("signature")
-    facts = events.select("program_id", "timestamp", "event_type", signer)
-    if fits_broadcast(slim, limit):
-        return facts.join(F.broadcast(slim), "program_id").where(inside)
-    days = F.sequence(F.to_date("baseline_start"), F.to_date("evaluation_end"))
-    spread = slim.withColumn("day", F.explode(days))
-    return facts.withColumn("day", F.to_date("timestamp")).join(spread, ["program_id", "day"]).where(inside)
+    facts = events.select(
+        "program_id", "timestamp", "event_type", signer, F.floor(micros(F.col("timestamp")) / width).alias("bucket")
+    )
+    inside = (F.col("timestamp") >= F.col("baseline_start")) & (F.col("timestamp") < F.col("evaluation_end"))
+    return facts.join(dimension(listed, limit), ["program_id", "bucket"]).where(inside)
 
 
 def window_metrics(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,11 +202,8 @@ def _state(carry: pd.DataFrame) -> tuple | None:
     return int(row["c_at"]), row["c_mark"], int(row["c_n"])
 
 
-def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
-    pdf = pdf.sort_values(["at", "tie"], kind="stable")
-    at = pdf["at"].to_numpy(np.int64)
-    mark = pdf["mark"].to_numpy(object)
-    quiet, repeat = int(pdf["quiet"].iloc[0]), int(pdf["repeat"].iloc[0])
+def _decide(at, mark, quiet: int, repeat: int, state: tuple | None):
+    """accepted, anchor_at and position of sorted rows, given the state before them."""
     n = len(at)
     links = _links(at, mark, quiet, repeat).tolist()
     if state is None:
@@ -221,20 +219,37 @@ def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
     anchor = np.maximum.accumulate(np.where(accepted, index, -1))
     own = anchor >= 0
     carried_at, carried_n = (state[0], state[2]) if state else (0, 0)
-    pdf["accepted"] = accepted
-    pdf["anchor_at"] = np.where(own, at[np.maximum(anchor, 0)], carried_at)
-    pdf["position"] = np.where(own, index - anchor + 1, carried_n + index + 1)
+    anchor_at = np.where(own, at[np.maximum(anchor, 0)], carried_at)
+    position = np.where(own, index - anchor + 1, carried_n + index + 1)
+    return accepted, anchor_at, position
+
+
+def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+    pdf = pdf.sort_values(["at", "tie"], kind="stable")
+    at, mark = pdf["at"].to_numpy(np.int64), pdf["mark"].to_numpy(object)
+    quiet, repeat = int(pdf["quiet"].iloc[0]), int(pdf["repeat"].iloc[0])
+    pdf["accepted"], pdf["anchor_at"], pdf["position"] = _decide(at, mark, quiet, repeat, state)
     return pdf
 
 
-def _mark_alone(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return mark_rows(pdf, None)
+def _mark_table(table: pa.Table, state: tuple | None) -> pa.Table:
+    """The same on Arrow data; the input row passes through untouched."""
+    order = np.lexsort((table["tie"].to_numpy(), table["at"].to_numpy()))
+    table = table.take(pa.array(order))
+    quiet, repeat = table["quiet"][0].as_py(), table["repeat"][0].as_py()
+    mark = table["mark"].to_numpy(zero_copy_only=False)
+    made = _decide(table["at"].to_numpy(), mark, quiet, repeat, state)
+    return pa.table([table["row"], *map(pa.array, made)], names=["row", "accepted", "anchor_at", "position"])
 
 
-def _mark_with_carry(key: tuple, pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-    if pdf.empty:
-        return pdf.assign(accepted=[], anchor_at=[], position=[])
-    return mark_rows(pdf, _state(carry))
+def _mark_alone(table: pa.Table) -> pa.Table:
+    return _mark_table(table, None)
+
+
+def _mark_with_carry(table: pa.Table, carry: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        raise ValueError("a state arrived for a chunk without rows")
+    return _mark_table(table, _state(carry.to_pandas()))
 
 
 def rule_rows(
@@ -295,10 +310,10 @@ def apply_quiet_rule(
 
     width = period * F.lit(periods)
     chunked = base.withColumn("chunk", F.floor(F.col("at") / width)).withColumn("start", F.col("chunk") * width)
-    marked = f"{_ddl(chunked)}, accepted boolean, anchor_at long, position long"
+    marked = f"row {base.schema['row'].dataType.simpleString()}, accepted boolean, anchor_at long, position long"
     out = F.col("row.*"), F.col("accepted"), F.col("anchor_at"), F.col("position")
     if low // periods == high // periods:
-        return chunked.groupBy("k", "chunk").applyInPandas(_mark_alone, marked).select(*out)
+        return chunked.groupBy("k", "chunk").applyInArrow(_mark_alone, marked).select(*out)
 
     slim = chunked.drop("row")
     levels = [slim.groupBy("k", "chunk").applyInPandas(lambda pdf: _chunk_table(pdf), _TABLE)]
@@ -315,14 +330,10 @@ def apply_quiet_rule(
             below.groupBy("k", "parent").cogroup(above.groupBy("k", "parent")).applyInPandas(_down_walk, _CARRY)
         )
     return (
-        chunked.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInPandas(_mark_with_carry, marked)
+        chunked.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked)
     ).select(*out)
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def rate_limit(
     requests: DataFrame, key: str, at: str, tie: str, limit: int, window_us: int, rule=apply_quiet_rule, **tuning
 ) -> DataFrame:
