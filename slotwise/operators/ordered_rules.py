@@ -232,6 +232,17 @@ def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
     return pdf
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every nested field nullable, as the declared schema has it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, _nullable(kind.item_type))
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _nullable(kind.value_type)))
+    return kind
+
+
 def _mark_table(table: pa.Table, state: tuple | None) -> pa.Table:
     """The same on Arrow data; the input row passes through untouched."""
     order = np.lexsort((table["tie"].to_numpy(), table["at"].to_numpy()))
@@ -239,7 +250,8 @@ def _mark_table(table: pa.Table, state: tuple | None) -> pa.Table:
     quiet, repeat = table["quiet"][0].as_py(), table["repeat"][0].as_py()
     mark = table["mark"].to_numpy(zero_copy_only=False)
     made = _decide(table["at"].to_numpy(), mark, quiet, repeat, state)
-    return pa.table([table["row"], *map(pa.array, made)], names=["row", "accepted", "anchor_at", "position"])
+    row = table["row"].cast(_nullable(table["row"].type))
+    return pa.table([row, *map(pa.array, made)], names=["row", "accepted", "anchor_at", "position"])
 
 
 def _mark_alone(table: pa.Table) -> pa.Table:
