@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from ..functions.signing import request_signature
 from ..session import fits_broadcast
 
+# Every event row carries the routes it matches, so fewer than a broadcast could hold.
+LOOKUP_ROUTES = 50_000
+
 _TARGET = ("route_id", "url", "program_id_filter", "event_type_filter", "source")
 
 
@@ -50,7 +53,7 @@ def matched_routes(
     routes: DataFrame,
     static_url: str | None = None,
     unique_urls: bool = False,
-    limit: int | None = None,
+    limit: int = LOOKUP_ROUTES,
 ) -> DataFrame:
     """Events joined with every route that accepts them.
 

@@ -23,21 +23,22 @@ def scan_table(spark: SparkSession, name: str = "chain_events") -> DataFrame:
     return spark.table(checked_table_name(name))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append event-log rows by day, each file sorted by (timestamp, event_id).
+def by_day(events: DataFrame) -> DataFrame:
+    """Event-log rows laid out for a write by day, each file sorted by (timestamp, event_id).
 
     Range partitioning on the sort key cuts a busy day into several even files.
     """
-    (
+    return (
         events.withColumn("event_date", F.to_date("timestamp"))
         .repartitionByRange("timestamp", "event_id")
         .sortWithinPartitions("event_date", "timestamp", "event_id")
-        .write.mode("append")
-        .partitionBy("event_date")
-        .parquet(path)
     )
 
 
+def append_events(events: DataFrame, path: str) -> None:
+    by_day(events).write.mode("append").partitionBy("event_date").parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, start: str = "", end: str = "") -> DataFrame:
     """Read the log; time bounds [start, end) prune days and row groups."""
     schema = schemas.T.StructType(schemas.EVENT_LOG.fields + [schemas.T.StructField("event_date", schemas.T.DateType())])

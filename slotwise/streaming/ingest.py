@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..operators import dead_letters as dl
 from ..operators import fanout, normalize
 from ..schemas import RAW_ACCOUNT, RAW_TRANSACTION
+from ..sources.event_log import by_day
 from ..sources.json_rows import dead_letter_rows, read_dead_letters
 
 # A topic refuses larger records.
@@ -108,7 +109,9 @@ class Ingest:
         whole = events.withColumn("_value", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}))
         fits = F.octet_length("_value") <= self.max_record_bytes
         bad = whole.where(~fits).drop("_value")
-        self._save(normalize.event_log_rows(events), "event_log", batch_id)
+        by_day(normalize.event_log_rows(events)).write.mode("overwrite").partitionBy("event_date").parquet(
+            f"{self.out}/event_log/batch_id={batch_id}"
+        )
         records = normalize.topic_records(events)
         self._save(records.where(F.octet_length("value") <= self.max_record_bytes), "topic", batch_id)
         letters = dead_letter_rows(bad, F.col("observed_at_unix_ms"), F.lit("record too large"))
