@@ -1,4 +1,4 @@
 """All registered queries of this subpackage and their SQL."""
 
-from . import packing, pii, quality, rans, simhash  # noqa: F401
+from . import packing, pieces, pii, quality, rans, simhash  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
