@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import string
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 END = 2
 ENCODER = "word_bpe_49k.json"
-# Characters after which no rule of the tokenizer joins to the word before them.
-CLOSING = b".,!?;:"
+CLOSING = string.punctuation
+#: Letters below this code point are composed already and have simple lower-case forms.
+SIMPLE = "\u0250"
 
 
 def tokenizer_path(name: str = ENCODER) -> str:
@@ -24,7 +27,9 @@ class WordIds(dict):
     The tokenizer removes white space before it looks for tokens and none of its
     rules spans white space, so a text's ids are its words' ids in order. Words are
     cut at ASCII white space only; other white space stays inside a word and is
-    left to the tokenizer. ``limit`` bounds the entries kept.
+    left to the tokenizer. A word of plain Latin letters is looked up in lower case and
+    without its closing punctuation, which is a token run of its own, and goes to the
+    tokenizer's merge model at once. ``limit`` bounds the entries kept.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
@@ -32,23 +37,33 @@ class WordIds(dict):
 
         super().__init__()
         self.encoder, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        # Printable bytes stand for themselves in the model, the rest for code points from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def encode(self, word: bytes) -> bytes:
         return np.array(self.encoder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merge(self, word: bytes) -> bytes:
+        shown = word.decode() if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return array("I", [t.id for t in self.encoder.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > self.longest:
             return self.encode(word)
         if len(self) >= self.limit:
             self.clear()
-        if word.isascii() and b"<|" not in word:
-            core = word.rstrip(CLOSING)
-            if core != word and core[-1:].isalpha():
-                out = self[core.lower()] + self[word[len(core):]]
-            elif (low := word.lower()) != word:
-                out = self[low]
-            else:
-                out = self.encode(word)
+        s = word.decode()
+        if "<|" in s or max(s) >= SIMPLE:
+            out = self.encode(word)
+        elif s[-1] in CLOSING and (core := s.rstrip(CLOSING))[-1:].lower().isalpha():
+            head = core.encode()
+            out = self[head] + self[word[len(head):]]
+        elif (low := s.lower()) != s and max(low) < SIMPLE:
+            out = self[low.encode()]
+        elif low == s and s.isalpha():
+            out = self.merge(word)
         else:
             out = self.encode(word)
         self[word] = out
