@@ -7,9 +7,9 @@ segmentation with the largest sum of piece scores; of equal sums the one whose l
 piece is longer, judged at every position. A character no piece covers costs less than any
 piece and becomes its UTF-8 byte pieces (or the unknown id where the model has none).
 
-White space is written as the model's sign, with one sign before the text. No piece
-has a sign after another character (checked when the model is read; else a text is
-one unit), so units that begin with a sign are scored apart and each distinct unit once.
+White space is written as the model's sign, with one sign before the text. Where two
+neighbouring characters stand together in no piece, no piece can span the place: the text is
+cut there without changing the best segmentation, and each distinct unit is scored once.
 Decoding joins pieces and bytes and drops the sign added in front.
 
 Null texts are empty and have no pieces. Repeated rows encode alike. A text that itself holds
@@ -63,8 +63,7 @@ class Pieces(dict):
         self.automaton.make_automaton()
         self.worst = min(p.score for p in normal) - 10
         self.apart = not any(re.search(f"[^{SIGN}]{SIGN}", p.piece) for p in normal)
-        letters = set("".join(p.piece for p in normal))
-        self.breaks = [c for c in "\n\t\r" if c not in letters]
+        self.joined = {pair for p in normal for pair in zip(p.piece, p.piece[1:])}
 
     def viterbi(self, text: str) -> tuple[bytes, float]:
         """One pass over the text; ids in order and the sum of scores."""
@@ -104,10 +103,9 @@ class Pieces(dict):
 
     def __missing__(self, unit: bytes) -> tuple[bytes, float]:
         text = unit.decode()
-        mark = next((c for c in self.breaks if c in text), None)
-        if mark is not None and len(text) > 1:
-            parts = [p for p in re.split(f"({mark})", text) if p]
-            found = [self[p.encode()] for p in parts]
+        cuts = [i for i, pair in enumerate(zip(text, text[1:]), 1) if pair not in self.joined]
+        if cuts:
+            found = [self[text[a:b].encode()] for a, b in zip([0, *cuts], [*cuts, len(text)])]
             out = b"".join(f[0] for f in found), sum(f[1] for f in found)
         else:
             out = self.viterbi(text)
