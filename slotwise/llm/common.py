@@ -57,6 +57,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession, times: int = 1) -> int:
     """Partitions of an exchange, following the session's setting for its data size."""
     return times * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, query, raw_texts, record, stored, table, texts
+from .common import query, stored, table, texts, unused
 
 BITS, SPREAD, SHARDS = 18, 30.0, 4
 RULE = {"alpha": 0.3, "beta": 1.0, "l1": 0.05, "l2": 0.5}
@@ -145,10 +145,9 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % TEST_FOLDS == 0, F.lit(False))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of docs and ``score``."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """All columns of docs and the score under the given name."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = pa.schema([("score", pa.float64())])
 
     @F.pandas_udf("double")
     def of(text):
@@ -161,7 +160,13 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             out.append(SPREAD * float(w[f].mean(dtype=np.float64)) if len(f) else 0.0)
         return pd.Series(sigmoid(np.array(out) + float(w[-1])))
 
-    return docs.withColumn("score", of("text"))
+    return docs.withColumn(name, of("text"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score THRESHOLD or more."""
+    name = unused(docs, "quality_score")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).select(docs.columns)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cells, folder, in_pieces, partitions, query, raw_texts, stored, table, texts
@@ -225,24 +225,19 @@ def read(spark: SparkSession, source: str) -> DataFrame:
 
     blocks = spark.read.schema(BLOCKS_DDL).parquet(f"{source}/blocks")
     sizes = blocks.select("shard", "block", F.expr("aggregate(lengths, 0L, (a, n) -> a + n)").alias("n"))
-    # Blocks in front: shards first (as many as partitions wrote), then blocks inside a shard.
+    # What lies in front of a block: whole shards (one row for each writing task), then blocks of its shard.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
-    before = shards.alias("s").join(F.broadcast(shards.alias("e")), F.col("e.shard") < F.col("s.shard"), "left")
-    before = before.groupBy(F.col("s.shard").alias("shard")).agg(F.coalesce(F.sum("e.n"), F.lit(0)).alias("shard_start"))
-    in_shard = F.sum("n").over(_by_block()) - F.col("n")
-    starts = sizes.select("shard", "block", in_shard.alias("block_start")).join(F.broadcast(before), "shard")
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("block_start"))
+    starts = starts.join(shards, "shard")
     decoded = blocks.mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long, shard int, block int")
     return decoded.join(starts, ["shard", "block"]).select(
         "doc_id", (F.col("shard_start") + F.col("block_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def _by_block():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 @query("op1_rans_token_blocks")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = folder(spark, "rans")

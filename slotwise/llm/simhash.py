@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, partitions, query, raw_texts, record, stored, table, texts
+from .common import cells, partitions, query, raw_texts, record, stored, table, texts, unused
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 POSITIONS, KEY_BYTES = 7, 3
@@ -190,15 +190,44 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bits: int = MAX_BITS)
 
 
 def with_components(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    return prints.join(classes(prints, bits), "print").select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """print, root (one print that stands for the component), component_id."""
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     nodes = components(links(first.select("print"), bits))
     rooted = first.join(nodes.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = stored(rooted.select("print", "root", "first"), "prints-rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(classes, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rooted.join(least, "root").select("print", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each component: that of the
+    smallest doc_id (any one of its rows where the doc_id repeats)."""
+    mark = unused(docs, "print")
+
+    @F.pandas_udf("long")
+    def of(text):
+        return text.map(lambda t: fingerprint((t or "").encode(), words)).astype("uint64").astype("int64")
+
+    marked = stored(docs.withColumn(mark, of("text")), "documents-with-prints")
+    prints = marked.select(F.col("doc_id").alias("doc_id"), F.col(mark).alias("print"))
+    stands = prints.join(classes(prints, bits), "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # The smallest print where one doc_id has several in a component; ``rows`` over 1 only for repeated rows.
+    stands = stands.groupBy("root", "component_id", "print").agg(F.count("*").alias("rows"))
+    stands = stands.groupBy("root", "component_id").agg(F.min(F.struct("print", "rows")).alias("s"))
+    keep = stored(stands.select(F.col("component_id").alias("_keep_id"), "s.print", "s.rows"), "kept")
+    keep = keep.select("_keep_id", F.col("print").alias("_keep_print"), F.col("rows").alias("_keep_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col(mark) == F.col("_keep_print"))
+    # Nulls meet as equal, and the print spreads what one doc_id may hold.
+    kept = marked.join(keep, same)
+    once = kept.where("_keep_rows = 1").select(docs.columns)
+    repeated = kept.where("_keep_rows > 1").dropDuplicates(["doc_id", mark]).select(docs.columns)
+    return once.unionByName(repeated)
 
 
 @query("op5_simhash_components")
