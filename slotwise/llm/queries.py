@@ -1,4 +1,4 @@
 """All registered queries of this subpackage and their SQL."""
 
-from . import packing, pieces, pii, quality, rans, simhash, topk  # noqa: F401
+from . import ngrams, packing, pieces, pii, quality, rans, simhash, topk  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401
