@@ -76,7 +76,8 @@ def shared_bytes(a, b) -> np.ndarray:
 def linked(a, b, bits: int) -> np.ndarray:
     """Count filter, then the bits of the pairs that pass it."""
     out = shared_bytes(a, b) >= 8 - bits
-    out[out] = np.bitwise_count(np.bitwise_xor(a[out], b[out])) <= bits
+    # Of a signed number it would count the absolute value's bits.
+    out[out] = np.bitwise_count(np.bitwise_xor(a[out], b[out]).view(np.uint64)) <= bits
     return out
 
 
