@@ -1,15 +1,15 @@
 """Exact top-k by inner product with a pivot table.
 
 Candidate vectors get one more coordinate, sqrt(R^2 - |v|^2) with R the largest norm, so
-all have norm R and the distance between a query (with coordinate 0) and a candidate falls as
-their inner product grows. The table holds each candidate's distance to PIVOTS pivots. The
+all have norm R. A query, stretched to norm R too and with coordinate 0, then has the distance
+sqrt(2 R^2 - 2 R q.v / |q|) to a candidate, which falls as their inner product grows. The table holds each candidate's distance to PIVOTS pivots. The
 largest difference between a query's and a candidate's distances to a pivot is a lower bound
 of their distance, hence an upper bound of the score. Candidates are evaluated in bound
 order until no bound left can reach the k-th score; bounds carry a slack for rounding and
 equal bounds are still evaluated, so results are exact, ties to the smaller id.
 
 Queries and candidates are dealt to blocks of bounded size; every pair of blocks is one
-group, starts from nothing else and gives k rows a query at most. Blocks meet again by query.
+group, starts from the pivot distances alone and gives k rows a query at most. Blocks meet again by query.
 
 Vectors that are null, empty or hold a null or non-finite component take no part. Vectors of
 different lengths compare as if filled up with zeros. Repeated rows count as often as they
@@ -68,10 +68,13 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_block(q_ids, q, c_ids, c, pivots, radius2: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (query, candidate, score) of one pair of blocks: each query's k best."""
-    bare = np.hstack([q.astype(float), np.zeros((len(q), 1))])
+    norms = np.sqrt((q.astype(float) ** 2).sum(1))
+    radius = radius2**0.5
+    stretched = q * (radius / np.where(norms > 0, norms, 1))[:, None]
+    bare = np.hstack([stretched, np.zeros((len(q), 1))])
     to_q, to_c = distances(bare, pivots), distances(lifted(c, radius2), pivots).T.copy()
-    norms = (q.astype(float) ** 2).sum(1)
-    slack = 1e-6 * (radius2 + norms.max()) + 1
+    share = norms / max(radius, 1e-300)
+    slack = 1e-6 * share * radius2 + 1
     fq, fc = q.astype(float), c.astype(float)
     exact = float(np.abs(fq).max() * np.abs(fc).max()) * q.shape[1] < 2**52  # sums in doubles are then whole
     out = []
@@ -79,7 +82,7 @@ def search_block(q_ids, q, c_ids, c, pivots, radius2: float, k: int) -> tuple[np
         low = np.abs(to_c[0] - to_q[i, 0])
         for p in range(1, len(pivots)):
             np.maximum(low, np.abs(to_c[p] - to_q[i, p]), out=low)
-        bound = (norms[i] + radius2 - low**2) / 2 + slack
+        bound = share[i] * (radius2 - low**2 / 2) + slack[i]
         order = np.argsort(-bound, kind="stable")
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step = 0, STEP
