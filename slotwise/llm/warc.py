@@ -91,11 +91,16 @@ def write(pages: DataFrame, target: str, least: int = LEAST, segment: int = SEGM
         F.col("page_id").alias("f_page"), F.col("digest").alias("f_digest"), "keep",
         F.when(F.col("page_id").eqNullSafe(F.col("keep")), "repeat").otherwise("revisit").alias("kind"),
     )
+    found = stored(found, "warc-revisits")
     same = F.col("page_id").eqNullSafe(F.col("f_page")) & (F.col("digest") == F.col("f_digest"))
-    told = rows.join(found, same, "left").select("page_id", "url", "html", "digest", "keep", "kind")
-    single = told.where("kind is null or kind = 'revisit'").withColumn("revisit", F.col("kind").isNotNull())
-    again = Window.partitionBy("page_id", "digest").orderBy("url")
-    repeated = told.where("kind = 'repeat'").withColumn("revisit", F.row_number().over(again) > 1)
+    told = rows.join(found, same, "left").where("kind is null or kind = 'revisit'")
+    captures = told.select("page_id", "url", "html", "digest", "keep", F.col("kind").isNotNull().alias("revisit"))
+    repeats = found.where("kind = 'repeat'")
+    if not repeats.isEmpty():
+        # Repeated rows, apart from the others so that payloads move once.
+        again = Window.partitionBy("page_id", "digest").orderBy("url")
+        repeated = rows.join(repeats, same).withColumn("revisit", F.row_number().over(again) > 1)
+        captures = captures.unionByName(repeated.select(captures.columns))
     schema = pa.schema([("records", pa.string())])
 
     def run(batches):
@@ -112,7 +117,7 @@ def write(pages: DataFrame, target: str, least: int = LEAST, segment: int = SEGM
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([BREAK.join(held)], pa.string())], schema=schema)
 
-    segments = single.unionByName(repeated).mapInArrow(run, "records string")
+    segments = captures.mapInArrow(run, "records string")
     # One row is one file; the writer's line end closes the last record.
     writer = segments.write.option("maxRecordsPerFile", 1).option("compression", "gzip")
     writer.option("lineSep", BREAK.decode()).text(target)
