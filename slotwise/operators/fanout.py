@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.signing import request_signature
 from ..session import fits_broadcast
 
-# Every event row carries the routes it matches, so fewer than a broadcast could hold.
-LOOKUP_ROUTES = 50_000
-
 _TARGET = ("route_id", "url", "program_id_filter", "event_type_filter", "source")
+# A key that accepts everything, and the mark in front of a given value; so a value "*" is only itself.
+_ANY, _GIVEN = "*", "="
 
 
 def route_matches(program_filter: Column, type_filter: Column, program: Column, kind: Column) -> Column:
@@ -22,14 +20,19 @@ def route_matches(program_filter: Column, type_filter: Column, program: Column,
     )
 
 
+def _key(filter_value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(_GIVEN), filter_value), F.lit(_ANY))
+
+
 def _targets(routes: DataFrame) -> DataFrame:
+    # Ordered by url, then by route: equal urls stand together and the lowest route comes first.
     return routes.select(
-        F.coalesce("program_id", F.lit("*")).alias("program_key"),
-        F.coalesce("event_type", F.lit("*")).alias("type_key"),
+        _key(F.col("program_id")).alias("program_key"),
+        _key(F.col("event_type")).alias("type_key"),
         F.struct(
+            F.col("url"),
             F.col("route_id").cast("bigint").alias("ord"),
             F.col("route_id").cast("string").alias("route_id"),
-            F.col("url"),
             F.coalesce("program_id", F.lit("*")).alias("program_id_filter"),
             F.coalesce("event_type", F.lit("*")).alias("event_type_filter"),
             F.lit("registry").alias("source"),
@@ -39,95 +42,65 @@ def _targets(routes: DataFrame) -> DataFrame:
 
 def _static_target(url: str) -> Column:
     return F.struct(
+        F.lit(url).alias("url"),
         F.lit(2**63 - 1).cast("bigint").alias("ord"),
         F.lit("static-env").alias("route_id"),
-        F.lit(url).alias("url"),
         F.lit("*").alias("program_id_filter"),
         F.lit("*").alias("event_type_filter"),
         F.lit("env").alias("source"),
     )
 
 
+def _first_of_url(sorted_targets: Column) -> Column:
+    return F.filter(sorted_targets, lambda t, i: (i == 0) | (F.get(sorted_targets, i - 1)["url"] != t["url"]))
+
+
 def matched_routes(
     events: DataFrame,
     routes: DataFrame,
     static_url: str | None = None,
     unique_urls: bool = False,
-    limit: int = LOOKUP_ROUTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Events joined with every route that accepts them.
 
-    With ``static_url`` one more target accepts every event. With
-    ``unique_urls`` an event reaches each url once: the lowest route id wins and
-    the static target comes last.
-
-    A route can only be found under four keys of an event: its program or any,
-    with its type or any. Routes of one key travel as one array, so a small
-    route table costs four hash look-ups and no shuffle of the events. A large
-    route table is joined on the same keys with a shuffle instead.
+    With ``static_url`` one more target accepts every event. With ``unique_urls`` an
+    event row reaches each url once: the lowest route id wins and the static target
+    comes last. A redelivered event is a row of its own. An event without program or
+    type only meets routes without that filter.
+
+    A route can only be found under four keys of an event: its program or any, with
+    its type or any. Routes of one key travel as one array, unique per url beforehand
+    where asked, so the event row is never multiplied before its targets are known.
+    The table of keys is broadcast up to ``limit`` rows and the session's byte bound;
+    beyond them the same four joins shuffle on the key, and adaptive execution splits
+    busy programs. Both give the same rows.
     """
-    targets = _targets(routes)
-    if fits_broadcast(routes, limit):
-        found = _by_lookup(events, targets, static_url, unique_urls)
-    else:
-        found = _by_shuffle(events, targets, static_url, unique_urls)
-    return found.select(*events.columns, *[F.col(f"target.{c}").alias(c) for c in _TARGET])
-
-
-def _by_lookup(events: DataFrame, targets: DataFrame, static_url: str | None, unique_urls: bool) -> DataFrame:
-    grouped = targets.groupBy("program_key", "type_key").agg(F.collect_list("target").alias("found"))
-    joined = events
-    hits = []
-    # Written over the column so that all four stay hash joins on two keys.
-    any_program = F.when(F.col("program_id").isNotNull(), "*")
-    any_type = F.when(F.col("event_type").isNotNull(), "*")
-    for i, (program, kind) in enumerate(
-        (p, k) for p in (F.col("program_id"), any_program) for k in (F.col("event_type"), any_type)
-    ):
+    grouped = _targets(routes).groupBy("program_key", "type_key").agg(F.array_sort(F.collect_list("target")).alias("found"))
+    if unique_urls:
+        grouped = grouped.withColumn("found", _first_of_url(F.col("found")))
+    place = F.broadcast if fits_broadcast(routes, limit) else (lambda side: side.hint("merge"))
+    joined, hits = events, []
+    program, kind = (F.concat(F.lit(_GIVEN), F.col(c)) for c in ("program_id", "event_type"))
+    for i, (own_program, own_kind) in enumerate([(p, k) for p in (True, False) for k in (True, False)]):
         p, k, hit = f"_p{i}", f"_k{i}", f"_hit{i}"
-        side = grouped.select(
-            F.col("program_key").alias(p), F.col("type_key").alias(k), F.col("found").alias(hit)
-        )
-        joined = joined.join(F.broadcast(side), (F.col(p) == program) & (F.col(k) == kind), "left").drop(p, k)
+        side = grouped.select(F.col("program_key").alias(p), F.col("type_key").alias(k), F.col("found").alias(hit))
+        if not own_program and not own_kind:
+            # The key that accepts everything is one row: no join key is left to shuffle on.
+            side = side.where((F.col(p) == _ANY) & (F.col(k) == _ANY)).select(hit, F.lit(1).alias(p))
+            joined = joined.join(F.broadcast(side), F.col(p) == F.lit(1), "left").drop(p)
+        else:
+            same = (F.col(p) == (program if own_program else F.lit(_ANY))) & (F.col(k) == (kind if own_kind else F.lit(_ANY)))
+            joined = joined.join(place(side), same, "left").drop(p, k)
         hits.append(F.coalesce(F.col(hit), F.array().cast(grouped.schema["found"].dataType)))
     every = F.concat(*hits)
     if static_url:
         every = F.array_append(every, _static_target(static_url))
     if unique_urls:
         joined = joined.withColumn("_all", F.array_sort(every))
-        joined = joined.withColumn("_urls", F.transform("_all", lambda t: t["url"]))
-        every = F.filter("_all", lambda t, i: F.array_position(F.col("_urls"), t["url"]) == i + 1)
-    return joined.select(*events.columns, F.explode(every).alias("target"))
-
-
-def _by_shuffle(events: DataFrame, targets: DataFrame, static_url: str | None, unique_urls: bool) -> DataFrame:
-    keys = F.explode(
-        F.array(
-            F.struct(F.col("program_id").alias("p"), F.col("event_type").alias("k")),
-            F.struct(F.col("program_id").alias("p"), F.lit("*").alias("k")),
-            F.struct(F.lit("*").alias("p"), F.col("event_type").alias("k")),
-            F.struct(F.lit("*").alias("p"), F.lit("*").alias("k")),
-        )
-    )
-    # Events carry a salt and routes are repeated per salt: the any/any key
-    # holds every event and a busy program a large share of them.
-    salts = 32
-    salted = events.select("*", keys.alias("_key")).withColumn(
-        "_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts))
-    )
-    repeated = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    found = salted.hint("merge").join(
-        repeated,
-        (F.col("_key.p") == F.col("program_key"))
-        & (F.col("_key.k") == F.col("type_key"))
-        & (salted["_salt"] == repeated["_salt"]),
-    ).select(*events.columns, "target")
-    if static_url:
-        found = found.unionByName(events.withColumn("target", _static_target(static_url)))
-    if unique_urls:
-        first = W.partitionBy("event_id", F.col("target.url")).orderBy("target.ord")
-        found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return found
+        every = _first_of_url(F.col("_all"))
+    found = joined.select(*events.columns, F.explode(every).alias("target"))
+    return found.select(*events.columns, *[F.col(f"target.{c}").alias(c) for c in _TARGET])
 
 
 def event_envelope(event: Column, context: str, timestamp_ms: Column) -> Column:

@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a dimension that may be broadcast. About 200 bytes a row keeps the
-# hash table near 100 MB on every executor.
+# What a dimension may hold to be broadcast: rows, and bytes of its rows as text.
 BROADCAST_ROW_LIMIT = 500_000
+BROADCAST_BYTE_LIMIT = 128 << 20
 
 
 def local_session(cpus: int | str = 8, name: str = "slotwise") -> SparkSession:
@@ -48,10 +48,14 @@ def workspace(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(dim: DataFrame, limit: int | None = None) -> bool:
-    """Count the dimension, stopping just past the limit."""
+def fits_broadcast(dim: DataFrame, limit: int | None = None, byte_limit: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """Measure the dimension, stopping just past the row limit."""
     limit = BROADCAST_ROW_LIMIT if limit is None else limit
-    return dim.select(F.lit(1)).limit(limit + 1).count() <= limit
+    if not limit:
+        return False
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))
+    held = dim.limit(limit + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return held["rows"] <= limit and held["bytes"] <= byte_limit
 
 
 def dimension(dim: DataFrame, limit: int | None = None) -> DataFrame:

@@ -50,6 +50,28 @@ def test_both_paths_agree(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_odd_events_on_both_paths(spark):
+    """No program, no type, a program named like the wildcard, and an event delivered twice."""
+    events = spark.createDataFrame(
+        [("a", None, "transaction"), ("b", "ProgramA", None), ("c", "*", "transaction"), ("d", "ProgramA", "transaction"),
+         ("d", "ProgramA", "transaction")],
+        "event_id string, program_id string, event_type string",
+    )
+    table = routes(spark, [*BASE, (6, "https://x/all", "", "transaction", True), (7, "https://x/star", "*", "", True)])
+    for unique in (False, True):
+        found = []
+        for limit in (100, 0):
+            made = fanout.matched_routes(events, table, "https://x/s", unique, limit)
+            found.append(sorted((r["event_id"], r["route_id"]) for r in made.collect()))
+        assert found[0] == found[1]
+        by = {e: [r for x, r in found[0] if x == e] for e in "abcd"}
+        assert by["a"] == (["2", "static-env"] if unique else ["2", "6", "static-env"])
+        assert by["b"] == ["2", "static-env"]
+        assert by["c"] == (["2", "7", "static-env"] if unique else ["2", "6", "7", "static-env"])
+        one = ["1", "2", "static-env"] if unique else ["1", "2", "3", "6", "static-env"]
+        assert by["d"] == sorted(one * 2)
+
+
 def test_blank_url_fails_the_load(spark):
     import pytest
 
