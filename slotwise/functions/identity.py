@@ -32,8 +32,5 @@ def registry_name(name: Column, content: Column) -> Column:
 
 
 def registry_version(content: Column) -> Column:
-    return F.get_json_object(content, "$.version")
-
-
-def channel(prefix: str, program_id: Column, event_type: Column) -> Column:
-    return F.concat_ws(":", F.lit(prefix), program_id, event_type)
+    """The version inside the content as JSON text, so that 25 stays a number and "25" a text."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(content), "$.version", "variant"))

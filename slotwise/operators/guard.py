@@ -83,10 +83,27 @@ def guard_one(spark: SparkSession, text: str) -> str:
     return row["clean_sql"]
 
 
-def guarded_query(spark: SparkSession, text: str, limit: int = DEFAULT_ROWS) -> DataFrame:
+# Functions that call Java code by name.
+_CALLS = r"(?i)(?<![0-9A-Za-z_])`?(?:reflect|java_method|try_reflect)`?\s*\("
+
+
+def run_guarded(spark: SparkSession, sql: str) -> DataFrame:
+    """A checked text over tables and views only: no file paths, no calls into Java."""
+    if re.search(_CALLS, sql):
+        raise ValueError("query contains unsupported keywords")
+    name = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return spark.sql(sql)  # names are resolved here
+    finally:
+        spark.conf.set(name, before)
+
+
+def guarded_query(spark: SparkSession, text: str, limit: int = DEFAULT_ROWS, max_rows: int = MAX_ROWS) -> DataFrame:
     """Run one read-only text over the session's views, capped as the API caps it."""
     sql = guard_one(spark, text)
-    return spark.sql(sql).limit(min(limit if limit > 0 else DEFAULT_ROWS, MAX_ROWS))
+    return run_guarded(spark, sql).limit(min(limit if limit > 0 else DEFAULT_ROWS, max_rows))
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -204,7 +221,7 @@ def verified_answer(
         if not hit:
             raise ValueError(f"strict mode requires querying table `{table}`")
     limit = min(limit if limit > 0 else DEFAULT_ROWS, MAX_ROWS)
-    result = spark.sql(sql).limit(limit)
+    result = run_guarded(spark, sql).limit(limit)
     row = F.struct(F.monotonically_increasing_id().alias("_position"), *[F.col(c) for c in result.columns])
     rows = result.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     first = F.get("rows", F.lit(0))

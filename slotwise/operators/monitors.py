@@ -81,10 +81,14 @@ def accepted_monitors(requests: DataFrame) -> DataFrame:
 def patch_monitors(monitors: DataFrame, changes: DataFrame, key: str = "monitor_id") -> DataFrame:
     """Apply the supplied fields of a change feed, then validate again.
 
-    A supplied text that is blank is a complaint of its own; NULL means absent.
+    A supplied text that is blank is a complaint of its own; NULL means absent. Several
+    changes of one monitor have no order among them: none is applied, which is a complaint.
     """
     supplied = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in supplied])
+    only = F.count("*") == 1
+    renamed = changes.groupBy(key).agg(
+        *[F.when(only, F.any_value(c)).alias(f"_new_{c}") for c in supplied], (~only).alias("_conflict")
+    )
     joined = monitors.join(renamed, key, "left")
     patched = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in supplied})
     blank = F.lit(None).cast("string")
@@ -95,16 +99,21 @@ def patch_monitors(monitors: DataFrame, changes: DataFrame, key: str = "monitor_
         blank = F.when(
             strip(F.col("_new_comparator")) == "", "comparator must be one of: gt, gte, lt, lte"
         ).otherwise(blank)
+    blank = F.when(F.col("_conflict"), "several changes of one monitor").otherwise(blank)
     checked = validate_monitors(patched.withColumn("_blank", blank))
     return checked.withColumn("reject_reason", F.coalesce("_blank", "reject_reason")).drop(
-        "_blank", *[f"_new_{c}" for c in supplied]
+        "_blank", "_conflict", *[f"_new_{c}" for c in supplied]
     )
 
 
 def last_state(audit: DataFrame) -> DataFrame:
-    """Last evaluation and last alert of each monitor, from its audit rows."""
+    """Last evaluation and last alert of each monitor, from its audit rows.
+
+    An alert still ``queued`` counts as sent until its delivery has failed, so a tick
+    before the consumer's report does not hand it over again.
+    """
     place = F.struct("evaluated_at", "evaluation_id")
-    sent = F.when(F.col("alert_sent"), place)
+    sent = F.when(F.col("alert_sent") | (F.col("delivery_state") == "queued"), place)
     return audit.groupBy("monitor_id").agg(
         F.max("evaluated_at").alias("last_evaluated_at"),
         F.max_by("value", place).alias("last_value"),
@@ -175,8 +184,8 @@ def evaluate(
 ) -> DataFrame:
     """Evaluate monitors at ``now`` and decide on delivery.
 
-    A deliverable alert is ``queued``: it becomes ``sent`` when the outbox
-    consumer reports success.
+    A deliverable alert is ``queued``: it becomes ``sent`` or ``failed`` with the outbox
+    consumer's report (:func:`settle`).
     """
     end = utc_bound(now)
     valued = monitor_values(events, monitors, now).join(
@@ -270,6 +279,30 @@ def audit_rows(evaluations: DataFrame) -> DataFrame:
     )
 
 
+def settle(audit: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Audit rows after the consumer's reports (evaluation_id, delivered, retry_attempts, error).
+
+    A queued row becomes ``sent`` or ``failed``; of several reports on one row the one
+    with most attempts counts. Rows without a report, and rows not queued, stay.
+    """
+    last = outcomes.groupBy("evaluation_id").agg(
+        F.max(F.struct(F.col("retry_attempts").cast("int").alias("attempts"), "delivered", "error")).alias("_last")
+    )
+    joined = audit.join(last, "evaluation_id", "left")
+    told = (F.col("delivery_state") == "queued") & F.col("_last.delivered").isNotNull()
+    sent = told & F.col("_last.delivered")
+    failed = told & ~F.col("_last.delivered")
+    # The reason recorded with each outcome.
+    changes = {
+        "alert_sent": F.when(told, F.col("_last.delivered")),
+        "delivery_state": F.when(sent, "sent").when(failed, "failed"),
+        "reason": F.when(sent, "triggered and webhook sent").when(failed, "triggered but webhook delivery failed after retries"),
+        "retry_attempts": F.when(told, F.col("_last.attempts")),
+        "error": F.when(failed, F.coalesce("_last.error", F.lit(""))),
+    }
+    return joined.select(*[F.coalesce(changes[c], F.col(c)).alias(c) if c in changes else F.col(c) for c in audit.columns])
+
+
 def audit_for_monitor(audit: DataFrame, monitors: DataFrame, monitor_id: int) -> DataFrame:
     known = monitors.where(F.col("monitor_id") == monitor_id).select("monitor_id")
     return audit.where(F.col("monitor_id") == monitor_id).join(known, "monitor_id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import (
@@ -70,7 +70,7 @@ def normalize_transactions(transactions: DataFrame, registry: DataFrame, limit:
         F.col("account_keys"),
         F.col("filters"),
         F.col("idl_name"),
-        F.col("idl_version"),
+        F.try_parse_json("idl_version").alias("idl_version"),
         F.struct(
             F.col("instruction.accounts").alias("accounts"),
             plain_base64(F.col("instruction.data")).alias("data_base64"),
@@ -107,7 +107,7 @@ def normalize_accounts(accounts: DataFrame, registry: DataFrame, limit: int | No
         F.col("executable"),
         F.col("filters"),
         F.col("idl_name"),
-        F.col("idl_version"),
+        F.try_parse_json("idl_version").alias("idl_version"),
         F.col("lamports"),
         F.col("owner"),
         F.col("rent_epoch"),
@@ -139,12 +139,16 @@ def event_log_rows(events: DataFrame) -> DataFrame:
     )
 
 
+def record_parts(columns: list[str]) -> tuple[Column, Column]:
+    """Key and value of the record that publishes an event of these columns."""
+    key = F.coalesce(F.nullif(F.col("partition_key"), F.lit("")), F.col("program_id"))
+    return key, F.to_json(F.struct(*columns), _JSON)
+
+
 def topic_records(events: DataFrame) -> DataFrame:
     """Key and value of the published record."""
-    return events.select(
-        F.coalesce(F.nullif(F.col("partition_key"), F.lit("")), F.col("program_id")).alias("key"),
-        F.to_json(F.struct(*events.columns), _JSON).alias("value"),
-    )
+    key, value = record_parts(events.columns)
+    return events.select(key.alias("key"), value.alias("value"))
 
 
 def channel_records(events: DataFrame, prefix: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .history import utc_bound
 from ..functions.text import blank_to_null, is_base58, is_http_url, is_identifier, is_json, strip
 
 
@@ -23,8 +24,10 @@ def validate_routes(requests: DataFrame) -> DataFrame:
     )
 
 
-def merge_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply at most one change per program: create, update or delete.
+def merge_registry(registry: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """Apply one change per program: create, update or delete. Several changes of one
+    program have no order among them: their result is ``conflict`` and the base row stays.
+    Created and updated rows carry ``now`` as updated_at.
 
     Gives every program with its merged row and ``result``; rows whose result is
     ``deleted``, ``missing`` or ``invalid`` with no base row are not part of the
@@ -35,7 +38,8 @@ def merge_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("action"),
         blank_to_null(F.col("name")).alias("_name"),
         F.nullif(F.col("content"), F.lit("")).alias("_content"),
-        F.lit(True).alias("_asked"),
+    ).groupBy("program_id").agg(
+        *(F.any_value(c).alias(c) for c in ("action", "_name", "_content")), F.count("*").alias("_asked")
     )
     merged = registry.withColumn("_known", F.lit(True)).join(asked, "program_id", "full_outer")
     known, content = F.col("_known").isNotNull(), F.col("_content")
@@ -43,6 +47,7 @@ def merge_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
     broken = content.isNotNull() & ~is_json(content)
     result = (
         F.when(F.col("_asked").isNull(), "unchanged")
+        .when(F.col("_asked") > 1, "conflict")
         .when(F.col("program_id") == "", "invalid")
         .when(creates & (content.isNull() | broken), "invalid")
         .when(creates & known, "duplicate")
@@ -60,10 +65,11 @@ def merge_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(takes, F.coalesce("_content", "content")).otherwise(F.col("content")).alias("content"),
         "result",
         known.alias("was_known"),
+        F.when(takes, utc_bound(now)).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
 
 def snapshot(merged: DataFrame) -> DataFrame:
     """Rows of the next registry version."""
     stays = (F.col("was_known") | (F.col("result") == "created")) & (F.col("result") != "deleted")
-    return merged.where(stays).select("program_id", "name", "content")
+    return merged.where(stays).select("program_id", "name", "content", "updated_at")

@@ -113,8 +113,7 @@ def load_registry(spark, sf):
 
 @query("load_active_routes")
 def load_active_routes(spark, sf):
-    requests = shape(spark, sf, "route_requests").where(text.strip(F.col("url")) != "")
-    return norm.load_routes(requests)
+    return norm.load_routes(shape(spark, sf, "route_requests"))
 
 
 @query("read_json_rows")
@@ -131,8 +130,7 @@ def export_json_rows(spark, sf):
 
 def _letter_lines(spark, sf):
     events = norm.normalize_accounts(shape(spark, sf, "raw_accounts"), _registry(spark, sf))
-    failed = events.where(F.col("slot") % 3 != 0)
-    letters = json_rows.dead_letter_rows(failed, F.col("observed_at_unix_ms") + 5, F.lit("publish failed"))
+    letters = json_rows.dead_letter_rows(events, F.col("observed_at_unix_ms") + 5, F.lit("publish failed"))
     lines = letters.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), F.col("event.slot"))
     broken = F.when(F.col("slot") % 97 == 1, F.concat(F.lit("{broken "), "slot")).otherwise(F.col("value"))
     return lines.select(broken.alias("value"))
@@ -155,8 +153,7 @@ def read_dlq(spark, sf):
 @query("write_dlq")
 def write_dlq(spark, sf):
     path = workspace(spark, "letters")
-    events = _transactions(spark, sf).where(F.col("slot") % 7 == 0)
-    letters = json_rows.dead_letter_rows(events, F.lit(1706508000000), F.lit("topic unavailable"))
+    letters = json_rows.dead_letter_rows(_transactions(spark, sf), F.lit(1706508000000), F.lit("topic unavailable"))
     json_rows.append_dead_letters(letters, path)
     return json_rows.read_dead_letters(spark, path).select(
         "failed_at_unix_ms", "error", "event.event_id", "event.program_id", "event.partition_key"
@@ -508,7 +505,7 @@ def ingest_counters(spark, sf):
 
 @query("ingestion_lag")
 def ingestion_lag(spark, sf):
-    return sl.ingestion_lag(shape(spark, sf, "ingest_log").where("event_id % 5 <> 0"), 1706700000000)
+    return sl.ingestion_lag(shape(spark, sf, "ingest_log"), 1706700000000)
 
 
 def _error_rate(spark, sf, objective=(43200, 1800, 0.05)):
@@ -671,7 +668,7 @@ def validate_monitors(spark, sf):
 
 
 def _changes(spark, sf):
-    base = inputs.table(spark, sf, "customer").where("c_custkey % 3 = 0")
+    base = inputs.table(spark, sf, "customer")
     return base.selectExpr(
         "c_custkey + 1 AS monitor_id",
         "CASE c_custkey % 5 WHEN 0 THEN concat(' new ', c_name, ' ') WHEN 1 THEN ' ' END AS name",
@@ -700,14 +697,15 @@ def _registry_changes(spark, sf):
 
 @query("registry_merge")
 def registry_merge(spark, sf):
-    merged = reg.merge_registry(inputs.registry(spark, sf), _registry_changes(spark, sf))
+    merged = reg.merge_registry(inputs.registry(spark, sf), _registry_changes(spark, sf), NOW)
     return merged.select("program_id", "name", "content", "result", "was_known")
 
 
 @query("registry_snapshot")
 def registry_snapshot(spark, sf):
-    merged = reg.merge_registry(inputs.registry(spark, sf), _registry_changes(spark, sf))
-    return event_log.rewrite(reg.snapshot(merged), workspace(spark, "registry"))
+    merged = reg.merge_registry(inputs.registry(spark, sf), _registry_changes(spark, sf), NOW)
+    written = event_log.rewrite(reg.snapshot(merged), workspace(spark, "registry"))
+    return written.select("program_id", "name", "content", us("updated_at"))
 
 
 @query("validate_routes")
@@ -753,7 +751,7 @@ def growth_ratios(spark, sf):
     """Ratio of each user's events in the second half of the month to the first."""
     late = F.col("timestamp") >= history.utc_bound("2024-01-16T00:00:00Z")
     per = _events(spark, sf).groupBy(F.coalesce("signature", F.lit("")).alias("signer")).agg(
-        F.count_if(~late & (F.col("slot") % 5 == 0)).alias("before"), F.count_if(late & (F.col("slot") % 5 == 0)).alias("after")
+        F.count_if(~late).alias("before"), F.count_if(late).alias("after")
     )
     return per.select("signer", scoring.growth_ratio(F.col("before"), F.col("after")).alias("ratio"))
 

@@ -83,7 +83,7 @@ ROUTE_REQUESTS = [
     " ELSE concat('https://hook', s_suppkey % 40, '.example/in ') END AS url",
     "CASE s_suppkey % 8 WHEN 5 THEN 'Prog0' WHEN 6 THEN ' ' ELSE concat('Prog', 1 + s_suppkey % 9) END AS program_id",
     "CASE s_suppkey % 7 WHEN 4 THEN 'two words' WHEN 5 THEN '' ELSE 'transaction' END AS event_type",
-    "s_suppkey % 5 <> 0 AS is_active",
+    "s_suppkey % 5 <> 0 AND s_suppkey % 9 <> 3 AS is_active",
     "timestampadd(HOUR, cast(s_suppkey * 5 % 1009 AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS created_at",
 ]
 
@@ -258,7 +258,7 @@ def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size <= 25").selectExpr(*REGISTRY)
+    return table(spark, sf_dir, "part").selectExpr(*REGISTRY)
 
 
 def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:

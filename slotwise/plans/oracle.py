@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.signing import hmac_pads
-from ..operators.guard import FORBIDDEN
 from .inputs import SECRET
 
 _WS = "concat(chr(9),chr(10),chr(11),chr(12),chr(13),' ',chr(133),chr(160),chr(5760)," + ",".join(
     f"chr({c})" for c in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ) + ")"
-_INNER, _OUTER = (p.hex() for p in hmac_pads(SECRET))
+# Written out here, not taken from the engine: key pads of HMAC-SHA256 and the unsafe words.
+_INNER, _OUTER = (bytes(b ^ pad for b in SECRET.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+_UNSAFE = "insert|update|delete|drop|alter|truncate|optimize|system|create|attach|detach|grant|revoke|kill|rename"
 
 
 def _strip(c: str) -> str:
@@ -111,13 +111,13 @@ _cte(
     CASE p_size % 3 WHEN 0 THEN '{"name":"' || p_brand || '","version":"0.' || p_size || '"}'
     WHEN 1 THEN '{"version":' || p_size || '}' ELSE '{"name":7}' END AS content,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey * 37 % 100000) AS updated_at
-    FROM part WHERE p_size <= 25""",
+    FROM part""",
 )
 _cte(
     "registry",
     """SELECT program_id, CASE WHEN trim(name) <> '' THEN name
     WHEN json_type(content, '$.name') = 'VARCHAR' THEN json_extract_string(content, '$.name')
-    ELSE 'unknown' END AS idl_name, json_extract_string(content, '$.version') AS idl_version FROM registry_rows""",
+    ELSE 'unknown' END AS idl_name, json_extract(content, '$.version') AS idl_version FROM registry_rows""",
     "registry_rows",
 )
 _cte(
@@ -175,7 +175,7 @@ _cte(
     ELSE 'https://hook' || (s_suppkey % 40) || '.example/in ' END AS url,
     CASE s_suppkey % 8 WHEN 5 THEN 'Prog0' WHEN 6 THEN ' ' ELSE 'Prog' || (1 + s_suppkey % 9) END AS program_id,
     CASE s_suppkey % 7 WHEN 4 THEN 'two words' WHEN 5 THEN '' ELSE 'transaction' END AS event_type,
-    s_suppkey % 5 <> 0 AS is_active,
+    s_suppkey % 5 <> 0 AND s_suppkey % 9 <> 3 AS is_active,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(s_suppkey * 5 % 1009) AS created_at FROM supplier""",
 )
 _cte(
@@ -464,16 +464,16 @@ _O["subscription_filter"] = _with("raw_tx", "raw_acc") + """, subs AS (SELECT 'p
 SELECT 'transaction' AS kind, slot, own_keys[1] AS subject FROM raw_tx WHERE NOT is_vote
 AND (own_keys[1] IN (SELECT id FROM subs) OR own_keys[2] IN (SELECT id FROM subs) OR own_keys[3] IN (SELECT id FROM subs))
 UNION ALL SELECT 'account', slot, pubkey FROM raw_acc WHERE owner IN (SELECT id FROM subs)"""
-_O["load_registry"] = _with("registry") + "SELECT * FROM registry"
+_O["load_registry"] = _with("registry") + "SELECT program_id, idl_name, CAST(idl_version AS VARCHAR) AS idl_version FROM registry"
 _O["load_active_routes"] = _with("route_requests") + """SELECT route_id, trim(url) AS url, nullif(trim(program_id), '') AS program_id,
-nullif(trim(event_type), '') AS event_type FROM route_requests WHERE is_active AND trim(url) <> ''"""
+nullif(trim(event_type), '') AS event_type FROM route_requests WHERE is_active"""
 _O["export_json_rows"] = _with("chain_events") + """SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type,
 'program_id': program_id, 'slot': slot, 'signature': signature}) AS VARCHAR) AS row FROM chain_events"""
 _cte(
     "letters",
     """SELECT CASE WHEN slot % 97 = 1 THEN NULL ELSE event_id END AS event_id, slot, CASE WHEN slot % 97 = 1 THEN NULL
     ELSE observed_at_unix_ms + 5 END AS failed_at, CASE WHEN slot % 97 = 1 THEN '{broken ' || slot END AS bad_line
-    FROM acc_events WHERE slot % 3 <> 0""",
+    FROM acc_events""",
     "acc_events",
 )
 _cte(
@@ -491,7 +491,7 @@ _O["dlq_backlog"] = _with("batch") + f"""SELECT processed, replayed, total - rep
 FROM (SELECT (SELECT count(*) FROM batch) AS processed, (SELECT count(*) FROM batch WHERE {_DONE}) AS replayed,
 (SELECT count(*) FROM letters) AS total)"""
 _O["write_dlq"] = _with("tx_events") + """SELECT 1706508000000 AS failed_at_unix_ms, 'topic unavailable' AS error, event_id,
-program_id, partition_key FROM tx_events WHERE slot % 7 = 0"""
+program_id, partition_key FROM tx_events"""
 _O["publish_events"] = _with("tx_events") + """SELECT partition_key AS key, CAST(to_json({'event_id': event_id,
 'event_type': event_type, 'program_id': program_id, 'slot': slot, 'signature': signature, 'partition_key': partition_key,
 'source_endpoint': source_endpoint, 'observed_at_unix_ms': observed_at_unix_ms, 'payload': payload}) AS VARCHAR) AS value
@@ -525,13 +525,13 @@ _O["readonly_guard"] = _with("cleaned") + f"""SELECT doc_id, sha256(c) AS clean_
 WHEN contains(c, '--') OR contains(c, '/*') OR contains(c, '*/') THEN 'sql comments are not allowed'
 WHEN contains(c, ';') THEN 'multiple statements are not allowed'
 WHEN NOT regexp_matches(c, '^(select|with)', 'i') THEN 'only read-only SELECT queries are allowed'
-WHEN regexp_matches(c, '\\b({"|".join(FORBIDDEN)})\\b', 'i') THEN 'query contains unsupported keywords' END AS reject_reason FROM cleaned"""
+WHEN regexp_matches(c, '\\b({_UNSAFE})\\b', 'i') THEN 'query contains unsupported keywords' END AS reject_reason FROM cleaned"""
 _O["table_reference_check"] = _with("texts") + r"SELECT doc_id, regexp_matches(lower(q), '\bchain_events\b') AS mentioned FROM texts"
 _O["valid_webhook_urls"] = f"""SELECT page_id, u AS url, {_url('u')} AS is_valid FROM (SELECT page_id, CASE page_id % 10
 WHEN 1 THEN replace(url, '://', ':/') WHEN 2 THEN replace(replace(url, 'https', 'ftp'), 'http', 'FTP')
 WHEN 3 THEN '  HTTP://user@' || page_id || '.example:80/a%20b ' WHEN 4 THEN 'http://:80/' || page_id
 WHEN 5 THEN 'https:///' || page_id WHEN 6 THEN 'https://a b/' || page_id WHEN 7 THEN url || '/%zz' ELSE url END AS u FROM pages)"""
-_O["registry_lookup"] = _with("registry") + "SELECT * FROM registry WHERE program_id = 'part0' LIMIT 1"
+_O["registry_lookup"] = _with("registry") + "SELECT program_id, idl_name, CAST(idl_version AS VARCHAR) AS idl_version FROM registry WHERE program_id = 'part0' LIMIT 1"
 _O["normalize_transactions"] = _with("tx_events") + "SELECT * FROM tx_events"
 _O["normalize_accounts"] = _with("acc_events") + "SELECT * FROM acc_events"
 _O["route_fanout"] = _with("matched") + "SELECT * EXCLUDE (ord) FROM matched"
@@ -616,7 +616,7 @@ _O["ingest_counters"] = """SELECT count(*) AS events_total, count(*) FILTER (eve
 count(*) FILTER (event_type = 'error') AS publish_failures_total, count(*) FILTER (event_id % 13 = 0) AS delivery_failures_total,
 max((epoch_us(ts) // 1000)) AS last_event_observed_ms, max((epoch_us(ts) // 1000)) FILTER (event_type <> 'error') AS last_publish_success_ms,
 max((epoch_us(ts) // 1000)) FILTER (event_type = 'error') AS last_publish_failure_ms FROM events"""
-_O["ingestion_lag"] = """SELECT greatest(1706700000000 - max((epoch_us(ts) // 1000)), 0) AS ingestion_lag_ms FROM events WHERE event_id % 5 <> 0"""
+_O["ingestion_lag"] = """SELECT greatest(1706700000000 - max((epoch_us(ts) // 1000)), 0) AS ingestion_lag_ms FROM events"""
 _O["slo_error_rate"] = _with("rates") + "SELECT * FROM rates"
 _O["slo_lag_level"] = """SELECT event_id, CASE WHEN (epoch_us(ts) // 1000) % 180000 >= 120000 THEN 'red' WHEN (epoch_us(ts) // 1000) % 180000 >= 60000
 THEN 'orange' ELSE 'green' END AS lag_level, CASE WHEN event_id % 13 >= 5 THEN 'red' WHEN event_id % 13 >= 3 THEN 'orange'
@@ -665,14 +665,15 @@ _cte(
     CASE c_custkey % 5 WHEN 0 THEN 'new ' || c_name WHEN 1 THEN ' ' END AS n,
     CASE c_custkey % 4 WHEN 0 THEN 'GTE' WHEN 1 THEN 'between' END AS cm, CASE WHEN c_custkey % 2 = 0 THEN 7.5::DOUBLE END AS th,
     CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 7 = 1 THEN 30000 END AS wm,
-    CASE WHEN c_custkey % 11 = 0 THEN false END AS ia FROM customer WHERE c_custkey % 3 = 0) USING (monitor_id)""",
+    CASE WHEN c_custkey % 11 = 0 THEN false END AS ia FROM customer) USING (monitor_id)""",
     "monitors",
 )
 _O["patch_monitors"] = _with("patched") + f"""SELECT monitor_id, name, comparator, threshold, window_minutes, is_active,
 coalesce(CASE WHEN n = ' ' THEN 'name cannot be empty' END, {_MONITOR_REASON}) AS reject_reason FROM patched"""
 _cte(
     "merged",
-    """SELECT coalesce(r.program_id, c.pid) AS program_id, r.name AS old_name, r.content AS old_content, r.program_id IS NOT NULL AS was_known,
+    """SELECT coalesce(r.program_id, c.pid) AS program_id, r.name AS old_name, r.content AS old_content, r.updated_at AS old_updated,
+    r.program_id IS NOT NULL AS was_known,
     c.nm, c.ct, CASE WHEN c.pid IS NULL THEN 'unchanged'
     WHEN action = 'create' AND (ct IS NULL OR NOT json_valid(ct)) THEN 'invalid'
     WHEN action = 'create' THEN CASE WHEN r.program_id IS NULL THEN 'created' ELSE 'duplicate' END
@@ -688,11 +689,12 @@ _cte(
 _cte(
     "merged_rows",
     """SELECT program_id, CASE WHEN result IN ('created', 'updated') THEN coalesce(nm, old_name, '') ELSE old_name END AS name,
-    CASE WHEN result IN ('created', 'updated') THEN coalesce(ct, old_content) ELSE old_content END AS content, result, was_known FROM merged""",
+    CASE WHEN result IN ('created', 'updated') THEN coalesce(ct, old_content) ELSE old_content END AS content, result, was_known,
+    CASE WHEN result IN ('created', 'updated') THEN epoch_us(TIMESTAMP '2024-01-29 06:00:00') ELSE epoch_us(old_updated) END AS updated_at_us FROM merged""",
     "merged",
 )
-_O["registry_merge"] = _with("merged_rows") + "SELECT * FROM merged_rows"
-_O["registry_snapshot"] = _with("merged_rows") + """SELECT program_id, name, content FROM merged_rows
+_O["registry_merge"] = _with("merged_rows") + "SELECT program_id, name, content, result, was_known FROM merged_rows"
+_O["registry_snapshot"] = _with("merged_rows") + """SELECT program_id, name, content, updated_at_us FROM merged_rows
 WHERE result = 'created' OR (was_known AND result <> 'deleted')"""
 _O["validate_routes"] = _with("route_requests") + """SELECT route_id, trim(url) AS url, trim(program_id) AS program_id, event_type,
 CASE WHEN trim(url) = '' THEN 'url is required' WHEN NOT regexp_matches(trim(url), '^https?://[a-z]') THEN 'url is invalid'
@@ -711,8 +713,8 @@ _O["accept_inbound"] = _FRESH + "SELECT i AS request_id, k AS nonce, accepted AS
 _O["land_inbound"] = _FRESH + f"""SELECT request_id, {_strip('nonce')} AS nonce, key_id, source_ip, body AS payload,
 received_us AS received_at_us FROM chain JOIN verified ON request_id = i WHERE accepted"""
 _O["growth_ratios"] = _with("chain_events") + f"""SELECT signer, {_ratio('b', 'a')} AS ratio FROM (SELECT coalesce(signature, '') AS signer,
-count(*) FILTER (timestamp < TIMESTAMP '2024-01-16' AND slot % 5 = 0) AS b,
-count(*) FILTER (timestamp >= TIMESTAMP '2024-01-16' AND slot % 5 = 0) AS a FROM chain_events GROUP BY 1)"""
+count(*) FILTER (timestamp < TIMESTAMP '2024-01-16') AS b,
+count(*) FILTER (timestamp >= TIMESTAMP '2024-01-16') AS a FROM chain_events GROUP BY 1)"""
 _O["probability_bands"] = """SELECT event_id, p, CASE WHEN p >= 0.75 THEN 'high' WHEN p >= 0.45 THEN 'medium' ELSE 'low' END AS band
 FROM (SELECT event_id, least(greatest((event_id % 120) / 100.0::DOUBLE - 0.05::DOUBLE, 0.01::DOUBLE), 0.99::DOUBLE) AS p FROM events)"""
 _O["report_verdicts"] = """SELECT event_id, CASE WHEN r = 0 THEN 'insufficient_data' WHEN k = 0 THEN 'watch' WHEN v <= 0 THEN 'critical'
@@ -775,11 +777,9 @@ _O["delivery_outbox"] = _with("outbox") + f"SELECT *, 'v1=' || {_hmac('sent_at',
 _O["stream_updates"] = _with("raw_tx", "raw_acc") + """SELECT 'transaction' AS kind, slot, signature FROM raw_tx
 UNION ALL SELECT 'account', slot, signature FROM raw_acc"""
 _cte("all_events", "SELECT * FROM tx_events UNION ALL SELECT * FROM acc_events", "tx_events", "acc_events")
-_RECORD = """CAST(to_json({'event_id': event_id, 'event_type': event_type, 'program_id': program_id, 'slot': slot, 'signature': signature,
-'partition_key': partition_key, 'source_endpoint': source_endpoint, 'observed_at_unix_ms': observed_at_unix_ms, 'payload': payload}) AS VARCHAR)"""
 _O["stream_normalize"] = _with("all_events") + "SELECT * FROM all_events"
-_O["stream_publish_dlq"] = _with("all_events") + f"""SELECT event_id, CASE WHEN strlen({_RECORD}) <= 480 THEN 'published'
-ELSE 'dead_letter' END AS state FROM all_events"""
+_O["stream_publish_dlq"] = _with("all_events") + """SELECT event_id, CASE WHEN slot % 10 = 1 THEN 'dead_letter: topic unavailable'
+ELSE 'published' END AS state FROM all_events"""
 _O["stream_ingest_metrics"] = _with("all_events") + """SELECT count(*) AS events_total, count(*) AS published_total,
 0 AS publish_failures_total, max(observed_at_unix_ms) AS last_event_observed_ms FROM all_events"""
 _O["stream_fanout"] = _with("all_events", "routes") + """SELECT event_id, route_id, url, source FROM (

@@ -20,11 +20,14 @@ from .inputs import shape
 
 
 def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files.
+
+    The pattern matches the name alone; a plain path to one file is taken for a folder.
+    """
     return (
         spark.readStream.schema(schemas.TABLES[name])
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", 8)
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir}/{name}.parque[t]")
     )
 
 
@@ -40,14 +43,14 @@ def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.file_updates(spark, path, files_per_batch=4)
 
 
-def _ingested(spark: SparkSession, sf_dir: str, sink: str, schema, routes: bool = False, limit: int = ingest.MAX_RECORD_BYTES):
+def _ingested(spark: SparkSession, sf_dir: str, sink: str, schema, routes: bool = False, publish=ingest.accepted_by_topic):
     path = workspace(spark, "ingest")
     job = ingest.Ingest(
         lambda: inputs.registry(spark, sf_dir),
         (lambda: shape(spark, sf_dir, "routes").withColumn("program_id", F.concat(F.lit("part"), "route_id"))) if routes else None,
         path,
         STATIC_URL,
-        limit,
+        publish,
     )
     ingest.run_available(_updates(spark, sf_dir), job, f"{path}/checkpoint")
     if schema is None:
@@ -70,16 +73,20 @@ def stream_normalize(spark, sf):
     return _ingested(spark, sf, "normalized", schemas.NORMALIZED_EVENT).select(*schemas.NORMALIZED_EVENT.names)
 
 
+def _failing_topic(records):
+    return records.withColumn("error", F.when(F.col("slot") % 10 == 1, "topic unavailable"))
+
+
 @query("stream_publish_dlq")
 def stream_publish_dlq(spark, sf):
-    """Published and dead-lettered events when records over 480 bytes are refused."""
+    """Published and dead-lettered events when the topic fails for some slots."""
     from ..sources.json_rows import read_dead_letters
 
-    path = _ingested(spark, sf, "", None, limit=480)
+    path = _ingested(spark, sf, "", None, publish=_failing_topic)
     topic = spark.read.schema("key string, value string").parquet(f"{path}topic")
     letters = read_dead_letters(spark, f"{path}dead_letters")
     return topic.select(F.get_json_object("value", "$.event_id").alias("event_id"), F.lit("published").alias("state")).unionByName(
-        letters.select("event.event_id", F.lit("dead_letter").alias("state"))
+        letters.select("event.event_id", F.concat(F.lit("dead_letter: "), "error").alias("state"))
     )
 
 

@@ -6,9 +6,12 @@ retried, so a restarted job neither loses nor repeats rows.
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +22,7 @@ from ..schemas import RAW_ACCOUNT, RAW_TRANSACTION
 from ..sources.event_log import by_day
 from ..sources.json_rows import dead_letter_rows, read_dead_letters
 
-# A topic refuses larger records.
-MAX_RECORD_BYTES = 1_000_000
+_LOG = logging.getLogger(__name__)
 
 UPDATE = T.StructType(
     [T.StructField("transaction", RAW_TRANSACTION), T.StructField("account", RAW_ACCOUNT)]
@@ -71,62 +73,72 @@ def normalize_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def accepted_by_topic(records: DataFrame) -> DataFrame:
+    """Outcome of a topic that takes every record."""
+    return records.withColumn("error", F.lit(None).cast("string"))
+
+
 @dataclass
 class Ingest:
     """One micro-batch at a time through every sink.
 
-    ``registry`` and ``routes`` are read again for each batch; when a load fails
-    the previous copy stays in use.
+    ``registry`` and ``routes`` are read again for each batch. A load that passes its
+    checks is written to a numbered folder and used from there; when a load fails the
+    copy of the last good one stays in use, whatever became of its source.
+
+    ``publish`` gets normalised events with their record (``key``, ``value``) once per batch
+    and gives them back with ``error``: NULL once the record is in the topic, else why
+    the last attempt failed. Failed events become dead letters.
     """
 
     registry: Callable[[], DataFrame]
     routes: Callable[[], DataFrame] | None
     out: str
     static_url: str | None = None
-    max_record_bytes: int = MAX_RECORD_BYTES
+    publish: Callable[[DataFrame], DataFrame] = accepted_by_topic
     _kept: dict = field(default_factory=dict)
 
-    def _fresh(self, name: str, load: Callable[[], DataFrame]) -> DataFrame:
+    def _fresh(self, name: str, load: Callable[[], DataFrame], batch_id: int) -> DataFrame:
+        path = f"{self.out}/kept/{name}-{batch_id}-{uuid.uuid4().hex[:8]}"
         try:
             table = load()
-            table.write.format("noop").mode("overwrite").save()
-            self._kept[name] = table
-        except Exception:
+            table.write.parquet(path)
+            self._kept[name] = table.sparkSession.read.schema(table.schema).parquet(path)
+        except PySparkException as failure:
             if name not in self._kept:
                 raise
+            _LOG.warning("the last good copy of %s stays in use: %s", name, failure)
         return self._kept[name]
 
-    def _save(self, df: DataFrame, sink: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.out}/{sink}/batch_id={batch_id}")
+    def _save(self, df: DataFrame, sink: str, batch_id: int) -> DataFrame:
+        path = f"{self.out}/{sink}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def __call__(self, updates: DataFrame, batch_id: int) -> None:
-        registry = self._fresh("registry", lambda: normalize.load_registry(self.registry()))
-        events = normalize_updates(updates, registry)
+        registry = self._fresh("registry", lambda: normalize.load_registry(self.registry()), batch_id)
         # Written once; every sink reads the written rows, not the join again.
-        staged = f"{self.out}/normalized/batch_id={batch_id}"
-        events.write.mode("overwrite").parquet(staged)
-        events = events.sparkSession.read.schema(events.schema).parquet(staged)
-        whole = events.withColumn("_value", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}))
-        fits = F.octet_length("_value") <= self.max_record_bytes
-        bad = whole.where(~fits).drop("_value")
+        events = self._save(normalize_updates(updates, registry), "normalized", batch_id)
         by_day(normalize.event_log_rows(events)).write.mode("overwrite").partitionBy("event_date").parquet(
             f"{self.out}/event_log/batch_id={batch_id}"
         )
-        records = normalize.topic_records(events)
-        self._save(records.where(F.octet_length("value") <= self.max_record_bytes), "topic", batch_id)
-        letters = dead_letter_rows(bad, F.col("observed_at_unix_ms"), F.lit("record too large"))
+        key, value = normalize.record_parts(events.columns)
+        outcome = self._save(self.publish(events.withColumn("key", key).withColumn("value", value)), "publish_outcome", batch_id)
+        failed = outcome.where("error IS NOT NULL")
+        self._save(outcome.where("error IS NULL").select("key", "value"), "topic", batch_id)
+        letters = dead_letter_rows(failed, F.col("observed_at_unix_ms"), F.col("error"))
         letters.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(
             "overwrite"
         ).text(f"{self.out}/dead_letters/batch_id={batch_id}")
-        metrics = whole.agg(
+        metrics = outcome.agg(
             F.count("*").alias("events_total"),
-            F.count_if(fits).alias("published_total"),
-            F.count_if(~fits).alias("publish_failures_total"),
+            F.count_if(F.col("error").isNull()).alias("published_total"),
+            F.count_if(F.col("error").isNotNull()).alias("publish_failures_total"),
             F.coalesce(F.max("observed_at_unix_ms"), F.lit(0)).alias("last_event_observed_ms"),
         )
         self._save(metrics, "metrics", batch_id)
         if self.routes is not None:
-            routes = self._fresh("routes", lambda: normalize.load_routes(self.routes()))
+            routes = self._fresh("routes", lambda: normalize.load_routes(self.routes()), batch_id)
             matched = fanout.matched_routes(events, routes, self.static_url, unique_urls=True)
             self._save(matched, "outbox", batch_id)
 
@@ -162,11 +174,17 @@ def replay_dead_letters(
 ) -> DataFrame:
     """One bounded replay: publish the oldest letters, write the rest as the next version.
 
-    ``publish`` gives back the letters that went through. The old folder is left
-    as it is; the caller points to the new one.
+    ``publish`` gives back the letters that went through and runs once: batch and outcome
+    are written beside ``out`` (``-batch``, ``-replayed``) and read from there. The old
+    folder is left as it is; the caller points to the new one.
     """
     letters = read_dead_letters(spark, path)
-    batch = dl.replay_batch(letters, size)
-    done = publish(batch.where("event IS NOT NULL"))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{out}-{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}-{name}")
+
+    batch = written(dl.replay_batch(letters, size), "batch")
+    done = written(publish(batch.where("event IS NOT NULL")), "replayed")
     dl.remaining(letters, done).select(F.col("raw").alias("value")).write.text(out)
     return dl.backlog(letters, batch, done)

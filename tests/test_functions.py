@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from slotwise.functions import scoring, signing, text, timing
@@ -103,3 +105,32 @@ def test_times(spark):
 def test_base64_has_no_line_breaks(spark):
     long = "x" * 300
     assert "\n" not in column(spark, [long], lambda c: signing.plain_base64(F.encode(c, "UTF-8")))[0]
+
+
+def test_guard_keeps_to_tables(spark):
+    from slotwise.operators import guard
+
+    spark.range(5).createOrReplaceTempView("five")
+    assert guard.guarded_query(spark, "select * from five").count() == 5
+    for text in ("select * from text.`/etc/hostname`", "select reflect('java.util.UUID', 'randomUUID')", "select try_reflect ('a.b', 'c') from five"):
+        with pytest.raises(Exception):
+            guard.guarded_query(spark, text).collect()
+    assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == "true"
+
+
+def test_registry_changes_and_versions(spark):
+    from slotwise.functions.identity import registry_version
+    from slotwise.operators import registry
+
+    texts = spark.createDataFrame([('{"version":25}',), ('{"version":"25"}',), ('{"version":null}',), ("{}",), ("oops",)], "c string")
+    assert [r["v"] for r in texts.select(registry_version(F.col("c")).alias("v")).collect()] == ["25", '"25"', "null", None, None]
+    base = spark.createDataFrame([("p1", "a", "{}"), ("p2", "b", "{}")], "program_id string, name string, content string")
+    base = base.withColumn("updated_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    changes = spark.createDataFrame(
+        [("p1", "update", "x", None), ("p1", "delete", None, None), ("p2", "update", "y", None)],
+        "program_id string, action string, name string, content string",
+    )
+    merged = registry.merge_registry(base, changes, "2024-02-01T00:00:00Z")
+    got = {r["program_id"]: (r["name"], r["result"], r["updated_at"].month) for r in merged.collect()}
+    assert got == {"p1": ("a", "conflict", 1), "p2": ("y", "updated", 2)}
+    assert registry.snapshot(merged).count() == 2

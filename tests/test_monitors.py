@@ -95,3 +95,37 @@ def test_free_templates(spark):
     events(spark).createOrReplaceTempView("chain_events")
     rows = [{"monitor_id": 1, "program_id": "P", "window_minutes": 60, "query_template": TEXT}]
     assert mon.evaluate_templates(spark, rows, NOW).first()["value"] == 4.0
+
+
+def test_two_ticks_deliver_once(spark):
+    log, made = audit(spark), []
+    monitors = spark.createDataFrame([monitor(1, cooldown_minutes=0), monitor(2)], FIELDS)
+    later = "2024-01-02T00:01:00Z"
+    first = mon.audit_rows(mon.evaluate(events(spark), monitors, log, NOW))
+    assert {r["delivery_state"] for r in first.collect()} == {"queued"}
+    for tick_log in (
+        first,  # no report yet
+        mon.settle(first, first.selectExpr("evaluation_id", "true AS delivered", "1 AS retry_attempts", "'' AS error")),
+        mon.settle(first, first.selectExpr("evaluation_id", "false AS delivered", "2 AS retry_attempts", "'timeout' AS error")),
+    ):
+        made.append({r["monitor_id"]: r["delivery_state"] for r in mon.evaluate(events(spark), monitors, tick_log, later).collect()})
+    assert "queued" not in made[0].values() and made[0] == made[1]
+    assert set(made[2].values()) == {"queued"}
+
+
+def test_outcomes_of_deliveries(spark):
+    monitors = spark.createDataFrame([monitor(i) for i in (1, 2, 3)], FIELDS)
+    log = mon.audit_rows(mon.evaluate(events(spark), monitors, audit(spark), NOW))
+    ids = {r["monitor_id"]: r["evaluation_id"] for r in log.collect()}
+    reports = [(ids[1], False, 1, "refused"), (ids[1], True, 2, ""), (ids[2], False, 3, "timeout")]
+    made = mon.settle(log, spark.createDataFrame(reports, "evaluation_id long, delivered boolean, retry_attempts int, error string"))
+    got = {r["monitor_id"]: (r["delivery_state"], r["alert_sent"], r["retry_attempts"], r["error"]) for r in made.collect()}
+    assert got == {1: ("sent", True, 2, ""), 2: ("failed", False, 3, "timeout"), 3: ("queued", False, 0, "")}
+    assert made.columns == log.columns
+
+
+def test_several_changes_of_one_monitor_are_refused(spark):
+    base = spark.createDataFrame([monitor(1), monitor(2)], FIELDS)
+    changes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "monitor_id long, name string")
+    got = {r["monitor_id"]: (r["name"], r["reject_reason"]) for r in mon.patch_monitors(base, changes).collect()}
+    assert got == {1: ("Growth Monitor", "several changes of one monitor"), 2: ("c", None)}

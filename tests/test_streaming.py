@@ -62,6 +62,57 @@ def test_restart_and_registry_failure(spark):
     job(ingest.parse_updates(spark.read.text(updates)), 0)  # a retried batch overwrites its own folder
 
 
+def test_kept_copy_survives_a_bad_load_in_place(spark):
+    source, out = workspace(spark, "registry-source"), workspace(spark, "ingest")
+    registry(spark, SF).write.parquet(source)
+    job = ingest.Ingest(lambda: spark.read.parquet(source), None, out)
+    updates = ingest.parse_updates(
+        ingest.update_lines(shape(spark, SF, "raw_transactions").limit(50), shape(spark, SF, "raw_accounts").limit(50))
+    )
+    job(updates, 0)
+    registry(spark, SF).withColumn("program_id", F.lit(" ")).write.mode("overwrite").parquet(source)
+    job(updates, 1)
+    rows = spark.read.parquet(f"{out}/normalized").groupBy("batch_id").count().collect()
+    assert len(rows) == 2 and rows[0]["count"] == rows[1]["count"] > 0
+
+
+def test_failed_publishing_becomes_dead_letters(spark):
+    out, calls = workspace(spark, "ingest"), []
+
+    def publish(records):
+        calls.append(1)
+        return records.withColumn("error", F.when(F.col("slot") % 2 == 0, "topic unavailable"))
+
+    job = ingest.Ingest(lambda: registry(spark, SF), None, out, publish=publish)
+    updates = ingest.parse_updates(
+        ingest.update_lines(shape(spark, SF, "raw_transactions").limit(50), shape(spark, SF, "raw_accounts").limit(50))
+    )
+    job(updates, 0)
+    letters = read_dead_letters(spark, f"{out}/dead_letters")
+    topic, events = spark.read.parquet(f"{out}/topic"), spark.read.parquet(f"{out}/normalized")
+    assert len(calls) == 1 and letters.where("error <> 'topic unavailable'").count() == 0
+    assert letters.count() == events.where("slot % 2 = 0").count() > 0
+    assert topic.count() == events.where("slot % 2 = 1").count() > 0
+
+
+def test_replay_publishes_each_letter_once(spark):
+    letters, out = workspace(spark, "letters"), workspace(spark, "letters")
+    lines = [f'{{"failed_at_unix_ms":{i},"error":"e","event":{{"event_id":"e{i}"}}}}' for i in range(9)]
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(letters)
+    seen = spark.sparkContext.accumulator(0)
+
+    def publish(batch):
+        def count(frames):
+            for frame in frames:
+                seen.add(len(frame))
+                yield frame
+
+        return batch.mapInPandas(count, batch.schema)
+
+    ingest.replay_dead_letters(spark, letters, out, publish, 9).collect()
+    assert seen.value == 9
+
+
 def test_replay_moves_a_bounded_batch(spark):
     letters = workspace(spark, "letters")
     good = [f'{{"failed_at_unix_ms":{i},"error":"e","event":{{"event_id":"e{i}"}}}}' for i in range(6)]
