@@ -224,14 +224,6 @@ def _decide(at, mark, quiet: int, repeat: int, state: tuple | None):
     return accepted, anchor_at, position
 
 
-def mark_rows(pdf: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
-    pdf = pdf.sort_values(["at", "tie"], kind="stable")
-    at, mark = pdf["at"].to_numpy(np.int64), pdf["mark"].to_numpy(object)
-    quiet, repeat = int(pdf["quiet"].iloc[0]), int(pdf["repeat"].iloc[0])
-    pdf["accepted"], pdf["anchor_at"], pdf["position"] = _decide(at, mark, quiet, repeat, state)
-    return pdf
-
-
 def _nullable(kind: pa.DataType) -> pa.DataType:
     """The type with every nested field nullable, as the declared schema has it."""
     if pa.types.is_struct(kind):

@@ -13,7 +13,7 @@ from ..operators import ordered_rules
 from ..session import workspace
 from ..sources import event_log
 from ..streaming import ingest
-from ..streaming.stateful import stream_quiet_rule
+from ..streaming.stateful import ordered_stream
 from . import catalog, inputs
 from .catalog import DAY_US, NOW, STATIC_URL, query, us
 from .inputs import shape
@@ -31,6 +31,14 @@ def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+#: A table's files come in no order of time, so rows wait for all of a year's files.
+TABLE_DELAY_US = 366 * DAY_US
+
+
+def _ordered(spark: SparkSession, purpose: str):
+    return ordered_stream(workspace(spark, purpose), TABLE_DELAY_US)
+
+
 def _landed(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     path = workspace(spark, purpose)
     ingest.append_available(stream, f"{path}/rows", f"{path}/checkpoint")
@@ -117,15 +125,15 @@ def nonce_replay_filter(spark, sf):
     rows = _table_stream(spark, sf, "events").select(
         "event_id", "user_id", (F.floor(timing.micros(F.col("ts")) / 1_000_000) * 1_000_000).alias("received_us")
     )
-    ruled = ordered_rules.new_nonces(rows, "user_id", "received_us", "event_id", 36_000 * 1_000_000, rule=stream_quiet_rule)
-    return _landed(spark, ruled, "nonces").select("event_id", "user_id", "fresh")
+    ruled = ordered_rules.new_nonces(rows, "user_id", "received_us", "event_id", 36_000 * 1_000_000, rule=_ordered(spark, "nonces"))
+    return ruled.select("event_id", "user_id", "fresh")
 
 
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf):
     rows = _table_stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
-    ruled = ordered_rules.rate_limit(rows, "key", "at", "request_id", 2, DAY_US, rule=stream_quiet_rule)
-    return _landed(spark, ruled, "limits").select("request_id", "key", "allowed", "remaining")
+    ruled = ordered_rules.rate_limit(rows, "key", "at", "request_id", 2, DAY_US, rule=_ordered(spark, "limits"))
+    return ruled.select("request_id", "key", "allowed", "remaining")
 
 
 @query("stream_alert_suppress")
@@ -134,8 +142,8 @@ def stream_alert_suppress(spark, sf):
         "evaluation_id", "monitor_id", "evaluated_at", "dedupe_key",
         F.lit(1440).alias("cooldown_minutes"), F.lit(7200).alias("dedupe_minutes"),
     )
-    ruled = ordered_rules.suppress_alerts(rows, rule=stream_quiet_rule)
-    return _landed(spark, ruled, "alerts").select("evaluation_id", "delivery_state", "last_sent_us")
+    ruled = ordered_rules.suppress_alerts(rows, rule=_ordered(spark, "alerts"))
+    return ruled.select("evaluation_id", "delivery_state", "last_sent_us")
 
 
 @query("dlq_replay_job")

@@ -1,62 +1,139 @@
-"""The ordered rule of :mod:`slotwise.operators.ordered_rules` as keyed stream state."""
+"""The ordered rule of :mod:`slotwise.operators.ordered_rules` on a stream, in event-time order.
+
+Rows may arrive out of order by up to ``delay_us``. Each micro-batch is kept as it arrived; the
+watermark is the newest time seen less the delay, and the rows between the last watermark and
+the new one are then decided together by the batch rule, which splits hot keys. The state that
+enters is one row for each key: its last accepted time and mark and the rows since. It goes in
+as the key's first row. A state whose quiet and repeat spans end before the watermark decides
+nothing any more and is dropped, by event time and not by the clock of the job.
+
+Rows older than the watermark when they arrive, and rows without a time, are late: they come
+back with null decisions and change none. Every folder carries its micro-batch's number, so a
+batch that runs again overwrites what it wrote.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.ordered_rules import mark_rows, rule_rows
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class QuietRule(StatefulProcessor):
-    """Keeps the last accepted time, its mark and the rows seen since, per key."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "at long, mark string, n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One micro-batch of one key; the source's rate option bounds it.
-        pdf = pd.concat(list(rows), ignore_index=True)
-        last = self.state.get() if self.state.exists() else None
-        out = mark_rows(pdf, tuple(last) if last else None)
-        end = out.iloc[-1]
-        own = out.loc[out["accepted"], "mark"]
-        mark = own.iloc[-1] if len(own) else last[1]
-        self.state.update((int(end["anchor_at"]), mark, int(end["position"])))
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def stream_quiet_rule(
-    rows: DataFrame,
-    key: Column,
-    at_us: Column,
-    tie: Column,
-    quiet_us: Column,
-    repeat_us: Column | None = None,
-    mark: Column | None = None,
-    state_ttl_ms: int | None = None,
-) -> DataFrame:
-    """Drop-in for ``apply_quiet_rule`` on a stream; rows of a key must arrive in order
-    across micro-batches. ``state_ttl_ms`` frees keys idle for that long."""
-    base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    ruled = base.groupBy("k").transformWithStateInPandas(
-        QuietRule(state_ttl_ms),
-        f"{fields}, accepted boolean, anchor_at long, position long",
-        "Append",
-        "processingTime" if state_ttl_ms else "none",
-    )
-    return ruled.select("row.*", "accepted", "anchor_at", "position")
+from pyspark.sql import types as T
+
+from ..operators.ordered_rules import apply_quiet_rule, rule_rows
+from .ingest import run_available
+
+BEGIN, END = -(1 << 62), 1 << 62
+FINAL = -1
+_STATES = "k string, at long, mark string, n long, quiet long, repeat long"
+_MARKS = "batch long, newest long, watermark long"
+
+
+class OrderedSink:
+    """Sink of a stream of :func:`rule_rows`; everything it keeps lies under ``path``."""
+
+    def __init__(self, path: str, delay_us: int, schema: T.StructType):
+        self.path, self.delay_us, self.schema = path, delay_us, schema
+
+    def _folder(self, kind: str, batch_id: int) -> str:
+        return f"{self.path}/{kind}/batch_id={batch_id}"
+
+    def _marks(self, spark: SparkSession, batch_id: int) -> tuple[int, list[int]]:
+        """Watermark before a batch, and the batches that hold rows not older than it."""
+        if batch_id <= 0:
+            return BEGIN, []
+        marks = spark.read.schema(_MARKS).parquet(f"{self.path}/marks").where(F.col("batch") < batch_id)
+        before = marks.agg(F.max("watermark")).first()[0]
+        # As many rows as there were micro-batches within the delay.
+        return before, [r["batch"] for r in marks.where(F.col("newest") >= before).select("batch").collect()]
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(self._folder("arrived", batch_id))
+        newest = self._arrived(spark, [batch_id]).agg(F.max("at")).first()[0]
+        before, waiting = self._marks(spark, batch_id)
+        after = before if newest is None else max(before, newest - self.delay_us)
+        late = self._arrived(spark, [batch_id]).where(F.col("at").isNull() | (F.col("at") < before))
+        late.select("row").write.mode("overwrite").parquet(self._folder("late", batch_id))
+        self._decide(spark, batch_id, batch_id - 1, [*waiting, batch_id], before, after)
+        mark = spark.createDataFrame([(batch_id, newest, after)], _MARKS)
+        mark.coalesce(1).write.mode("overwrite").parquet(self._folder("marks", batch_id))
+
+    def finish(self, spark: SparkSession) -> None:
+        """Decides what still waits, once no more rows can arrive."""
+        last = spark.read.schema(_MARKS).parquet(f"{self.path}/marks").agg(F.max("batch")).first()[0]
+        before, waiting = self._marks(spark, last + 1)
+        self._decide(spark, FINAL, last, waiting, before, END)
+
+    def _arrived(self, spark: SparkSession, batches: list[int]) -> DataFrame:
+        if not batches:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*[self._folder("arrived", b) for b in batches])
+
+    def states(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id < 0:
+            return spark.createDataFrame([], _STATES)
+        return spark.read.schema(_STATES).parquet(self._folder("states", batch_id))
+
+    def _decide(self, spark: SparkSession, batch_id: int, previous: int, batches: list[int], before: int, after: int) -> None:
+        due = self._arrived(spark, batches).where((F.col("at") >= before) & (F.col("at") < after))
+        states = self.states(spark, previous)
+        keys = due.select("k").distinct()
+        entering = states.join(keys, "k", "left_semi")
+        first = entering.select(
+            F.lit(None).cast(self.schema["row"].dataType).alias("row"), "k", "at", F.lit(BEGIN).alias("tie"),
+            "quiet", "repeat", "mark", F.lit(True).alias("is_state"),
+        )
+        ruled = apply_quiet_rule(
+            due.withColumn("is_state", F.lit(False)).unionByName(first),
+            F.col("k"), F.col("at"), F.col("tie"), F.col("quiet"), F.col("repeat"), F.col("mark"),
+        ).where("NOT is_state")
+        carried = entering.select("k", F.col("at").alias("c_at"), F.col("mark").alias("c_mark"), F.col("n").alias("c_n"))
+        made = ruled.join(carried, "k", "left").withColumn(
+            "position", F.col("position") + F.when(F.col("anchor_at") == F.col("c_at"), F.col("c_n") - 1).otherwise(0)
+        )
+        target = self._folder("decided", batch_id)
+        made.drop("is_state", "c_at", "c_n").write.mode("overwrite").parquet(target)
+        decided = self.decided(spark, target)
+        place = F.struct("at", "tie")
+        own = F.when(F.col("accepted"), place)
+        last = decided.groupBy("k").agg(
+            F.max_by("anchor_at", place).alias("at"),
+            F.coalesce(F.max_by("mark", own), F.max("c_mark")).alias("mark"),
+            F.max_by("position", place).alias("n"),
+            F.max_by("quiet", place).alias("quiet"),
+            F.max_by("repeat", place).alias("repeat"),
+        )
+        held = last.unionByName(states.join(keys, "k", "left_anti"))
+        alive = held.where(F.col("at") + F.greatest("quiet", "repeat") > after)
+        alive.write.mode("overwrite").parquet(self._folder("states", batch_id))
+
+    def decided(self, spark: SparkSession, target: str | None = None) -> DataFrame:
+        more = [("accepted", "boolean"), ("anchor_at", "long"), ("position", "long"), ("c_mark", "string")]
+        schema = T.StructType(list(self.schema.fields))
+        for name, kind in more:
+            schema = schema.add(name, kind)
+        return spark.read.schema(schema).parquet(target or f"{self.path}/decided")
+
+    def result(self, spark: SparkSession) -> DataFrame:
+        """The input's columns with accepted, anchor_at and position; null for late rows."""
+        made = self.decided(spark).select("row.*", "accepted", "anchor_at", "position")
+        late = spark.read.schema(T.StructType([self.schema["row"]])).parquet(f"{self.path}/late")
+        return made.unionByName(late.select("row.*"), allowMissingColumns=True)
+
+
+def ordered_stream(path: str, delay_us: int) -> Callable[..., DataFrame]:
+    """A drop-in for ``apply_quiet_rule`` on a stream that ends: runs it through to its end
+    and gives the decided rows. A job without an end uses :class:`OrderedSink` itself."""
+
+    def rule(
+        rows: DataFrame, key: Column, at_us: Column, tie: Column, quiet_us: Column,
+        repeat_us: Column | None = None, mark: Column | None = None,
+    ) -> DataFrame:
+        base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
+        sink = OrderedSink(path, delay_us, base.schema)
+        run_available(base, sink, f"{path}/checkpoint")
+        sink.finish(rows.sparkSession)
+        return sink.result(rows.sparkSession)
+
+    return rule

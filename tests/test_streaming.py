@@ -8,26 +8,60 @@ from slotwise.schemas import EVENT_LOG
 from slotwise.session import workspace
 from slotwise.sources.json_rows import read_dead_letters
 from slotwise.streaming import ingest
-from slotwise.streaming.stateful import stream_quiet_rule
+from slotwise.streaming.stateful import ordered_stream
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_state_survives_micro_batches(spark):
-    rows = table(spark, SF, "events").select("event_id", "user_id", "ts")
+DAY = 86_400_000_000
+
+
+def _in_files(spark, rows, order):
+    """The rows in four files of the given order in time, as a stream of one file a batch."""
     path = workspace(spark, "stream-in")
-    for part in range(3):  # files land in time order
-        rows.where(f"event_id DIV 334 = {part}").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    made = ordered_rules.rate_limit(stream, "user_id", "ts", "event_id", 2, 86_400_000_000, rule=stream_quiet_rule)
-    out = workspace(spark, "stream-out")
-    ingest.append_available(made, f"{out}/rows", f"{out}/checkpoint")
-    got = spark.read.schema(made.schema).parquet(f"{out}/rows")
-    want = ordered_rules.rate_limit(rows, "user_id", "ts", "event_id", 2, 86_400_000_000)
-    assert want.count() == 1000
+    for part in order:
+        rows.where(f"event_id DIV 250 = {part}").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _limited(rows, **more):
+    return ordered_rules.rate_limit(rows, "user_id", "ts", "event_id", 2, DAY, **more)
+
+
+def test_files_out_of_order_give_the_batch_result(spark):
+    rows = table(spark, SF, "events").select("event_id", "user_id", "ts")
+    want = _limited(rows)
+    for order, delay in (((0, 1, 2, 3), 2 * DAY), ((2, 0, 3, 1), 40 * DAY)):
+        got = _limited(_in_files(spark, rows, order), rule=ordered_stream(workspace(spark, "ordered"), delay))
+        assert got.count() == want.count() == rows.count()
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_suppression_keeps_marks_across_batches(spark):
+    rows = table(spark, SF, "events").selectExpr(
+        "event_id evaluation_id", "event_id", "user_id % 3 monitor_id", "ts evaluated_at", "event_type dedupe_key",
+        "600 cooldown_minutes", "2000 dedupe_minutes",
+    )
+    rule = ordered_stream(workspace(spark, "ordered"), 2 * DAY)
+    got = ordered_rules.suppress_alerts(_in_files(spark, rows, (0, 1, 2, 3)), rule=rule)
+    want = ordered_rules.suppress_alerts(rows)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_late_rows_come_back_undecided_and_states_expire(spark):
+    rows = table(spark, SF, "events").select("event_id", "user_id", "ts")
+    path = workspace(spark, "ordered")
+    got = _limited(_in_files(spark, rows, (0, 3, 1, 2)), rule=ordered_stream(path, DAY))
+    late = got.where("allowed IS NULL")
+    assert got.count() == 1000 and late.count() > 300
+    on_time = rows.join(late, "event_id", "left_anti")
+    assert got.where("allowed IS NOT NULL").exceptAll(_limited(on_time)).count() == 0
+    users = rows.select("user_id").distinct().count()
+    for batch in (1, 2, 3):
+        assert spark.read.parquet(f"{path}/states/batch_id={batch}").count() < users
+    assert spark.read.parquet(f"{path}/states/batch_id=-1").count() == 0
+
+
 def _job(spark, out, load):
     return ingest.Ingest(load, lambda: shape(spark, SF, "routes"), out, "https://s/x")
 
