@@ -92,10 +92,11 @@ def visible_rows(df: DataFrame, grant_role: str, grant_programs: list[str], colu
 
 
 def program_access(rows: DataFrame, grants: DataFrame) -> DataFrame:
-    """(subject, row) pairs for which the subject may see the row.
+    """(subject, program_id) pairs for which the subject may see the program's rows.
 
-    The grants are exploded to one key per program, so the pairs come from an
-    equi-join; whole-table grants use the key '*', which every row also offers.
+    Rows are reduced to their programs first and a reader joins or filters with the pairs, so
+    no subject multiplies the table. Grants are one key per program; whole-table grants
+    use the key '*', which every program also offers.
     """
     keys = normalized_grants(grants).select(
         "subject",
@@ -105,8 +106,9 @@ def program_access(rows: DataFrame, grants: DataFrame) -> DataFrame:
         ).alias("access_key"),
     )
     program = strip(F.coalesce(F.col("program_id"), F.lit("")))
-    offered = rows.withColumn("access_key", F.explode(F.array(program, F.lit("*"))))
-    return offered.join(dimension(keys), "access_key").drop("access_key")
+    programs = rows.select("program_id", program.alias("_program")).distinct()
+    offered = programs.select("program_id", F.explode(F.array("_program", F.lit("*"))).alias("access_key"))
+    return offered.join(dimension(keys), "access_key").select("subject", "program_id").distinct()
 
 
 def due_monitors(monitors: DataFrame, last_evaluated: DataFrame, now: str) -> DataFrame:

@@ -314,8 +314,11 @@ def orphan_audit(audit: DataFrame, monitors: DataFrame) -> DataFrame:
 
 def kept_audit(audit: DataFrame, now: str, retention_hours: int = 720) -> DataFrame:
     """Audit rows that survive a purge."""
-    edge = utc_bound(now) - F.expr(f"INTERVAL {int(retention_hours)} HOUR")
-    return audit.where(F.col("created_at") >= edge)
+    return audit.where(F.col("created_at") >= retention_edge(now, retention_hours))
+
+
+def retention_edge(now: str, retention_hours: int) -> Column:
+    return utc_bound(now) - F.expr(f"INTERVAL {int(retention_hours)} HOUR")
 
 
 def alert_outbox(evaluations: DataFrame, now_unix_s: int, secret: str, key_id: str) -> DataFrame:

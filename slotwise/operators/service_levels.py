@@ -108,6 +108,14 @@ def grid_increases(
     deltas = counter_deltas(samples, series, counters, bucket_us)
     step = F.ceil(F.col("at_us") / GRID)
     cells = deltas.groupBy(step.alias("step")).agg(*[F.sum(f"{c}_delta").alias(c) for c in counters])
+    full = full_grid(cells, counters)
+    span = window_s * SECOND // GRID
+    bucket = max(span, 86400 * SECOND // GRID)
+    return trailing_grid_sums(full, "step", span, bucket, **{f"{c}_increase": c for c in counters})
+
+
+def full_grid(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """Every step from the first to the last of ``cells``, zeros where nothing happened."""
     hours = 3600 * SECOND // GRID
     ends = cells.agg(F.min("step").alias("low"), F.max("step").alias("high"))
     blocks = ends.select(
@@ -116,10 +124,25 @@ def grid_increases(
     grid = blocks.select(
         "low", "high", F.explode(F.sequence(F.col("h") * hours, F.col("h") * hours + hours - 1)).alias("step")
     ).where("step BETWEEN low AND high").select("step")
-    full = grid.join(cells, "step", "left").fillna(0.0, subset=counters)
-    span = window_s * SECOND // GRID
-    bucket = max(span, hours * 24)
-    return trailing_grid_sums(full, "step", span, bucket, **{f"{c}_increase": c for c in counters})
+    return grid.join(cells, "step", "left").fillna(0, subset=columns)
+
+
+def lag_checks(log: DataFrame, limit_ms: int = LAG_LIMIT_MS) -> DataFrame:
+    """Per grid step whether the newest event seen by then is older than the limit.
+
+    That is so when the steps within the limit saw no event. An event exactly on a step counts in
+    the next one too, as its age then still equals the limit.
+    """
+    grid_ms = GRID // 1000
+    if limit_ms % grid_ms:
+        raise ValueError(f"the limit must be a multiple of {grid_ms} ms")
+    at = F.col("observed_at_unix_ms")
+    step = F.ceil(at / grid_ms)
+    steps = F.when(at % grid_ms == 0, F.array(step, step + 1)).otherwise(F.array(step))
+    cells = log.select(F.explode(steps).alias("step")).groupBy("step").agg(F.count("*").alias("events"))
+    span = limit_ms // grid_ms
+    made = trailing_grid_sums(full_grid(cells, ["events"]), "step", span, max(span, 86400 * SECOND // GRID), _seen="events")
+    return made.select("step", (F.col("_seen") == 0).alias("breached"))
 
 
 def error_rate(

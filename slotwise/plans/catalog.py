@@ -230,9 +230,8 @@ def valid_identifiers(spark, sf):
 
 @query("program_access")
 def program_access(spark, sf):
-    """Programs with their event counts, per subject that may see them."""
-    programs = _events(spark, sf).groupBy("program_id").agg(F.count("*").alias("events"))
-    return history.program_access(programs, shape(spark, sf, "grants")).select("subject", "program_id", "events")
+    """The programs each subject may see."""
+    return history.program_access(_events(spark, sf), shape(spark, sf, "grants"))
 
 
 @query("visible_events")
@@ -419,6 +418,16 @@ def conditional_distinct_approx(spark, sf):
     return _events(spark, sf).groupBy("program_id").agg(F.approx_count_distinct(sent, 0.02).alias("transaction_signers"))
 
 
+@query("conditional_distinct_bound")
+def conditional_distinct_bound(spark, sf):
+    """Whether each approximate count lies within three standard errors of the exact one."""
+    signer = F.coalesce("signature", F.lit(""))
+    sent = _events(spark, sf).where("event_type = 'transaction'").select("program_id", signer.alias("signer"))
+    exact = sent.distinct().groupBy("program_id").agg(F.count("*").alias("exact"))
+    close = F.abs(F.col("transaction_signers") - F.col("exact")) <= 3 * 0.02 * F.col("exact")
+    return exact.join(conditional_distinct_approx(spark, sf), "program_id").select("program_id", close.alias("within"))
+
+
 @query("launch_backtest")
 def launch_backtest(spark, sf):
     return _backtest(spark, sf).select(
@@ -452,7 +461,8 @@ def signal_performance(spark, sf):
 
 
 def _scored(spark, sf):
-    judged = _backtest(spark, sf)
+    # Judged once: history and candidates are both read from what was written.
+    judged = event_log.rewrite(_backtest(spark, sf), workspace(spark, "judged"))
     return bt.score_launches(judged.where("launch_idx < 16"), judged.where("launch_idx >= 16"), SETTINGS)
 
 
@@ -517,6 +527,27 @@ def slo_error_rate(spark, sf):
     return _error_rate(spark, sf).select("step", "errors_increase", "executions_increase", "ratio", "breached")
 
 
+def _objective(spark, sf, objective):
+    checks = sl.error_rate(shape(spark, sf, "metric_samples"), ["instance"], "errors", "executions", objective)
+    return sl.alert_states(checks, objective[1]).select("step", "ratio", "breached", "state")
+
+
+@query("slo_query_errors")
+def slo_query_errors(spark, sf):
+    return _objective(spark, sf, sl.QUERY_OBJECTIVE)
+
+
+@query("slo_monitor_failures")
+def slo_monitor_failures(spark, sf):
+    """The monitors' objective, with the samples' errors and executions as failures and evaluations."""
+    return _objective(spark, sf, sl.MONITOR_OBJECTIVE)
+
+
+@query("slo_lag_hold")
+def slo_lag_hold(spark, sf):
+    return sl.alert_states(sl.lag_checks(shape(spark, sf, "ingest_log")), sl.LAG_HOLD).select("step", "breached", "state")
+
+
 @query("slo_lag_level")
 def slo_lag_level(spark, sf):
     """Bands of the gap before each ingested event and of the ratios."""
@@ -715,8 +746,11 @@ def validate_routes(spark, sf):
 
 @query("purge_audit")
 def purge_audit(spark, sf):
-    """Kept and purged counts of a purge written as a new table version."""
-    kept = event_log.rewrite(mon.kept_audit(_audit(spark, sf), NOW, 240), workspace(spark, "audit"))
+    """Kept and purged counts of a purge of the log by day."""
+    path = workspace(spark, "audit")
+    event_log.append_audit(_audit(spark, sf), path)
+    event_log.purge_audit(spark, path, NOW, 240)
+    kept = event_log.read_audit(spark, path)
     before = _audit(spark, sf).agg(F.count("*").alias("n")).withColumn("kind", F.lit("before"))
     after = kept.agg(F.count("*").alias("n")).withColumn("kind", F.lit("kept"))
     n = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n")))
@@ -882,6 +916,11 @@ def analyst_report(spark, sf):
         "verdict", "confidence", "executive_summary", "row_count",
         F.concat_ws("|", F.transform("kpis", lambda k: k["metric"])).alias("kpi_names"),
         F.col("kpis")[0]["value"].alias("first_kpi"), F.col("findings")[2].alias("finding"),
+        "report_version", F.col("recommended_actions")[0].alias("action"),
+        F.col("recommended_automation.comparator").alias("comparator"),
+        F.col("recommended_automation.threshold_hint").alias("threshold_hint"),
+        F.col("recommended_automation.schedule_minutes").alias("schedule_minutes"),
+        F.concat_ws("|", "verification.checks").alias("checks"),
     )
 
 

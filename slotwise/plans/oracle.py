@@ -511,8 +511,8 @@ _O["valid_program_ids"] = _with("launch_requests") + f"""SELECT launch_idx, raw_
 FROM launch_requests"""
 _O["valid_identifiers"] = _with("route_requests") + """SELECT route_id, event_type,
 regexp_full_match(event_type, '[A-Za-z0-9_.:-]+') AS is_valid FROM route_requests"""
-_O["program_access"] = _with("chain_events") + """, programs AS (SELECT program_id, count(*) AS events FROM chain_events GROUP BY 1)
-SELECT 'subject' || s_suppkey AS subject, program_id, events FROM supplier, programs WHERE s_suppkey % 19 = 0
+_O["program_access"] = _with("chain_events") + """, programs AS (SELECT DISTINCT program_id FROM chain_events)
+SELECT 'subject' || s_suppkey AS subject, program_id FROM supplier, programs WHERE s_suppkey % 19 = 0
 OR s_suppkey % 7 < 2 OR program_id = 'Prog' || (1 + s_suppkey % 9) OR program_id = 'Prog' || (1 + s_suppkey % 5)"""
 _O["visible_events"] = _with("chain_events") + "SELECT event_id, program_id FROM chain_events WHERE program_id IN ('Prog2', 'Prog5')"
 _O["due_monitors"] = _with("monitors", "last_now") + f"""SELECT monitor_id, last_us AS last_evaluated_at_us FROM monitors
@@ -618,6 +618,30 @@ max((epoch_us(ts) // 1000)) AS last_event_observed_ms, max((epoch_us(ts) // 1000
 max((epoch_us(ts) // 1000)) FILTER (event_type = 'error') AS last_publish_failure_ms FROM events"""
 _O["ingestion_lag"] = """SELECT greatest(1706700000000 - max((epoch_us(ts) // 1000)), 0) AS ingestion_lag_ms FROM events"""
 _O["slo_error_rate"] = _with("rates") + "SELECT * FROM rates"
+_HELD = """, runs AS (SELECT *, sum(CASE WHEN breached THEN 0 ELSE 1 END) OVER (ORDER BY step) AS run FROM checks),
+since AS (SELECT *, min(step) FILTER (breached) OVER (PARTITION BY run ORDER BY step) AS start FROM runs)
+SELECT {columns}, CASE WHEN NOT breached THEN 'inactive' WHEN (step - start) * 30 >= {hold} THEN 'firing' ELSE 'pending' END AS state
+FROM since"""
+
+
+def _objective(steps: int, above: float, hold: int) -> str:
+    """The objectives as the rule file states them, on windows of whole 30 s steps."""
+    return _with("deltas") + f""", cells AS (SELECT (at_us + 29999999) // 30000000 AS step, sum(de) AS de, sum(dr) AS dr FROM deltas GROUP BY 1),
+    sums AS (SELECT step, sum(coalesce(dr, 0)) OVER f AS errors, sum(coalesce(de, 0)) OVER f AS total
+      FROM (SELECT unnest(range(lo, hi + 1)) AS step FROM (SELECT min(step) AS lo, max(step) AS hi FROM cells)) g
+      LEFT JOIN cells USING (step) WINDOW f AS (ORDER BY step ROWS BETWEEN {steps - 1} PRECEDING AND CURRENT ROW)),
+    checks AS (SELECT step, errors / greatest(total, 1) AS ratio, errors / greatest(total, 1) > {above} AS breached FROM sums)
+    """ + _HELD.format(columns="step, ratio, breached", hold=hold)
+
+
+_O["slo_query_errors"] = _objective(10, 0.05, 600)
+_O["slo_monitor_failures"] = _objective(20, 0.10, 900)
+_O["slo_lag_hold"] = """WITH seen AS (SELECT DISTINCT epoch_us(ts) // 1000 AS ms FROM events),
+g AS (SELECT unnest(range(lo, hi + 1)) AS step FROM (SELECT min((ms + 29999) // 30000) AS lo, max(ms // 30000 + 1) AS hi FROM seen)),
+checks AS (SELECT step, step * 30000 - ms > 120000 AS breached FROM g ASOF JOIN seen ON seen.ms <= g.step * 30000)
+""" + _HELD.format(columns="step, breached", hold=600)
+_O["conditional_distinct_bound"] = _with("chain_events") + """SELECT DISTINCT program_id, true AS within FROM chain_events
+WHERE event_type = 'transaction'"""
 _O["slo_lag_level"] = """SELECT event_id, CASE WHEN (epoch_us(ts) // 1000) % 180000 >= 120000 THEN 'red' WHEN (epoch_us(ts) // 1000) % 180000 >= 60000
 THEN 'orange' ELSE 'green' END AS lag_level, CASE WHEN event_id % 13 >= 5 THEN 'red' WHEN event_id % 13 >= 3 THEN 'orange'
 ELSE 'green' END AS query_level, CASE WHEN event_id % 13 >= 10 THEN 'red' WHEN event_id % 13 >= 5 THEN 'orange' ELSE 'green' END
@@ -756,7 +780,10 @@ SELECT CASE WHEN k < 1 THEN 'critical' WHEN k < 10 THEN 'watch' ELSE 'healthy' E
 0.45::DOUBLE + 0.2::DOUBLE + CASE WHEN n >= 5 THEN 0.1::DOUBLE ELSE 0 END + 0.2::DOUBLE AS confidence,
 CASE WHEN k < 10 THEN 'Query executed and indicates a watch-level condition; monitor closely.' ELSE
 'Query executed and metrics appear healthy for the requested scope.' END AS executive_summary, CAST(n AS INTEGER) AS row_count,
-'events|slot' AS kpi_names, CAST(k AS DOUBLE) AS first_kpi, printf('Top KPI `events` has value %.4f.', k::DOUBLE) AS finding FROM f"""
+'events|slot' AS kpi_names, CAST(k AS DOUBLE) AS first_kpi, printf('Top KPI `events` has value %.4f.', k::DOUBLE) AS finding,
+'1.0' AS report_version, 'Review suggested automation and tune threshold before activating in production.' AS action,
+'lt' AS comparator, k * 0.7::DOUBLE AS threshold_hint, 60 AS schedule_minutes,
+'single read-only statement|no SQL comments|execution evidence attached|table reference validated' AS checks FROM f"""
 _O["monitor_evaluation"] = _with("evaluated") + f"""SELECT monitor_id, value, triggered, dedupe_key, delivery_state, CASE delivery_state
 WHEN 'not_triggered' THEN 'condition not met' WHEN 'dry_run' THEN 'triggered in dry-run mode (no webhook sent)'
 WHEN 'cooldown' THEN 'triggered but still in cooldown' WHEN 'deduped' THEN 'triggered but dedupe window suppressed duplicate alert'
@@ -773,6 +800,9 @@ _cte(
 )
 _O["delivery_outbox"] = _with("outbox") + f"SELECT *, 'v1=' || {_hmac('sent_at', 'nonce', 'body')} AS signature FROM outbox"
 
+_O["monitor_two_ticks"] = _with("evaluated") + """SELECT monitor_id, 1::BIGINT AS deliveries FROM evaluated
+WHERE is_active AND delivery_state = 'queued'"""
+
 # Streams give the rows of their batch operators.
 _O["stream_updates"] = _with("raw_tx", "raw_acc") + """SELECT 'transaction' AS kind, slot, signature FROM raw_tx
 UNION ALL SELECT 'account', slot, signature FROM raw_acc"""

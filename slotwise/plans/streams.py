@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import timing
+from ..operators import history
 from ..operators import monitors as mon
 from ..operators import normalize as norm
 from ..operators import ordered_rules
@@ -157,8 +158,6 @@ def dlq_replay_job(spark, sf):
 @query("monitor_tick")
 def monitor_tick(spark, sf):
     """Due monitors evaluated at one instant and appended to the audit log."""
-    from ..operators import history
-
     path = workspace(spark, "audit")
     audit = shape(spark, sf, "audit")
     state = mon.last_state(audit.where(F.col("evaluated_at") < history.utc_bound(NOW)))
@@ -166,3 +165,17 @@ def monitor_tick(spark, sf):
     made = mon.evaluate(shape(spark, sf, "chain_events"), due.drop("last_evaluated_at"), audit, NOW)
     event_log.append_audit(mon.audit_rows(made), path)
     return event_log.read_audit(spark, path).select("monitor_id", "value", "delivery_state", us("window_from"))
+
+
+@query("monitor_two_ticks")
+def monitor_two_ticks(spark, sf):
+    """How often each alert handed over at one tick is handed over by the tick a minute later as well."""
+    path = workspace(spark, "audit")
+    events, monitors, audit = shape(spark, sf, "chain_events"), catalog._monitors(spark, sf).where("is_active"), shape(spark, sf, "audit")
+    first = mon.evaluate(events, monitors, audit, NOW)
+    event_log.append_audit(mon.audit_rows(first), path)
+    log = audit.unionByName(event_log.read_audit(spark, path), allowMissingColumns=True)
+    second = mon.evaluate(events, monitors, log, NOW.replace("06:00:00", "06:01:00"))
+    handed = mon.audit_rows(second).unionByName(event_log.read_audit(spark, path), allowMissingColumns=True).where("delivery_state = 'queued'")
+    made = handed.groupBy("monitor_id").agg(F.min("evaluated_at").alias("since"), F.count("*").alias("deliveries"))
+    return made.where(F.col("since") == history.utc_bound(NOW)).select("monitor_id", "deliveries")

@@ -60,6 +60,33 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("day")
 
 
+def purge_audit(spark: SparkSession, path: str, now: str, retention_hours: int = 720) -> None:
+    """Delete the audit rows older than the retention, by day.
+
+    Whole days before the edge go as folders, and only the edge's own day is written again, by
+    way of a folder beside the log. A purge that stops half way is run again.
+    """
+    from ..operators.monitors import retention_edge
+
+    edge = retention_edge(now, retention_hours)
+    first = spark.range(1).select(F.to_date(edge).cast("string").alias("day")).first()["day"]
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    # One entry for each day kept.
+    days = {s.getPath().getName(): s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("day=")}
+    if f"day={first}" in days:
+        kept = spark.read.schema(schemas.AUDIT).parquet(f"{path}/day={first}").where(F.col("created_at") >= edge)
+        beside = f"{path.rstrip('/')}-purged-{first}"
+        kept.write.mode("overwrite").parquet(beside)
+        again = spark.read.schema(schemas.AUDIT).parquet(beside)
+        again.write.mode("overwrite").parquet(f"{path}/day={first}")
+        fs.delete(files.Path(beside), True)
+    for name, folder in days.items():
+        if name < f"day={first}":
+            fs.delete(folder, True)
+
+
 def rewrite(df: DataFrame, path: str) -> DataFrame:
     """Write a table's next version into a new folder and read it back."""
     df.write.mode("errorifexists").parquet(path)

@@ -78,6 +78,14 @@ class OrderedSink:
     def _decide(self, spark: SparkSession, batch_id: int, previous: int, batches: list[int], before: int, after: int) -> None:
         due = self._arrived(spark, batches).where((F.col("at") >= before) & (F.col("at") < after))
         states = self.states(spark, previous)
+        if not batches or due.isEmpty():
+            states.where(F.col("at") + F.greatest("quiet", "repeat") > after).write.mode("overwrite").parquet(
+                self._folder("states", batch_id)
+            )
+            if batch_id == FINAL:
+                made = due.selectExpr("*", "false accepted", "at anchor_at", "0L position", "mark c_mark")
+                made.write.mode("overwrite").parquet(self._folder("decided", batch_id))
+            return
         keys = due.select("k").distinct()
         entering = states.join(keys, "k", "left_semi")
         first = entering.select(

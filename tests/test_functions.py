@@ -134,3 +134,10 @@ def test_registry_changes_and_versions(spark):
     got = {r["program_id"]: (r["name"], r["result"], r["updated_at"].month) for r in merged.collect()}
     assert got == {"p1": ("a", "conflict", 1), "p2": ("y", "updated", 2)}
     assert registry.snapshot(merged).count() == 2
+
+
+def test_evidence_without_its_fields_is_empty(spark):
+    from slotwise.operators import guard
+
+    df = spark.createDataFrame([(1,)], "n long")
+    assert guard.evidence_values(df, ["n"]).count() == 0

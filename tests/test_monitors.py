@@ -129,3 +129,22 @@ def test_several_changes_of_one_monitor_are_refused(spark):
     changes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "monitor_id long, name string")
     got = {r["monitor_id"]: (r["name"], r["reject_reason"]) for r in mon.patch_monitors(base, changes).collect()}
     assert got == {1: ("Growth Monitor", "several changes of one monitor"), 2: ("c", None)}
+
+
+def test_purge_drops_days_and_cuts_the_edge(spark):
+    from pyspark.sql import functions as F
+
+    from slotwise.plans.inputs import shape
+    from slotwise.session import workspace
+    from slotwise.sources import event_log
+
+    now, path = "2024-01-20T06:00:00Z", workspace(spark, "audit")
+    audit = shape(spark, "/root/testdata/sf0.001", "audit")
+    event_log.append_audit(audit, path)
+    want = mon.kept_audit(event_log.read_audit(spark, path), now, 48)
+    keys = sorted(r[0] for r in want.select("evaluation_id").collect())
+    for _ in range(2):  # a second purge finds nothing more
+        event_log.purge_audit(spark, path, now, 48)
+        left = event_log.read_audit(spark, path)
+        assert sorted(r[0] for r in left.select("evaluation_id").collect()) == keys
+    assert left.where(F.to_date("created_at") < F.lit("2024-01-18").cast("date")).count() == 0

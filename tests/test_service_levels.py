@@ -37,3 +37,11 @@ def test_lag_floor_and_empty(spark):
     assert sl.ingestion_lag(df, 500).first()[0] == 0
     assert sl.ingestion_lag(df.where("false"), 500).first()[0] == 0
     assert sl.ingestion_lag(df, 2500).first()[0] == 1500
+
+
+def test_lag_breaches_beyond_the_limit_only(spark):
+    at = [0, 30_000, 31_000, 400_001, 700_000]
+    df = spark.createDataFrame([(a,) for a in at], "observed_at_unix_ms long")
+    got = {r["step"]: r["breached"] for r in sl.lag_checks(df).collect()}
+    want = {s: s * 30_000 - max(a for a in at if a <= s * 30_000) > 120_000 for s in range(0, 25)}
+    assert got == {s: want[s] for s in got} and min(got) == 0 and max(got) == 24
