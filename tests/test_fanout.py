@@ -77,3 +77,22 @@ def test_blank_url_fails_the_load(spark):
 
     with pytest.raises(Exception, match="blank url"):
         routes(spark, [(1, " ", "", "", True)]).collect()
+
+
+def test_many_free_routes_in_slices(spark, monkeypatch):
+    """Beyond the limit routes without any filter go in slices; urls stay unique across slices and keys."""
+    monkeypatch.setattr(fanout, "WILD_SLICE", 3)
+    rows = [(i, f"https://x/{i % 17}", "ProgramA" if i % 5 == 0 else "", "transaction" if i % 7 == 0 else "", True) for i in range(60)]
+    events = spark.createDataFrame(
+        [(str(i), p, k) for i, (p, k) in enumerate([("ProgramA", "transaction"), ("Z", None), (None, "account"), ("ProgramA", "x")] * 2)],
+        "event_id string, program_id string, event_type string",
+    )
+    table = routes(spark, rows)
+    for unique in (False, True):
+        for static in (None, "https://x/3", "https://x/s"):
+            both = [
+                sorted(map(tuple, fanout.matched_routes(events, table, static, unique, limit).collect()), key=str) for limit in (100, 0)
+            ]
+            assert both[0] == both[1] and len(both[0]) > 8 * 10
+    text = fanout.matched_routes(events, table, None, True, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
