@@ -93,3 +93,28 @@ def in_pieces(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Ite
             held = []
     if held:
         yield record(schema, dict(zip(schema.names, zip(*held))))
+
+
+def sized_pieces(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Row tuples, texts as UTF-8 bytes, as record batches of bounded length and bytes; a longer row goes alone."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch():
+        columns = []
+        for f, column in zip(schema, zip(*held)):
+            if pa.types.is_string(f.type):
+                columns.append(pa.array(column, pa.binary()).cast(pa.string()) if any(isinstance(x, bytes) for x in column) else pa.array(column, f.type))
+            else:
+                columns.append(pa.array(column, f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for row in rows:
+        length = sum(len(x) for x in row if isinstance(x, (bytes, str)))
+        if held and (len(held) == most or size + length > most_bytes):
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += length
+    if held:
+        yield batch()
