@@ -39,6 +39,8 @@ EXPONENT, LEAST = 4, 6
 CORE = 3072
 #: Words next to a boundary that are compared before a tile is sent on.
 PROBES = 8
+#: Documents are probed together up to so many words, and as many pairs of a boundary and a period.
+BLOCK = PART = 1 << 18
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -48,53 +50,56 @@ def numbered(words: list[bytes]) -> np.ndarray:
     return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
 
 
-def octaves(n: int):
-    """Shortest periods of the octaves that can have a run in n words."""
-    p = 1
-    while max(EXPONENT * p, LEAST) <= n:
-        yield p
-        p *= 2
-
-
-def probed(ids: np.ndarray, p: int) -> np.ndarray:
-    """Boundaries next to which words match at some period of the octave; a superset of those in runs."""
-    n = len(ids)
-    bounds = np.arange(0, n - p, 3 * p)
+def probed(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: int) -> np.ndarray:
+    """Boundaries next to which words match at some period of the octave, of all documents that lie
+    one behind the other in ids; a superset of the boundaries in runs."""
+    long = ends - starts >= max(EXPONENT * p, LEAST)
+    starts, ends = starts[long], ends[long]
+    each = -(-(ends - starts - p) // (3 * p))
+    owner = np.repeat(np.arange(len(each)), each)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    bounds, low, high = starts[owner] + 3 * p * place, starts[owner], ends[owner]
     periods = np.arange(p, 2 * p)
-    side = -(-3 * p // 2)
-    reach = min(side, PROBES)
-    # Words beyond the text match nothing inside it.
-    padded = np.concatenate([np.full(reach, -1, np.int32), ids, np.full(2 * p + reach, -2, np.int32)])
+    reach = min(-(-3 * p // 2), PROBES)
     out = []
-    # The table of boundaries and periods is n / 3 large; it is taken in parts of bounded size.
-    for part in np.array_split(bounds, max(1, len(bounds) * p >> 20)):
-        i, j = np.nonzero(padded[part + reach][:, None] == padded[part[:, None] + periods + reach])
-        c, q = part[i] + reach, periods[j]
-        right, left = np.ones(len(c), bool), np.ones(len(c), bool)
+    # The table of boundaries and periods is a third of the words large; it is taken in parts of bounded size.
+    for at in range(0, len(bounds), max(1, PART // p)):
+        part = bounds[at:at + max(1, PART // p)]
+        i, j = np.nonzero(ids[part][:, None] == ids[np.minimum(part[:, None] + periods, len(ids) - 1)])
+        c, q = part[i], periods[j]
+        first, last = low[at:][i], high[at:][i]
+        right = left = c + q < last
         for step in range(1, reach + 1):
             live = right | left
             if not live.all():
-                c, q, right, left = c[live], q[live], right[live], left[live]
+                c, q, first, last, right, left = (x[live] for x in (c, q, first, last, right, left))
             if step < reach:
-                right &= padded[c + step] == padded[c + q + step]
-            left &= padded[c - step] == padded[c + q - step]
-        found = right | left
-        out.append(c[found] - reach)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def tiles(ids: np.ndarray):
-    """(octave, first word, boundaries, words) of the tiles worth solving; boundaries count from the first word."""
-    n = len(ids)
-    for p in octaves(n):
-        at = probed(ids, p)
-        if not len(at):
-            continue
-        core = 3 * p * max(1, CORE // (3 * p))
-        for group in np.split(at, np.flatnonzero(np.diff(at // core)) + 1):
-            first = max(0, int(group[0]) - 3 * p)
-            last = min(n, int(group[-1]) + 5 * p)
-            yield p, first, group - first, ids[first:last]
+                right = right & (c + q + step < last)
+                right[right] = ids[c[right] + step] == ids[c[right] + q[right] + step]
+            left = left & (c - step >= first)
+            left[left] = ids[c[left] - step] == ids[c[left] + q[left] - step]
+        out.append(c[right | left])
+    return np.unique(np.concatenate(out)) if out else bounds
+
+
+def tiles(ids: np.ndarray, sizes: list[int]):
+    """(document, octave, first word, boundaries, words) of the tiles worth solving, of documents of the given sizes
+    one behind the other; boundaries count from the tile's first word."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    p = 1
+    while sizes and max(EXPONENT * p, LEAST) <= max(sizes):
+        at = probed(ids, starts, ends, p)
+        if len(at):
+            core = 3 * p * max(1, CORE // (3 * p))
+            doc = np.searchsorted(ends, at, "right")
+            tile = (at - starts[doc]) // core
+            for group in np.split(np.arange(len(at)), np.flatnonzero((np.diff(tile) != 0) | (np.diff(doc) != 0)) + 1):
+                d = int(doc[group[0]])
+                first = max(int(starts[d]), int(at[group[0]]) - 3 * p)
+                last = min(int(ends[d]), int(at[group[-1]]) + 5 * p)
+                yield d, p, first - int(starts[d]), at[group] - first, ids[first:last]
+        p *= 2
 
 
 def z_function(s: list[int]) -> list[int]:
@@ -113,9 +118,9 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
-def boundary_fragments(ids: np.ndarray, p: int, c: int) -> list[tuple[int, int, int]]:
-    """(period, start, end) of the matching words around boundary c, 3 p at most to either side, that belong
-    to a stretch of 3 p or more whose smallest period it is."""
+def boundary_fragments(ids: np.ndarray, p: int, c: int) -> list[tuple[int, int, int, bool]]:
+    """(period, start, end, own) of the matching words around boundary c, 3 p at most to either side, that belong
+    to a stretch of 3 p or more; own if no smaller period is behind it. One that is not own stands for all."""
     n = len(ids)
     highest = min(2 * p - 1, n - 1 - c)
     if highest < p:
@@ -138,14 +143,42 @@ def boundary_fragments(ids: np.ndarray, p: int, c: int) -> list[tuple[int, int,
     q = periods[kept]
     smallest = np.searchsorted(reached, q)
     own = (smallest >= q) | (q % np.maximum(smallest, 1) != 0)
-    return list(zip(q[own].tolist(), (c - left[kept][own]).tolist(), (c + right[kept][own]).tolist()))
+    listed = own.copy()
+    listed[np.argmin(own)] = True
+    return list(zip(*(x[listed].tolist() for x in (q, c - left[kept], c + right[kept], own))))
+
+
+def matching(ids: np.ndarray, q: int, at: int) -> int:
+    """The first place from ``at`` on whose word differs from the one q later, within the tile."""
+    size = 64
+    while at + q < len(ids):
+        same = ids[at:min(at + size, len(ids) - q)] == ids[at + q:at + q + size]
+        if not same.all():
+            return at + int(np.argmin(same))
+        at, size = at + len(same), size * 2
+    return at
 
 
 def solved(ids: np.ndarray, p: int, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-    """Fragments of a tile, those that touch as one."""
-    found = sorted(f for c in bounds.tolist() for f in boundary_fragments(ids, p, c))
+    """Fragments of a tile, those that touch as one.
+
+    A fragment is followed to the right to its end or the tile's. A run shares fewer than 4 p words with
+    any other stretch that has a period of its octave, so a boundary that deep inside one is passed over.
+    """
+    found: list[tuple[int, int, int]] = []
+    deep = -1
+    for c in bounds.tolist():
+        if c < deep:
+            continue
+        for q, a, b, own in boundary_fragments(ids, p, c):
+            if b == c + 3 * p:
+                b = matching(ids, q, b)
+            if own:
+                found.append((q, a, b))
+            if c - a >= 3 * p:  # the next boundary lies 4 p inside at least
+                deep = max(deep, b - 4 * p + 1)
     out: list[list[int]] = []
-    for q, a, b in found:
+    for q, a, b in sorted(found):
         if out and out[-1][0] == q and a <= out[-1][2]:
             out[-1][2] = max(out[-1][2], b)
         else:
@@ -170,17 +203,31 @@ def split(docs: DataFrame) -> DataFrame:
     """A row for each document, and one for each of its tiles worth solving (with an octave). The words, joined by
     one space, are kept of documents with tiles alone, and the digest of the joined words of all."""
 
+    def blocks(batches):
+        """Documents with their words, about BLOCK words together; a longer document alone."""
+        held, size = [], 0
+        for batch in batches:
+            for doc, mark, text in zip(cells(batch, "doc_id"), cells(batch, "print"), raw_texts(batch)):
+                words = text.split()
+                if held and size + len(words) > BLOCK:
+                    yield held
+                    held, size = [], 0
+                held.append((doc, mark, words))
+                size += len(words)
+        if held:
+            yield held
+
     def run(batches):
         def rows():
-            for batch in batches:
-                for doc, mark, text in zip(cells(batch, "doc_id"), cells(batch, "print"), raw_texts(batch)):
-                    words = text.split()
+            for block in blocks(batches):
+                ids = numbered([w for _, _, words in block for w in words])
+                suspects = set()
+                for d, p, first, bounds, part in tiles(ids, [len(words) for _, _, words in block]):
+                    suspects.add(d)
+                    yield *block[d][:2], None, None, None, p, first, bounds.astype("<i4").tobytes(), part.tobytes()
+                for d, (doc, mark, words) in enumerate(block):
                     joined = b" ".join(words)
-                    suspect = False
-                    for p, first, bounds, ids in tiles(numbered(words)) if len(words) >= LEAST else ():
-                        suspect = True
-                        yield doc, mark, None, None, None, p, first, bounds.astype("<i4").tobytes(), ids.tobytes()
-                    yield doc, mark, len(words), hashlib.sha256(joined).hexdigest(), joined if suspect else None, None, None, None, None
+                    yield doc, mark, len(words), hashlib.sha256(joined).hexdigest(), joined if d in suspects else None, None, None, None, None
 
         yield from sized_pieces(rows(), SPLIT)
 
@@ -264,9 +311,11 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
     g, n = F.floor(h / 10), F.greatest(size, F.lit(1))
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = F.sequence(F.lit(0).cast("long"), n - 1)
-    tail = F.transform(place, lambda i: F.get(words, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
-    text = F.when((h % 10 == 0) & (size > 0), F.array_join(tail, " ")).otherwise(F.col("text"))
+    # Whole slices: a lambda over the places would split the text anew for each word.
+    head, block = F.slice(words, F.lit(1), a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.concat(head, F.flatten(F.array_repeat(block, times))), F.lit(1), n.cast("int"))
+    text = F.when(h % 10 == 0, F.when(size > 0, F.array_join(tail, " "))).otherwise(F.col("text"))
     return docs.select("doc_id", text.alias("text"))
 
 

@@ -51,7 +51,7 @@ def plain_row(doc, text):
 def stitched_here(ids, core):
     periods.CORE, old = core, periods.CORE
     try:
-        found = [(q, first + a, first + b) for p, first, at, part in periods.tiles(ids) for q, a, b in periods.solved(part, p, at)]
+        found = [(q, first + a, first + b) for _, p, first, at, part in periods.tiles(ids, [len(ids)]) for q, a, b in periods.solved(part, p, at)]
     finally:
         periods.CORE = old
     out = []
@@ -75,6 +75,22 @@ def test_tiles_find_all_runs():
         assert stitched_here(np.array(ids, np.int32), r.choice([12, 60, 3072])) == plain_runs(ids)
 
 
+def test_documents_probed_together():
+    """Tiles of documents that lie behind one another are those of each alone, whatever the parts."""
+    r = random.Random(5)
+    docs = []
+    for _ in range(60):
+        block = [r.randrange(4) for _ in range(r.randint(1, 12))]
+        docs.append(np.array([r.randrange(30) for _ in range(r.randint(0, 40))] + block * r.choice([0, 1, 5, 9]) + [0] * r.choice([0, 7]), np.int32))
+    flat = lambda t, d: (d, t[1], t[2], t[3].tolist(), t[4].tolist())
+    alone = sorted(flat(t, i) for i, d in enumerate(docs) for t in periods.tiles(d, [len(d)]))
+    old = periods.PART
+    for part in (old, 7):
+        periods.PART = part
+        assert sorted(flat(t, t[0]) for t in periods.tiles(np.concatenate(docs), [len(d) for d in docs])) == alone
+    periods.PART = old
+
+
 def test_z_function():
     r = random.Random(2)
     for _ in range(200):
