@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.scoring import (
@@ -16,6 +21,7 @@ from ..functions.scoring import (
 )
 from ..functions.signing import sql_hash
 from ..functions.text import blank_to_null, strip, to_double
+from .history import normalized_grants
 
 # Words that make a text unsafe.
 FORBIDDEN = (
@@ -83,27 +89,134 @@ def guard_one(spark: SparkSession, text: str) -> str:
     return row["clean_sql"]
 
 
-# Functions that call Java code by name.
-_CALLS = r"(?i)(?<![0-9A-Za-z_])`?(?:reflect|java_method|try_reflect)`?\s*\("
+#: Groups of Spark's functions a text may call. None of them reads files, runs code by name or
+#: tells about the session (those are in the groups for miscellaneous, XML, CSV and table functions).
+FUNCTION_GROUPS = (
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs",
+    "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs",
+    "struct_funcs", "url_funcs", "window_funcs",
+)
+#: Nodes of a parsed plan that a text may have besides expressions.
+PLAN_NODES = (
+    "UnresolvedWith", "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "LateralJoin", "SubqueryAlias",
+    "Distinct", "Union", "Intersect", "Except", "Generate", "LocalRelation", "OneRowRelation", "UnresolvedHaving", "WithWindowDefinition",
+    "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "Pivot", "Unpivot", "Expand",
+)
+_EXPRESSIONS = (
+    "UnresolvedAttribute", "UnresolvedStar", "UnresolvedAlias", "UnresolvedFunction", "UnresolvedExtractValue", "UnresolvedGenerator",
+    "UnresolvedDeserializer", "MultiAlias", "UnresolvedOrdinal", "UnresolvedStarExceptOrReplace", "UnresolvedStarWithColumns",
+)
+
+
+def _plan_nodes(found):
+    if isinstance(found, dict):
+        if "class" in found:
+            yield found
+        for value in found.values():
+            yield from _plan_nodes(value)
+    elif isinstance(found, list):
+        for value in found:
+            yield from _plan_nodes(value)
+
+
+def _names(text: str) -> list[str]:
+    return [n.strip() for n in text.strip("[]").split(",")]
+
 
+def plan_reason(spark: SparkSession, sql: str, tables: Iterable[str]) -> str | None:
+    """Why a text may not run over the named tables, by walking Spark's parsed plan; None if it may.
 
-def run_guarded(spark: SparkSession, sql: str) -> DataFrame:
-    """A checked text over tables and views only: no file paths, no calls into Java."""
-    if re.search(_CALLS, sql):
-        raise ValueError("query contains unsupported keywords")
-    name = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
+    Only SELECT-like nodes are let through, only the named tables and the text's own common table
+    expressions, and only functions of FUNCTION_GROUPS. Names of more than one part (catalogs, files)
+    are never tables. A common table expression may not take the name of a session's table: outside its scope
+    the name would mean that table.
+    """
+    state = spark._jsparkSession.sessionState()
+    try:
+        nodes = list(_plan_nodes(json.loads(state.sqlParser().parsePlan(sql).toJSON())))
+    except PySparkException:
+        return "query cannot be parsed"
+    allowed = {t.lower() for t in tables}
+    own = {r["_1"].lower() for n in nodes for r in n.get("cteRelations") or []}
+    for name in sorted(own - allowed):
+        if spark.catalog.tableExists(f"`{name}`"):
+            return f"name is taken by a table: {name}"
+    info = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    for node in nodes:
+        package, kind = node["class"].rsplit(".", 1)
+        if kind == "UnresolvedRelation":
+            name = node["multipartIdentifier"].strip("[]")
+            if name.lower() not in allowed | own:
+                return f"table is not allowed: {name}"
+        elif kind == "UnresolvedFunction":
+            parts = _names(node["nameParts"])
+            known = len(parts) == 1 and state.catalog().isBuiltinFunction(info(parts[0].lower()))
+            if not known or state.catalog().lookupFunctionInfo(info(parts[0].lower())).getGroup() not in FUNCTION_GROUPS:
+                return f"function is not allowed: {'.'.join(parts)}"
+        elif kind not in PLAN_NODES and kind not in _EXPRESSIONS and not package.endswith("catalyst.expressions") and not (
+            package.endswith("catalyst.expressions.aggregate") or package.endswith("catalyst.plans") or "catalyst.expressions." in node["class"]
+        ):
+            return f"query part is not allowed: {kind}"
+    return None
+
+
+def over_tables(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A text in which the given names mean the given frames, whatever the session calls by them.
+
+    The names are common table expressions of this statement alone, so nothing of the session changes
+    for other threads. Views of made-up names carry the frames and go once the text is resolved.
+    """
+    views = {name: f"_guarded_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
     try:
-        return spark.sql(sql)  # names are resolved here
+        head = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {head} {sql}" if head else sql)
     finally:
-        spark.conf.set(name, before)
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
 
+def run_guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A checked text over the given tables and nothing else."""
+    reason = plan_reason(spark, sql, tables)
+    if reason:
+        raise ValueError(reason)
+    return over_tables(spark, f"SELECT * FROM ({sql})", tables)
 
-def guarded_query(spark: SparkSession, text: str, limit: int = DEFAULT_ROWS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Run one read-only text over the session's views, capped as the API caps it."""
+
+def guarded_query(
+    spark: SparkSession, text: str, tables: dict[str, DataFrame], limit: int = DEFAULT_ROWS, max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Run one read-only text over the given tables, capped as the API caps it."""
     sql = guard_one(spark, text)
-    return run_guarded(spark, sql).limit(min(limit if limit > 0 else DEFAULT_ROWS, max_rows))
+    return run_guarded(spark, sql, tables).limit(min(limit if limit > 0 else DEFAULT_ROWS, max_rows))
+
+
+def subject_tables(tables: dict[str, DataFrame], grants: DataFrame, subject: str) -> dict[str, DataFrame]:
+    """The tables as one subject sees them: rows of the programs granted and rows without a program.
+
+    A subject without a grant sees none of a table's rows. The grant is one row, read by a scalar subquery,
+    so a text over these tables reads only what its filters and the grant leave.
+    """
+    # Rows of grants of one subject are few; their union is one row.
+    own = normalized_grants(grants).where(F.col("subject") == subject).agg(
+        F.max((F.col("role") == "admin") | F.array_contains("programs", "*")).alias("all"),
+        F.array_distinct(F.flatten(F.collect_list("programs"))).alias("programs"),
+        F.count("*").alias("n"),
+    )
+    out = {}
+    for name, df in tables.items():
+        if "program_id" not in df.columns:
+            out[name] = df
+            continue
+        held = df.withColumn("_grant", own.select(F.struct("all", "programs", "n")).scalar())
+        program = strip(F.coalesce(F.col("program_id"), F.lit("")))
+        seen = F.coalesce(F.col("_grant.all"), F.lit(False)) | (
+            (F.col("_grant.n") > 0) & ((program == "") | F.array_contains("_grant.programs", program))
+        )
+        out[name] = held.where(seen).select(df.columns)
+    return out
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -146,41 +259,41 @@ def first_numeric(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def evidence_values(df: DataFrame, order: list[str], limit: int = MAX_VALUES) -> DataFrame:
-    """First-seen distinct programs, signatures and slots of a result.
+    """First-seen distinct programs, signatures and slots of a result, in one pass over it.
 
-    Each value keeps the smallest position it was seen at, which combines before
-    the shuffle; only then are the first ``limit`` of each field ranked.
+    Each (field, value) keeps the smallest position it was seen at, which combines before the
+    only shuffle of values; each partition then gives its first ``limit`` of a field to the ranking.
+    ``total`` is the number of distinct values of the field, ``truncated`` tells that not all are listed.
     """
-    place = F.struct(*order)
-    parts = []
+    entries = []
     for field in ("program_id", "signature", "slot"):
         if field not in df.columns:
             continue
+        kind = df.schema[field].dataType
         if field == "slot":
-            number = F.col(field).cast("double") if not isinstance(
-                df.schema[field].dataType, T.StringType
-            ) else to_double(F.col(field))
-            value = F.when(number >= 0, F.floor(number).cast("bigint")).cast("string")
-        elif isinstance(df.schema[field].dataType, T.ArrayType):
-            value = F.explode(F.transform(field, strip))
+            number = to_double(F.col(field)) if isinstance(kind, T.StringType) else F.col(field).cast("double")
+            values = F.array(F.when(number >= 0, F.floor(number).cast("bigint")).cast("string"))
+        elif isinstance(kind, T.ArrayType):
+            values = F.transform(field, strip)
         else:
-            value = blank_to_null(F.col(field).cast("string"))
-        seen = (
-            df.select(value.alias("value"), place.alias("place"))
-            .where("value IS NOT NULL AND value <> ''")
-            .groupBy("value")
-            .agg(F.min("place").alias("place"))
-            .orderBy("place")
-            .limit(limit)
-        )
-        ranked = seen.agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).select(
-            F.posexplode(F.transform("v", lambda e: e["value"])).alias("position", "value")
-        )
-        parts.append(ranked.select(F.lit(field).alias("field"), "position", "value"))
-    out = df.sparkSession.createDataFrame([], "field string, position int, value string")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+            values = F.array(blank_to_null(F.col(field).cast("string")))
+        entries.append(F.arrays_zip(F.array_repeat(F.lit(field), F.size(values)).alias("field"), values.alias("value")))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "field string, position int, value string, total bigint, truncated boolean")
+    seen = (
+        df.select(F.explode(F.concat(*entries)).alias("e"), F.struct(*order).alias("place"))
+        .select("e.field", "e.value", "place")
+        .where("value IS NOT NULL AND value <> ''")
+        .groupBy("field", "value")
+        .agg(F.min("place").alias("place"))
+    )
+    # Three rows at most.
+    totals = seen.groupBy("field").agg(F.count("*").alias("total"))
+    rank = F.row_number().over(W.partitionBy("field").orderBy("place", "value"))
+    first = seen.withColumn("position", rank - 1).where(F.col("position") < limit)
+    return first.join(F.broadcast(totals), "field").select(
+        "field", "position", "value", "total", (F.col("total") > limit).alias("truncated")
+    )
 
 
 def _distinct_in_order(rows: Column, field: str, df: DataFrame) -> Column:
@@ -198,13 +311,14 @@ def _distinct_in_order(rows: Column, field: str, df: DataFrame) -> Column:
     else:
         values = F.transform(rows, lambda r: strip(r[field].cast("string")))
     kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    return F.slice(F.array_distinct(kept), 1, MAX_VALUES)
+    return F.array_distinct(kept)
 
 
 def verified_answer(
     spark: SparkSession,
     prompt: str,
     text: str,
+    tables: dict[str, DataFrame],
     table: str,
     limit: int = DEFAULT_ROWS,
     executed_at: str = "",
@@ -221,9 +335,12 @@ def verified_answer(
         if not hit:
             raise ValueError(f"strict mode requires querying table `{table}`")
     limit = min(limit if limit > 0 else DEFAULT_ROWS, MAX_ROWS)
-    result = run_guarded(spark, sql).limit(limit)
+    # One row more than asked for tells whether the answer was clipped.
+    result = run_guarded(spark, sql, tables).limit(limit + 1)
     row = F.struct(F.monotonically_increasing_id().alias("_position"), *[F.col(c) for c in result.columns])
-    rows = result.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    rows = result.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("_rows")).select(
+        F.slice("_rows", 1, limit).alias("rows"), (F.size("_rows") > limit).alias("truncated")
+    )
     first = F.get("rows", F.lit(0))
     kpis = _numeric_fields(result, first, sorted(result.columns))
     lead = F.get(_numeric_fields(result, first, result.columns), F.lit(0))["value"]
@@ -246,9 +363,13 @@ def verified_answer(
         F.lit(executed_at).alias("executed_at_utc"),
         F.lit(limit).alias("row_limit"),
         n.alias("row_count"),
-        _distinct_in_order(F.col("rows"), "program_id", result).alias("program_ids"),
-        _distinct_in_order(F.col("rows"), "signature", result).alias("signatures"),
-        _distinct_in_order(F.col("rows"), "slot", result).alias("slots"),
+        "truncated",
+        *[
+            made
+            for field in ("program_id", "signature", "slot")
+            for values in [_distinct_in_order(F.col("rows"), field, result)]
+            for made in (F.slice(values, 1, MAX_VALUES).alias(f"{field}s"), F.size(values).alias(f"{field}_total"))
+        ],
         F.transform(F.slice("rows", 1, SAMPLE_ROWS), lambda r: F.to_json(r.dropFields("_position"))).alias(
             "sample_rows"
         ),

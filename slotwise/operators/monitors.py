@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,8 +10,9 @@ from ..functions.scoring import threshold_met
 from ..functions.signing import dedupe_key
 from ..functions.text import bind, is_base58, is_http_url, strip
 from ..functions.timing import minutes_or, minutes_us, rfc3339
-from .guard import clean_sql, guarded_query, reject_reason
+from .guard import clean_sql, reject_reason
 from .history import utc_bound
+from .templates import recognised, template_values
 
 # Defaults and caps of monitor settings.
 DEFAULTS = {
@@ -122,8 +123,28 @@ def last_state(audit: DataFrame) -> DataFrame:
     )
 
 
-def monitor_values(events: DataFrame, monitors: DataFrame, now: str) -> DataFrame:
-    """Value of each monitor over [now - window, now), every monitor in one pass.
+def monitor_values(events: DataFrame, monitors: DataFrame, now: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``value`` and ``error`` of every monitor's own text over [now - window, now).
+
+    Texts of the plain counting forms share one pass over the events; every other text is a plan of
+    its own for all its monitors. Texts read ``chain_events``, in which a missing signature is
+    an empty text, and the ``tables`` given.
+    """
+    # The guard reads the rendered text, program included; a text it refuses is not counted either.
+    stamp = F.lit("2000-01-01T00:00:00Z")
+    rendered = render_template(F.col("query_template"), F.coalesce("program_id", F.lit("")), stamp, stamp)
+    unsafe = bind(clean_sql(rendered), reject_reason)
+    shared = monitors.withColumn("_count", F.when(unsafe.isNull(), recognised(F.col("query_template"))))
+    counted = counted_values(events, shared.where("_count IS NOT NULL"), now).withColumn("error", F.lit(""))
+    others = shared.where("_count IS NULL")
+    if others.isEmpty():
+        return counted.drop("_count")
+    read = {"chain_events": events.withColumn("signature", F.coalesce("signature", F.lit("")))} | (tables or {})
+    return counted.unionByName(template_values(others, now, read)).drop("_count")
+
+
+def counted_values(events: DataFrame, monitors: DataFrame, now: str) -> DataFrame:
+    """Values of monitors by their ``_count`` over [now - window, now), every monitor in one pass.
 
     All windows end at the same instant and span whole minutes, so the events
     reduce to counts per (program, minute of age) and a window is a running sum
@@ -169,26 +190,23 @@ def monitor_values(events: DataFrame, monitors: DataFrame, now: str) -> DataFram
         F.col("minute").alias("window_minutes"),
         *[F.col(c).cast("double").alias(f"_{c}") for c in ("events", "transactions", "signers")],
     )
-    value = (
-        F.when(F.col("metric") == "events", F.col("_events"))
-        .when(F.col("metric") == "transactions", F.col("_transactions"))
-        .when(F.col("metric") == "unique_signatures", F.col("_signers"))
-    )
-    return monitors.join(values, ["program_id", "window_minutes"], "left").withColumn("value", value).drop(
-        "_events", "_transactions", "_signers"
-    )
+    value = F.when(F.col("_count") == "events", F.col("_events"))
+    value = value.when(F.col("_count") == "transactions", F.col("_transactions")).otherwise(F.col("_signers"))
+    made = monitors.join(values, ["program_id", "window_minutes"], "left").withColumn("value", value)
+    return made.select(*monitors.columns, "value")
 
 
 def evaluate(
-    events: DataFrame, monitors: DataFrame, audit: DataFrame, now: str, send: bool = True
+    events: DataFrame, monitors: DataFrame, audit: DataFrame, now: str, send: bool = True,
+    tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Evaluate monitors at ``now`` and decide on delivery.
+    """Evaluate monitors at ``now``, each by its own text, and decide on delivery.
 
     A deliverable alert is ``queued``: it becomes ``sent`` or ``failed`` with the outbox
     consumer's report (:func:`settle`).
     """
     end = utc_bound(now)
-    valued = monitor_values(events, monitors, now).join(
+    valued = monitor_values(events, monitors, now, tables).join(
         last_state(audit.where(F.col("evaluated_at") < end)).drop("last_value"), "monitor_id", "left"
     )
     start = end - F.make_dt_interval(mins=F.col("window_minutes"))
@@ -243,29 +261,6 @@ def evaluate(
     )
 
 
-def evaluate_templates(spark: SparkSession, monitors: list, now: str) -> DataFrame:
-    """Values of free-form templates: one capped Spark query per monitor.
-
-    For monitors whose text is not one of the structured metrics. Each query
-    yields at most one row, so only that row's number reaches the result.
-    """
-    from datetime import datetime, timedelta
-
-    from .guard import first_numeric
-
-    end = datetime.fromisoformat(now.replace("Z", "+00:00"))
-    out = None
-    for m in monitors:
-        start = end - timedelta(minutes=m["window_minutes"])
-        sql = m["query_template"].strip().replace("{{program_id}}", m["program_id"].replace("'", "''"))
-        sql = sql.replace("{{from}}", start.strftime("%Y-%m-%dT%H:%M:%SZ"))
-        sql = sql.replace("{{to}}", end.strftime("%Y-%m-%dT%H:%M:%SZ"))
-        value = first_numeric(guarded_query(spark, sql, 1), [F.lit(1)])
-        row = value.select(F.lit(m["monitor_id"]).cast("bigint").alias("monitor_id"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def audit_rows(evaluations: DataFrame) -> DataFrame:
     """Evaluations in the shape of the audit log."""
     return evaluations.select(
@@ -274,7 +269,7 @@ def audit_rows(evaluations: DataFrame) -> DataFrame:
         (F.col("delivery_state") == "sent").alias("alert_sent"),
         "delivery_state", "reason", "query", "window_from", "window_to", "evaluated_at", "dry_run",
         F.coalesce("dedupe_key", F.lit("")).alias("dedupe_key"),
-        F.lit(0).alias("retry_attempts"), F.lit("").alias("error"),
+        F.lit(0).alias("retry_attempts"), "error",
         F.col("evaluated_at").alias("created_at"),
     )
 

@@ -79,6 +79,11 @@ def _backtest(spark, sf):
     return bt.backtest(_events(spark, sf), _launches(spark, sf), SETTINGS)
 
 
+def _tables(spark, sf):
+    """What guarded texts may read."""
+    return {"chain_events": _events(spark, sf)}
+
+
 def _monitors(spark, sf):
     return mon.accepted_monitors(shape(spark, sf, "monitor_requests"))
 
@@ -347,7 +352,7 @@ def launch_window_join(spark, sf):
 @query("monitor_window_join")
 def monitor_window_join(spark, sf):
     values = mon.monitor_values(_events(spark, sf), _monitors(spark, sf), NOW)
-    return values.select("monitor_id", "program_id", "metric", "window_minutes", "value")
+    return values.select("monitor_id", "program_id", "window_minutes", "value")
 
 
 @query("monitor_last_state")
@@ -677,9 +682,8 @@ def inbound_page(spark, sf):
 
 @query("capped_query")
 def capped_query(spark, sf):
-    _events(spark, sf).createOrReplaceTempView("chain_events")
     return guard.guarded_query(
-        spark, "SELECT event_id, program_id, slot FROM chain_events ORDER BY slot DESC, event_id", 5000
+        spark, "SELECT event_id, program_id, slot FROM chain_events ORDER BY slot DESC, event_id", _tables(spark, sf), 5000
     )
 
 
@@ -893,14 +897,32 @@ GUARDED_TEXT = (
 
 @query("guarded_sql")
 def guarded_sql(spark, sf):
-    _events(spark, sf).createOrReplaceTempView("chain_events")
-    return guard.guarded_query(spark, GUARDED_TEXT, 0)
+    return guard.guarded_query(spark, GUARDED_TEXT, _tables(spark, sf), 0)
+
+
+@query("subject_answers")
+def subject_answers(spark, sf):
+    """One text, run for three subjects over the tables as each may see them."""
+    text = "SELECT program_id, count(*) AS events, max(slot) AS slot FROM chain_events GROUP BY program_id"
+    made = [
+        guard.guarded_query(spark, text, guard.subject_tables(_tables(spark, sf), shape(spark, sf, "grants"), name)).withColumn("subject", F.lit(name))
+        for name in ("subject2", "subject4", "nobody")
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query("refused_texts")
+def refused_texts(spark, sf):
+    """Why each distinct monitor text may not run over the event log; NULL where it may."""
+    texts = shape(spark, sf, "varied_requests").groupBy("query_template").agg(F.count("*").alias("monitors"))
+    rows = [(r["query_template"], r["monitors"]) for r in texts.collect()]  # eleven
+    told = [(t, n, guard.plan_reason(spark, t.replace("{{program_id}}", "x"), ["chain_events"])) for t, n in rows]
+    return spark.createDataFrame(told, "query_template string, monitors long, reason string")
 
 
 @query("verified_answer")
 def verified_answer(spark, sf):
-    _events(spark, sf).createOrReplaceTempView("chain_events")
-    made = guard.verified_answer(spark, "signup spike", GUARDED_TEXT, "chain_events", 0, NOW)
+    made = guard.verified_answer(spark, "signup spike", GUARDED_TEXT, _tables(spark, sf), "chain_events", 0, NOW)
     return made.select(
         "row_count", "row_limit", "verified_answer", "suggested_comparator", "threshold_hint", "sql_hash_sha256",
         F.concat_ws("|", "program_ids").alias("program_ids"), F.concat_ws("|", "slots").alias("slots"),
@@ -910,8 +932,7 @@ def verified_answer(spark, sf):
 
 @query("analyst_report")
 def analyst_report(spark, sf):
-    _events(spark, sf).createOrReplaceTempView("chain_events")
-    made = guard.verified_answer(spark, "did activity drop", GUARDED_TEXT, "chain_events", 0, NOW, report=True)
+    made = guard.verified_answer(spark, "did activity drop", GUARDED_TEXT, _tables(spark, sf), "chain_events", 0, NOW, report=True)
     return made.select(
         "verdict", "confidence", "executive_summary", "row_count",
         F.concat_ws("|", F.transform("kpis", lambda k: k["metric"])).alias("kpi_names"),
@@ -934,6 +955,14 @@ def monitor_evaluation(spark, sf):
     return _evaluated(spark, sf).select("monitor_id", "value", "triggered", "dedupe_key", "delivery_state", "reason", "query")
 
 
+@query("template_evaluation")
+def template_evaluation(spark, sf):
+    """Monitors of many texts, some of which fail, each by its own text."""
+    monitors = mon.accepted_monitors(shape(spark, sf, "varied_requests")).where("is_active")
+    made = mon.evaluate(_events(spark, sf), monitors, _audit(spark, sf), NOW)
+    return made.select("monitor_id", "value", "triggered", "dedupe_key", "delivery_state", F.substring_index("error", ":", 1).alias("failure"))
+
+
 @query("delivery_outbox")
 def delivery_outbox(spark, sf):
     made = mon.alert_outbox(_evaluated(spark, sf), NOW_S, SECRET, KEY_ID)

@@ -120,7 +120,6 @@ MONITOR_REQUESTS = [
     "CASE WHEN c_custkey % 37 = 5 THEN ' ' ELSE c_name END AS name",
     "CASE c_custkey % 10 WHEN 9 THEN '' WHEN 8 THEN CASE WHEN c_custkey % 3 = 0 THEN 'Prog0' ELSE 'Prog9' END"
     " ELSE concat('Prog', 1 + c_custkey % 9) END AS program_id",
-    "element_at(array('events', 'transactions', 'unique_signatures'), 1 + cast(c_custkey % 3 AS int)) AS metric",
     _TEMPLATE + " AS query_template",
     "element_at(array(' GT', 'gte', 'lt', 'LTE ', '', 'between'), 1 + cast(c_custkey % 6 AS int)) AS comparator",
     "(c_custkey % 50) * 1.5D AS threshold",
@@ -137,6 +136,24 @@ MONITOR_REQUESTS = [
     "timestampadd(MINUTE, cast(c_custkey * 7 % 10007 AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS updated_at",
 ]
 
+_OF_MONITOR = "FROM chain_events WHERE program_id = ''{{program_id}}'' AND timestamp >= ''{{from}}'' AND timestamp < ''{{to}}''"
+#: Texts of many forms; the last five cannot be evaluated.
+VARIED_TEXTS = [
+    f"SELECT count(*) AS n {_OF_MONITOR}",
+    f"SELECT max(slot) - min(slot) AS spread {_OF_MONITOR}",
+    f"WITH per AS (SELECT signature, count(*) AS n {_OF_MONITOR} GROUP BY signature) SELECT max(n) AS top FROM per",
+    f"SELECT round(count_if(event_type = ''transaction'') / nullif(count(*), 0), 4) AS share {_OF_MONITOR}",
+    "SELECT count(DISTINCT program_id) AS programs FROM chain_events WHERE timestamp >= ''{{from}}''",
+    f"SELECT event_type, count(*) AS n {_OF_MONITOR} GROUP BY event_type ORDER BY n DESC, event_type",
+    f"SELECT max(event_type) AS kind {_OF_MONITOR}",
+    "SELECT sum(nope) AS x FROM chain_events",
+    "SELECT count(*) AS n FROM audit_log",
+    "SELECT count(*) AS n FROM chain_events WHERE program_id = {{program_id}}",
+    f"SELECT 1 / (count(*) - count(*)) AS r {_OF_MONITOR}",
+]
+VARIED_TEMPLATE = "element_at(array(" + ", ".join(f"'{t}'" for t in VARIED_TEXTS) + "), 1 + cast(c_custkey % 11 AS int))"
+VARIED_REQUESTS = [VARIED_TEMPLATE + " AS query_template" if c == _TEMPLATE + " AS query_template" else c for c in MONITOR_REQUESTS]
+
 AUDIT = [
     "event_id AS evaluation_id",
     "user_id AS monitor_id",
@@ -241,6 +258,7 @@ _SHAPES = {
     "launches": ("nation", LAUNCHES),
     "launch_requests": ("customer", LAUNCH_REQUESTS),
     "monitor_requests": ("customer", MONITOR_REQUESTS),
+    "varied_requests": ("customer", VARIED_REQUESTS),
     "audit": ("events", AUDIT),
     "requests": ("events", REQUESTS),
     "metric_samples": ("events", METRIC_SAMPLES),

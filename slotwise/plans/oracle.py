@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import SECRET
+from .inputs import SECRET, VARIED_TEXTS
 
 _WS = "concat(chr(9),chr(10),chr(11),chr(12),chr(13),' ',chr(133),chr(160),chr(5760)," + ",".join(
     f"chr({c})" for c in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -343,21 +343,27 @@ def _last(name: str, where: str = "true") -> None:
 
 _last("last_all")
 _last("last_now", f"at_us < {_NOW_US}")
-_cte(
-    "evaluated",
-    f"""SELECT *, CASE WHEN NOT triggered THEN 'not_triggered' WHEN dry_run THEN 'dry_run'
-      WHEN sent_us IS NOT NULL AND {_NOW_US} - sent_us < cooldown_minutes::BIGINT * 60000000 THEN 'cooldown'
-      WHEN sent_us IS NOT NULL AND last_fingerprint = dedupe_key AND {_NOW_US} - sent_us < dedupe_minutes::BIGINT * 60000000
+
+
+def _evaluated(name: str, values: str, last: str, now: str) -> None:
+    _cte(
+        name,
+        f"""SELECT *, CASE WHEN value IS NULL THEN 'evaluation_failed' WHEN NOT triggered THEN 'not_triggered' WHEN dry_run THEN 'dry_run'
+      WHEN sent_us IS NOT NULL AND {now} - sent_us < cooldown_minutes::BIGINT * 60000000 THEN 'cooldown'
+      WHEN sent_us IS NOT NULL AND last_fingerprint = dedupe_key AND {now} - sent_us < dedupe_minutes::BIGINT * 60000000
         THEN 'deduped' ELSE 'queued' END AS delivery_state
     FROM (SELECT *, CASE WHEN triggered THEN sha256(printf('%d|%s|%s|%s|%.6f|%.6f', monitor_id, program_id, comparator,
       query_template, threshold, value)) END AS dedupe_key,
-      {_text_time(f"{_NOW_US} - window_minutes::BIGINT * 60000000")} AS from_text
+      {_text_time(f"{now} - window_minutes::BIGINT * 60000000")} AS from_text
       FROM (SELECT v.*, last_us, sent_us, last_fingerprint, CASE comparator WHEN 'gt' THEN v.value > threshold
         WHEN 'gte' THEN v.value >= threshold WHEN 'lt' THEN v.value < threshold ELSE v.value <= threshold END AS triggered
-        FROM values_now v LEFT JOIN last_now USING (monitor_id)))""",
-    "values_now",
-    "last_now",
-)
+        FROM {values} v LEFT JOIN {last} USING (monitor_id)))""",
+        values,
+        last,
+    )
+
+
+_evaluated("evaluated", "values_now", "last_now", _NOW_US)
 _RENDERED = """replace(replace(replace(query_template, '{{program_id}}', program_id), '{{from}}', from_text), '{{to}}',
     '2024-01-29T06:00:00Z')"""
 _cte(
@@ -543,7 +549,7 @@ _COUNTS = (
     "evaluation_unique_signatures, evaluation_transactions"
 )
 _O["launch_window_join"] = _with("metrics") + f"SELECT launch_idx, program_id, {_COUNTS} FROM metrics"
-_O["monitor_window_join"] = _with("values_now") + "SELECT monitor_id, program_id, metric, window_minutes, value FROM values_now"
+_O["monitor_window_join"] = _with("values_now") + "SELECT monitor_id, program_id, window_minutes, value FROM values_now"
 _O["monitor_last_state"] = _with("last_all") + """SELECT monitor_id, last_us AS last_evaluated_at_us, last_value,
 sent_us AS last_triggered_at_us, last_fingerprint FROM last_all"""
 _O["audit_for_monitor"] = _with("audit", "monitors") + """SELECT evaluation_id, at_us AS evaluated_at_us, value, delivery_state FROM audit
@@ -599,7 +605,8 @@ _O["evidence_bundle"] = _with("chain_events") + """, v AS (SELECT 'program_id' A
 UNION ALL SELECT 'signature', signature, timestamp, event_id FROM chain_events WHERE signature IS NOT NULL
 UNION ALL SELECT 'slot', CAST(slot AS VARCHAR), timestamp, event_id FROM chain_events),
 s AS (SELECT field, value, min((timestamp, event_id)) AS place FROM v GROUP BY 1, 2)
-SELECT field, CAST(row_number() OVER w - 1 AS INTEGER) AS position, value FROM s
+SELECT field, CAST(row_number() OVER w - 1 AS INTEGER) AS position, value, count(*) OVER (PARTITION BY field) AS total,
+count(*) OVER (PARTITION BY field) > 100 AS truncated FROM s
 WINDOW w AS (PARTITION BY field ORDER BY place) QUALIFY row_number() OVER w <= 100"""
 _O["result_kpis"] = """WITH f AS (SELECT event_id, user_id, value FROM events ORDER BY event_id DESC LIMIT 1)
 SELECT 0 AS position, 'as_text' AS metric, value FROM f UNION ALL SELECT 1, 'event_id', event_id FROM f
@@ -835,3 +842,82 @@ _O["dlq_replay_job"] = _O["dlq_backlog"]
 _O["monitor_tick"] = _with("evaluated") + f"""SELECT monitor_id, value, delivery_state,
 {_NOW_US} - window_minutes::BIGINT * 60000000 AS window_from_us FROM evaluated
 WHERE is_active AND (last_us IS NULL OR {_NOW_US} - last_us >= schedule_minutes::BIGINT * 60000000)"""
+
+
+# Texts of many forms, counted here by kind; kinds 6 to 10 cannot be evaluated.
+_cte(
+    "varied_monitors",
+    f"""SELECT * EXCLUDE (reject_reason) FROM (SELECT *, {_MONITOR_REASON} AS reject_reason FROM (
+    SELECT * EXCLUDE (query_template), c % 11 AS kind, CASE c % 11 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(VARIED_TEXTS))} END
+    AS query_template FROM monitor_requests)) WHERE reject_reason IS NULL AND is_active""",
+    "monitor_requests",
+)
+_cte(
+    "varied_values",
+    f"""SELECT m.*, CASE kind WHEN 0 THEN n WHEN 1 THEN spread WHEN 2 THEN top WHEN 3 THEN round(nt / nullif(n, 0)::DOUBLE, 4)
+      WHEN 4 THEN programs WHEN 5 THEN of_type END::DOUBLE AS value
+    FROM varied_monitors m LEFT JOIN (
+      SELECT monitor_id, count(e.event_id) AS n, max(slot) - min(slot) AS spread, count(*) FILTER (event_type = 'transaction') AS nt
+      FROM varied_monitors q LEFT JOIN chain_events e ON e.program_id = q.program_id
+        AND epoch_us(timestamp) >= {_NOW_US} - window_minutes::BIGINT * 60000000 AND epoch_us(timestamp) < {_NOW_US} GROUP BY 1) USING (monitor_id)
+    LEFT JOIN (SELECT monitor_id, max(k) FILTER (by_sig) AS top, max(k) FILTER (NOT by_sig) AS of_type FROM (
+      SELECT monitor_id, grouping(event_type) = 1 AS by_sig, count(*) AS k FROM (SELECT monitor_id, coalesce(signature, '') AS sig, event_type
+        FROM varied_monitors q JOIN chain_events e ON e.program_id = q.program_id
+        AND epoch_us(timestamp) >= {_NOW_US} - window_minutes::BIGINT * 60000000 AND epoch_us(timestamp) < {_NOW_US})
+      GROUP BY GROUPING SETS ((monitor_id, sig), (monitor_id, event_type))) GROUP BY 1) USING (monitor_id)
+    LEFT JOIN (SELECT monitor_id, count(DISTINCT e.program_id) AS programs FROM varied_monitors q LEFT JOIN chain_events e
+      ON epoch_us(timestamp) >= {_NOW_US} - window_minutes::BIGINT * 60000000 WHERE kind = 4 GROUP BY 1) USING (monitor_id)""",
+    "varied_monitors", "chain_events",
+)
+_evaluated("varied_evaluated", "varied_values", "last_now", _NOW_US)
+_O["template_evaluation"] = _with("varied_evaluated") + """SELECT monitor_id, coalesce(value, 0.0) AS value, coalesce(triggered, false) AS triggered,
+dedupe_key, delivery_state, CASE WHEN kind BETWEEN 7 AND 10 THEN 'query execution failed'
+WHEN value IS NULL THEN 'failed to read metric value' ELSE '' END AS failure FROM varied_evaluated"""
+_O["refused_texts"] = _with("monitor_requests") + f""", t AS (SELECT c % 11 AS kind, count(*) AS monitors FROM monitor_requests GROUP BY 1)
+SELECT CASE kind {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(VARIED_TEXTS))} END AS query_template, monitors,
+CASE WHEN kind = 8 THEN 'table is not allowed: audit_log' END AS reason FROM t"""
+_O["subject_answers"] = _with("chain_events") + """SELECT program_id, count(*) AS events, max(slot) AS slot, 'subject2' AS subject
+FROM chain_events WHERE program_id = 'Prog3' GROUP BY 1
+UNION ALL SELECT program_id, count(*), max(slot), 'subject4' FROM chain_events WHERE program_id = 'Prog5' GROUP BY 1"""
+
+
+def _tick(i: int, now: str) -> None:
+    earlier = "".join(
+        f""" UNION ALL SELECT monitor_id, {t} AS at_us, -1 AS evaluation_id, delivery_state IN ('sent', 'queued') AS held, coalesce(dedupe_key, '')
+        FROM settled{j} """ for j, t in enumerate(_TICKS[:i])
+    )
+    _cte(
+        f"last{i}",
+        f"""SELECT monitor_id, max(at_us) AS last_us, max(at_us) FILTER (held) AS sent_us,
+        arg_max(dedupe_key, (at_us, evaluation_id)) FILTER (held) AS last_fingerprint
+        FROM (SELECT monitor_id, at_us, evaluation_id, alert_sent AS held, dedupe_key FROM audit{earlier}) WHERE at_us < {now} GROUP BY 1""",
+        "audit", *[f"settled{j}" for j in range(i)],
+    )
+    _cte(
+        f"values{i}",
+        f"""SELECT m.*, CAST(CASE m.metric WHEN 'events' THEN n WHEN 'transactions' THEN nt ELSE ns END AS DOUBLE) AS value
+        FROM monitors m JOIN (SELECT monitor_id, count(t) AS n, count(t) FILTER (kind = 'transaction') AS nt,
+          count(DISTINCT sig) AS ns FROM monitors q LEFT JOIN {_FLAT}
+          ON p = q.program_id AND t >= {now} - q.window_minutes::BIGINT * 60000000 AND t < {now} WHERE is_active GROUP BY monitor_id)
+        USING (monitor_id)""",
+        "monitors", "chain_events",
+    )
+    _evaluated(f"evaluated{i}", f"values{i}", f"last{i}", now)
+    _cte(
+        f"settled{i}",
+        f"""SELECT monitor_id, dedupe_key, {now} AS evaluated_at_us, CASE WHEN delivery_state = 'queued' AND monitor_id % 4 = 1 THEN 'failed'
+        WHEN delivery_state = 'queued' AND monitor_id % 4 > 1 THEN 'sent' ELSE delivery_state END AS delivery_state FROM evaluated{i}""",
+        f"evaluated{i}",
+    )
+
+
+_TICKS = [_NOW_US, "epoch_us(TIMESTAMP '2024-01-29 06:20:00')", "epoch_us(TIMESTAMP '2024-01-29 06:50:00')"]
+for _i, _now in enumerate(_TICKS):
+    _tick(_i, _now)
+_O["monitor_three_ticks"] = _with("settled0", "settled1", "settled2") + """SELECT monitor_id, evaluated_at_us, delivery_state,
+delivery_state = 'sent' AS alert_sent, CASE delivery_state WHEN 'sent' THEN 1 WHEN 'failed' THEN 3 ELSE 0 END AS retry_attempts,
+CASE delivery_state WHEN 'failed' THEN 'webhook returned status 500' ELSE '' END AS error, CASE delivery_state
+WHEN 'not_triggered' THEN 'condition not met' WHEN 'dry_run' THEN 'triggered in dry-run mode (no webhook sent)'
+WHEN 'cooldown' THEN 'triggered but still in cooldown' WHEN 'deduped' THEN 'triggered but dedupe window suppressed duplicate alert'
+WHEN 'sent' THEN 'triggered and webhook sent' WHEN 'failed' THEN 'triggered but webhook delivery failed after retries'
+ELSE 'triggered and handed to delivery' END AS reason FROM (SELECT * FROM settled0 UNION ALL SELECT * FROM settled1 UNION ALL SELECT * FROM settled2)"""

@@ -179,3 +179,32 @@ def monitor_two_ticks(spark, sf):
     handed = mon.audit_rows(second).unionByName(event_log.read_audit(spark, path), allowMissingColumns=True).where("delivery_state = 'queued'")
     made = handed.groupBy("monitor_id").agg(F.min("evaluated_at").alias("since"), F.count("*").alias("deliveries"))
     return made.where(F.col("since") == history.utc_bound(NOW)).select("monitor_id", "deliveries")
+
+
+#: Instants of three ticks, and what the consumer of alerts reports for a monitor (nothing for every fourth).
+TICKS = (NOW, NOW.replace("06:00:00", "06:20:00"), NOW.replace("06:00:00", "06:50:00"))
+
+
+def _reports(log: DataFrame) -> DataFrame:
+    kind = F.col("monitor_id") % 4
+    handed = log.where((F.col("delivery_state") == "queued") & (kind != 0))
+    return handed.select(
+        "evaluation_id", (kind != 1).alias("delivered"), F.when(kind == 1, 3).otherwise(1).alias("retry_attempts"),
+        F.when(kind == 1, " webhook returned status 500 ").otherwise("").alias("error"),
+    )
+
+
+@query("monitor_three_ticks")
+def monitor_three_ticks(spark, sf):
+    """Three ticks, each after the reports on the alerts of the one before: sent, failed and tried again, held back."""
+    path = workspace(spark, "ticks")
+    events, monitors, audit = shape(spark, sf, "chain_events"), catalog._monitors(spark, sf).where("is_active"), shape(spark, sf, "audit")
+    log = audit
+    for i, now in enumerate(TICKS):
+        event_log.append_audit(mon.audit_rows(mon.evaluate(events, monitors, log, now)), f"{path}/told{i}")
+        told = event_log.read_audit(spark, f"{path}/told{i}")
+        event_log.append_audit(mon.settle(told, _reports(told)), f"{path}/settled")
+        log = audit.unionByName(event_log.read_audit(spark, f"{path}/settled"), allowMissingColumns=True)
+    return event_log.read_audit(spark, f"{path}/settled").select(
+        "monitor_id", us("evaluated_at"), "delivery_state", "alert_sent", "retry_attempts", F.btrim("error").alias("error"), "reason"
+    )

@@ -110,12 +110,59 @@ def test_base64_has_no_line_breaks(spark):
 def test_guard_keeps_to_tables(spark):
     from slotwise.operators import guard
 
-    spark.range(5).createOrReplaceTempView("five")
-    assert guard.guarded_query(spark, "select * from five").count() == 5
-    for text in ("select * from text.`/etc/hostname`", "select reflect('java.util.UUID', 'randomUUID')", "select try_reflect ('a.b', 'c') from five"):
-        with pytest.raises(Exception):
-            guard.guarded_query(spark, text).collect()
-    assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == "true"
+    spark.range(9).createOrReplaceTempView("secret")
+    tables = {"five": spark.range(5)}
+    for text, rows in (
+        ("select * from five", 5), ("SELECT f.id FROM Five f JOIN `five` g ON f.id = g.id WHERE EXISTS (SELECT 1 FROM five)", 5),
+        ("with q as (select id + 1 as n from five) select sum(n) over (order by n), date_trunc('hour', timestamp_seconds(n)) from q", 5),
+        ("select explode(array(1, 2)) union all select * from values (3)", 3),
+    ):
+        assert guard.guarded_query(spark, text, tables).count() == rows
+    for text, reason in (
+        ("select * from text.`/etc/hostname`", "table is not allowed: text, /etc/hostname"),
+        ("select * from five where id in (select id from secret)", "table is not allowed: secret"),
+        ("with q as (select * from secret) select * from q", "table is not allowed: secret"),
+        ("select * from (with secret as (select 1) select * from secret) join secret", "name is taken by a table: secret"),
+        ("select * from default.five", "table is not allowed: default, five"),
+        ("select reflect('java.util.UUID', 'randomUUID')", "function is not allowed: reflect"),
+        ("select try_reflect ('a.b', 'c') from five", "function is not allowed: try_reflect"),
+        ("select current_user()", "function is not allowed"), ("select version() from five", "function is not allowed: version"),
+        ("select * from range(3)", "query part is not allowed: UnresolvedTableValuedFunction"),
+        ("select transform(id) using 'cat' as (x) from five", "query part is not allowed: ScriptTransformation"),
+        ("select * from identifier('sec' || 'ret')", "query part is not allowed"),
+        ("select (from five", "query cannot be parsed"),
+    ):
+        with pytest.raises(ValueError, match=reason.replace("(", r"\(").replace("|", r"\|")):
+            guard.guarded_query(spark, text, tables)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("_guarded")]
+
+
+def test_subjects_see_their_rows(spark):
+    from slotwise.operators import guard
+
+    rows = spark.createDataFrame([("A", 1), (" A ", 2), ("B", 3), ("", 4), (None, 5)], "program_id string, n int")
+    grants = spark.createDataFrame(
+        [("one", "viewer", ["A"]), ("one", "viewer", ["C"]), ("all", "viewer", []), ("boss", " Admin", ["C"]), ("none", "viewer", ["Z"])],
+        "subject string, role string, programs array<string>",
+    )
+    seen = {}
+    for who in ("one", "all", "boss", "none", "stranger"):
+        views = guard.subject_tables({"t": rows, "free": spark.range(2)}, grants, who)
+        seen[who] = sorted(r[0] for r in guard.guarded_query(spark, "SELECT n FROM t", views).collect())
+        assert guard.guarded_query(spark, "SELECT * FROM free", views).count() == 2
+    assert seen == {"one": [1, 2, 4, 5], "all": [1, 2, 3, 4, 5], "boss": [1, 2, 3, 4, 5], "none": [4, 5], "stranger": []}
+
+
+def test_clipped_answers_say_so(spark):
+    from slotwise.operators import guard
+
+    tables = {"t": spark.range(250).selectExpr("id AS slot", "concat('p', id % 120) AS program_id")}
+    row = guard.verified_answer(spark, "", "select * from t", tables, "t", 200).first()
+    assert row["row_count"] == 200 and row["truncated"] and (len(row["slots"]), row["slot_total"]) == (100, 200)
+    assert (len(row["program_ids"]), row["program_id_total"], row["signature_total"]) == (100, 120, 0)
+    assert not guard.verified_answer(spark, "", "select * from t", tables, "t", 250).first()["truncated"]
+    made = {r["field"]: (r["total"], r["truncated"]) for r in guard.evidence_values(tables["t"], ["slot"], 150).collect()}
+    assert made == {"slot": (250, True), "program_id": (120, False)}
 
 
 def test_registry_changes_and_versions(spark):

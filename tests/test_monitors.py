@@ -7,16 +7,17 @@ from slotwise.schemas import AUDIT
 
 NOW = "2024-01-02T00:00:00Z"
 FIELDS = (
-    "monitor_id long, name string, program_id string, metric string, query_template string, comparator string, "
+    "monitor_id long, name string, program_id string, query_template string, comparator string, "
     "threshold double, schedule_minutes int, window_minutes int, cooldown_minutes int, dedupe_minutes int, "
     "retry_max_attempts int, retry_initial_backoff_ms int, webhook_url string, is_active boolean, dry_run boolean"
 )
-TEXT = "SELECT count(*) FROM chain_events WHERE program_id = '{{program_id}}' AND timestamp >= '{{from}}'"
+WINDOW = "FROM chain_events WHERE program_id = '{{program_id}}' AND timestamp >= '{{from}}' AND timestamp < '{{to}}'"
+TEXT = f"SELECT count(*) {WINDOW}"
 
 
 def monitor(i, **over):
     row = dict(
-        monitor_id=i, name="Growth Monitor", program_id="P", metric="events", query_template=TEXT, comparator="gt",
+        monitor_id=i, name="Growth Monitor", program_id="P", query_template=TEXT, comparator="gt",
         threshold=1.0, schedule_minutes=1, window_minutes=60, cooldown_minutes=30, dedupe_minutes=60,
         retry_max_attempts=2, retry_initial_backoff_ms=5, webhook_url="https://x/y", is_active=True, dry_run=False,
     )
@@ -47,8 +48,8 @@ def states(spark, monitors, history=(), send=True):
 
 def test_window_is_half_open(spark):
     got = states(spark, [
-        monitor(1), monitor(2, window_minutes=61), monitor(3, metric="unique_signatures", threshold=0.0),
-        monitor(4, program_id="none"), monitor(5, metric="?"),
+        monitor(1), monitor(2, window_minutes=61), monitor(3, query_template=f"select count(DISTINCT signature) as s {WINDOW}", threshold=0.0),
+        monitor(4, program_id="none"), monitor(5, query_template="SELECT nothing FROM chain_events"),
     ])
     assert got[1] == (3.0, "queued") and got[2] == (4.0, "queued") and got[3] == (1.0, "queued")
     assert got[4] == (0.0, "not_triggered") and got[5] == (0.0, "evaluation_failed")
@@ -70,6 +71,7 @@ def test_rendered_query_and_outbox(spark):
     made = mon.evaluate(events(spark), spark.createDataFrame([monitor(1, program_id="P")], FIELDS), audit(spark), NOW)
     assert made.first()["query"] == (
         "SELECT count(*) FROM chain_events WHERE program_id = 'P' AND timestamp >= '2024-01-01T23:00:00Z'"
+        " AND timestamp < '2024-01-02T00:00:00Z'"
     )
     box = mon.alert_outbox(made, 1704153600, "secret", "k").first()
     assert box["signature"].startswith("v1=") and len(box["signature"]) == 67 and box["max_attempts"] == 2
@@ -91,10 +93,48 @@ def test_validation_defaults_and_reasons(spark):
     ]
 
 
-def test_free_templates(spark):
-    events(spark).createOrReplaceTempView("chain_events")
-    rows = [{"monitor_id": 1, "program_id": "P", "window_minutes": 60, "query_template": TEXT}]
-    assert mon.evaluate_templates(spark, rows, NOW).first()["value"] == 4.0
+def test_texts_of_many_forms(spark):
+    """The shared counts and the texts' own plans give the same values; failures stay with their monitors."""
+    texts = [
+        TEXT,
+        "SELECT count(*) FROM chain_events WHERE program_id='{{program_id}}' AND timestamp >= '{{from}}' AND timestamp < '{{to}}'",
+        f"SELECT 'x' AS a, NULL AS b, count_if(event_type = 'transaction') AS n {WINDOW}",
+        f"WITH q AS (SELECT signature, count(*) AS n {WINDOW} GROUP BY 1) SELECT signature, n FROM q ORDER BY n DESC, signature",
+        "SELECT count(*) FROM chain_events WHERE concat('<', program_id, '>') = '<{{program_id}}>' AND NOT timestamp < '{{from}}'",
+        "SELECT '{{program_id}}' AS p, '7.5' AS text_number",
+        f"SELECT max(signature) {WINDOW} LIMIT 1",
+        "SELECT missing FROM chain_events",
+        "SELECT count(*) FROM other",
+        "SELECT 1 / (count(*) - count(*)) FROM chain_events",
+        "SELECT count(*) FROM chain_events WHERE program_id = {{program_id}}",
+        "SELECT java_method('java.lang.Math', 'abs', -1)",
+        "SELECT 1; SELECT 2",
+    ]
+    rows = [monitor(10 * i + j, query_template=t, program_id=p, window_minutes=w) for i, t in enumerate(texts) for j, (p, w) in enumerate([("P", 60), ("P", 61), ("it's", 60)])]
+    made = mon.evaluate(events(spark), spark.createDataFrame(rows, FIELDS), audit(spark), NOW)
+    got = {r["monitor_id"]: (r["value"], r["delivery_state"] == "evaluation_failed", r["error"]) for r in made.collect()}
+    assert [got[j][:2] for j in range(3)] == [got[10 + j][:2] for j in range(3)] == [(3.0, False), (4.0, False), (0.0, False)]
+    assert [got[20 + j][0] for j in range(3)] == [3.0, 4.0, 0.0]
+    assert got[30][0] == 3.0 and got[31][0] == 4.0 and got[32][2] == "failed to read metric value: no numeric value"
+    assert [got[40 + j][0] for j in range(3)] == [4.0, 5.0, 0.0]
+    assert [got[50 + j][0] for j in range(3)] == [7.5] * 3
+    assert got[60][2].startswith("failed to read")
+    for i, said in ((70, "query execution failed: [UNRESOLVED"), (80, "query execution failed: table is not allowed: other"),
+                    (90, "query execution failed: [DIVIDE_BY_ZERO]"), (100, "query execution failed: a place holder"),
+                    (110, "query execution failed: function is not allowed: java_method"), (120, "query validation failed: multiple")):
+        assert all(got[i + j][1] and got[i + j][2].startswith(said) for j in range(3)), got[i]
+
+
+def test_window_starts_reach_the_scan_and_programs_the_join(spark):
+    from slotwise.operators import templates
+    from slotwise.plans.inputs import VARIED_TEXTS, shape
+
+    log = shape(spark, "/root/testdata/sf0.001", "chain_events")
+    params = spark.createDataFrame([("Prog1", 60, "2024-01-28T00:00:00Z"), ("Prog2", 60, "2024-01-20T00:00:00Z")], "_program_id string, _window int, _from string")
+    made = templates.text_values(spark, VARIED_TEXTS[1].replace("''", "'"), params, {"chain_events": log}, "2024-01-20T00:00:00Z", "2024-01-29T06:00:00Z")
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-20T00:00)" in text and "LessThan(ts,2024-01-29T06:00)" in text
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
 
 
 def test_two_ticks_deliver_once(spark):
