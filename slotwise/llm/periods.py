@@ -41,6 +41,8 @@ CORE = 3072
 PROBES = 8
 #: Documents are probed together up to so many words, and as many pairs of a boundary and a period.
 BLOCK = PART = 1 << 18
+#: Tiles that a task solves.
+TASK_BYTES = 2 << 20
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -246,7 +248,9 @@ def fragments(tile_rows: DataFrame) -> DataFrame:
             if out:
                 yield record(FRAGMENT, dict(zip(FRAGMENT.names, zip(*out))))
 
-    dealt = tile_rows.select(*KEY, "octave", "first", "bounds", "ids").repartition(F.xxhash64(*KEY, "octave", "first"))
+    # As many tasks as the tiles' bytes ask for: they are small for the work they are, so sizes of partitions mislead.
+    size = tile_rows.agg(F.sum(F.octet_length("ids") + F.octet_length("bounds"))).first()[0] or 0
+    dealt = tile_rows.select(*KEY, "octave", "first", "bounds", "ids").repartition(1 + size // TASK_BYTES, *KEY, "octave", "first")
     return dealt.mapInArrow(run, "doc_id long, print long, period long, start long, stop long")
 
 
