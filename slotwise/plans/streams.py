@@ -14,30 +14,38 @@ from ..operators import ordered_rules
 from ..session import workspace
 from ..sources import event_log
 from ..streaming import ingest
-from ..streaming.stateful import ordered_stream
+from ..streaming.keyed import streamed
 from . import catalog, inputs
 from .catalog import DAY_US, NOW, STATIC_URL, query, us
 from .inputs import shape
 
 
-def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream, whether it is one file or a folder of files.
-
-    The pattern matches the name alone; a plain path to one file is taken for a folder.
-    """
-    return (
-        spark.readStream.schema(schemas.TABLES[name])
-        .option("maxFilesPerTrigger", 8)
-        .parquet(f"{sf_dir}/{name}.parque[t]")
-    )
+#: Rows of the registered streams arrive up to so long after their time, in so many deliveries.
+DELAY_MS, DELIVERIES = 6 * 3_600_000, 3
 
 
-#: A table's files come in no order of time, so rows wait for all of a year's files.
-TABLE_DELAY_US = 366 * DAY_US
+def _decided(spark: SparkSession, sf_dir: str, columns, purpose: str):
+    """The events table delivered as a running source would: rows come up to DELAY_MS late, in deliveries of
+    arrival time. After each the stream goes on from its checkpoint and decides what the watermark has passed.
 
-
-def _ordered(spark: SparkSession, purpose: str):
-    return ordered_stream(workspace(spark, purpose), TABLE_DELAY_US)
+    ``columns`` makes the decisions' stream of the table's stream. The last delivery is one row of a
+    year later, as a source sends that wants what waits to be decided. Its own key never is.
+    """
+    path = workspace(spark, purpose)
+    table = inputs.table(spark, sf_dir, "events")
+    arrival = F.unix_millis(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DELAY_MS))
+    low, high = table.select(arrival.alias("a")).agg(F.min("a"), F.max("a")).first()
+    width = (high - low) // DELIVERIES + 1
+    last = table.limit(1).withColumns({
+        "event_id": F.lit(-1).cast("long"), "user_id": F.lit(-1).cast("long"), "value": F.lit(1e9), "ts": F.lit(high / 1000 + 366 * 86400).cast("timestamp").cast("timestamp_ntz"),
+    })
+    deliveries = [table.where((arrival >= low + i * width) & (arrival < low + (i + 1) * width)) for i in range(DELIVERIES)]
+    for rows in [*deliveries, last]:
+        rows.write.mode("append").parquet(f"{path}/source")
+        stream = spark.readStream.schema(schemas.TABLES["events"]).parquet(f"{path}/source")
+        made = columns(stream, streamed(DELAY_MS))
+        ingest.append_available(made, f"{path}/decided", f"{path}/checkpoint")
+    return spark.read.schema(made.schema).parquet(f"{path}/decided")
 
 
 def _landed(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
@@ -123,28 +131,33 @@ def stream_fanout(spark, sf):
 
 @query("nonce_replay_filter")
 def nonce_replay_filter(spark, sf):
-    rows = _table_stream(spark, sf, "events").select(
-        "event_id", "user_id", (F.floor(timing.micros(F.col("ts")) / 1_000_000) * 1_000_000).alias("received_us")
-    )
-    ruled = ordered_rules.new_nonces(rows, "user_id", "received_us", "event_id", 36_000 * 1_000_000, rule=_ordered(spark, "nonces"))
-    return ruled.select("event_id", "user_id", "fresh")
+    def fresh(stream, rule):
+        received = (F.floor(timing.micros(F.col("ts")) / 1_000_000) * 1_000_000).alias("received_us")
+        rows = stream.select("event_id", "user_id", received)
+        return ordered_rules.new_nonces(rows, "user_id", "received_us", "event_id", 36_000 * 1_000_000, rule=rule)
+
+    return _decided(spark, sf, fresh, "nonces").select("event_id", "user_id", "fresh")
 
 
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf):
-    rows = _table_stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
-    ruled = ordered_rules.rate_limit(rows, "key", "at", "request_id", 2, DAY_US, rule=_ordered(spark, "limits"))
-    return ruled.select("request_id", "key", "allowed", "remaining")
+    def limited(stream, rule):
+        rows = stream.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
+        return ordered_rules.rate_limit(rows, "key", "at", "request_id", 2, DAY_US, rule=rule)
+
+    return _decided(spark, sf, limited, "limits").select("request_id", "key", "allowed", "remaining")
 
 
 @query("stream_alert_suppress")
 def stream_alert_suppress(spark, sf):
-    rows = _table_stream(spark, sf, "events").selectExpr(*inputs.AUDIT).where("triggered").select(
-        "evaluation_id", "monitor_id", "evaluated_at", "dedupe_key",
-        F.lit(1440).alias("cooldown_minutes"), F.lit(7200).alias("dedupe_minutes"),
-    )
-    ruled = ordered_rules.suppress_alerts(rows, rule=_ordered(spark, "alerts"))
-    return ruled.select("evaluation_id", "delivery_state", "last_sent_us")
+    def suppressed(stream, rule):
+        rows = stream.selectExpr(*inputs.AUDIT).where("triggered").select(
+            "evaluation_id", "monitor_id", "evaluated_at", "dedupe_key",
+            F.lit(1440).alias("cooldown_minutes"), F.lit(7200).alias("dedupe_minutes"),
+        )
+        return ordered_rules.suppress_alerts(rows, rule=rule)
+
+    return _decided(spark, sf, suppressed, "alerts").select("evaluation_id", "delivery_state", "last_sent_us")
 
 
 @query("dlq_replay_job")
