@@ -112,11 +112,14 @@ def _cut(item, keep):
     return (doc, start, ids[: 4 * keep], total), (len(rest[2]) // 4, len(rest[2]) // 4, rest)
 
 
-def _powers_of_two(items: list) -> Iterator[list]:
-    """Deals the items of a short sequence to sequences of power-of-two lengths, largest first."""
+def _powers_of_two(items: list, segments: int) -> Iterator[list]:
+    """Deals the items of a short sequence to sequences of power-of-two lengths, none with more than so many pieces.
+
+    A sequence is as long as its first pieces allow, so a small limit gives more and shorter sequences."""
     left = sum(len(x[2]) // 4 for x in items)
     while left:
-        want = 1 << (left.bit_length() - 1)
+        reach = sum(len(x[2]) // 4 for x in items[:segments])
+        want = 1 << (reach.bit_length() - 1)
         left, part = left - want, []
         while want:
             have = len(items[0][2]) // 4
@@ -161,11 +164,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), pool_items: int =
                         yield from rows(fill(pool, _cut))
             while pool.what:
                 items = fill(pool, _cut)
-                if pool.what or limits.segments < limits.tokens.bit_length() * 2:
-                    yield from rows(items)
-                else:
-                    for part in _powers_of_two(items):
-                        yield from rows(part)
+                for part in [items] if pool.what else _powers_of_two(items, limits.segments):
+                    yield from rows(part)
 
         yield from in_pieces(everything(), PIECES)
 

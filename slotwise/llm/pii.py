@@ -13,16 +13,20 @@ Weights come from conditional likelihood on at most ``train_regions`` regions of
 with rewritten copies (phone without plus, spelled or bracketed separators) and broken
 copies that are not personal data (wrong check digit, part above 255).
 
-Null and empty texts have no spans. Long texts are read whole; all work is linear in
-their length. Repeated rows get the same spans. Without a region to learn from nothing is
-added.
+Null and empty texts have no spans. Long texts are read whole, and a region of any length is one
+sequence to the dynamic program; all work is linear in their length (a logarithm of the number of
+pattern spans besides). Of equal segmentations the one with fewer segments, then with the earlier start, is
+taken. Repeated rows get the same spans. Without a region to learn from nothing is added. An empty table
+gives an empty result. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.I)
 LONGEST, TRAIN_LENGTH = 24, 160
-#: Beyond this length a region is scored in stretches of so many tokens.
+#: Candidate segments of a region are scored for so many end tokens at a time.
 STRETCH = 512
 
 
@@ -142,7 +146,7 @@ FEATURES = (
     "under 7 digits", "7 to 9 digits", "10 digits", "11 to 13 digits", "14 to 16 digits", "17 to 19 digits", "over 19 digits",
     "checksum", "four parts", "four small parts", "bracketed dots", "domain end", "letters after digits only",
     "edge inside chunk left", "edge inside chunk right", "sign at right edge", "sign at left edge", "digit groups over 2", "one digit group",
-    "date", "digits go on left", "digits go on right",
+    "date", "digits go on left", "digits go on right", "bracket goes on left", "bracket goes on right",
 )
 DATE = re.compile(r"(?<![0-9])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9])|[0-9]:[0-9]")
 # Texts with digits that are not personal data.
@@ -171,60 +175,83 @@ def features(s: str, left: str, right: str) -> list[int]:
         25: not s[-1].isalnum(), 26: not s[0].isalnum() and s[0] not in "+(", 27: len(groups) > 2, 28: len(groups) == 1,
         29: bool(DATE.search(s)), 30: bool(re.search("[0-9][ .-]?$", left)) and s[0].isdigit(),
         31: bool(re.match("[ .-]?[0-9]", right)) and s[-1].isdigit(),
+        32: bool(re.search(r"[\])}>]\s?$", left)), 33: bool(re.match(r"\s?[\[({<]", right)),
     }
     return [i for i, yes in held.items() if yes]
 
 
-class Region:
-    """Tokens of a stretch of text with all candidate segments and their features."""
+class Candidates:
+    """The candidate segments of a text that end at some of its tokens, with their features."""
 
-    def __init__(self, text: str):
-        self.tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    def __init__(self, text: str, tokens: list, anchors: np.ndarray, first: int, last: int):
+        """Segments whose last token is one of first to last - 1."""
         self.spans, rows = [], []
-        solid = [not text[a].isspace() for a, _ in self.tokens]
-        anchor = np.cumsum([0, *(text[a] in "0123456789@" or text[a:b].lower() in ("at", "dot") for a, b in self.tokens)])
-        for i, (a, _) in enumerate(self.tokens):
-            if not solid[i]:
+        for i in range(max(0, first - LONGEST + 1), last):
+            a = tokens[i][0]
+            if text[a].isspace():
                 continue
-            for j in range(i, min(i + LONGEST, len(self.tokens))):
-                if not solid[j] or anchor[j + 1] == anchor[i]:
-                    continue
-                b = self.tokens[j][1]
+            for j in range(max(i, first), min(i + LONGEST, last)):
+                b = tokens[j][1]
                 # A segment holds its digits or its at sign whole, so shorter ones cannot be any kind.
-                if b - a < 7:
+                if b - a < 7 or anchors[j + 1] == anchors[i] or text[tokens[j][0]].isspace():
                     continue
                 self.spans.append((i, j + 1))
                 rows.append(features(text[a:b], text[max(0, a - 2):a], text[b:b + 2]))
         self.x = np.zeros((len(rows), len(FEATURES)))
         for r, held in enumerate(rows):
             self.x[r, held] = 1
-        self.ends: list[list[int]] = [[] for _ in range(len(self.tokens) + 1)]
-        for r, (_, j) in enumerate(self.spans):
-            self.ends[j].append(r)
 
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """Best segmentation: (kind, first token, last token + 1) of its segments."""
-        if not self.spans:
-            return []
-        scores = self.x @ weights.T
-        kind, top = scores.argmax(1), scores.max(1)
-        value, back = [0.0], [None]
-        for j in range(1, len(self.tokens) + 1):
-            v, b = value[j - 1], None
-            for r in self.ends[j]:
-                if (got := value[self.spans[r][0]] + top[r]) > v:
-                    v, b = got, r
+
+def token_table(text: str) -> tuple[list, np.ndarray]:
+    """Tokens, and how many of those before each may stand in personal data."""
+    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    return tokens, np.cumsum([0, *(text[a] in "0123456789@" or text[a:b].lower() in ("at", "dot") for a, b in tokens)])
+
+
+def segmented(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """Best segmentation of a whole text: (kind, start, end) of its segments.
+
+    The dynamic program runs over all tokens at once; only the candidates' features are held for STRETCH
+    end tokens at a time, so memory besides a few numbers a token does not grow with the text.
+    """
+    tokens, anchors = token_table(text)
+    value, back = [0.0], [None]
+    for first in range(0, len(tokens), STRETCH):
+        last = min(first + STRETCH, len(tokens))
+        found = Candidates(text, tokens, anchors, first, last)
+        ends: list[list[int]] = [[] for _ in range(last - first)]
+        for r, (_, j) in enumerate(found.spans):
+            ends[j - 1 - first].append(r)
+        scores = found.x @ weights.T
+        kind, top = (scores.argmax(1), scores.max(1)) if len(scores) else ((), ())
+        for at in ends:
+            v, b = value[-1], None
+            for r in at:
+                i = found.spans[r][0]
+                if (got := value[i] + top[r]) > v:
+                    v, b = got, (int(kind[r]), i)
             value.append(v)
             back.append(b)
-        out, j = [], len(self.tokens)
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, _ = self.spans[back[j]]
-                out.append((int(kind[back[j]]), i, j))
-                j = i
-        return out[::-1]
+    out, j = [], len(tokens)
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            k, i = back[j]
+            out.append((k, tokens[i][0], tokens[j - 1][1]))
+            j = i
+    return out[::-1]
+
+
+class Region(Candidates):
+    """A short text to learn from, with all its candidate segments."""
+
+    def __init__(self, text: str):
+        self.tokens, anchors = token_table(text)
+        super().__init__(text, self.tokens, anchors, 0, len(self.tokens))
+        self.ends: list[list[int]] = [[] for _ in range(len(self.tokens) + 1)]
+        for r, (_, j) in enumerate(self.spans):
+            self.ends[j].append(r)
 
     def gradient(self, weights: np.ndarray, gold: dict[tuple[int, int], int]) -> np.ndarray:
         """Gradient of the log-likelihood of the gold segments, by forward and backward sums."""
@@ -341,23 +368,22 @@ def train(docs: DataFrame, train_regions: int = 500, sample_docs: int = 20_000)
 
 
 def added_spans(text: str, base: list, weights: np.ndarray) -> list:
-    """Segments the random field finds that meet no pattern span."""
+    """Segments the random field finds that meet no pattern span; ``base`` is in order of start."""
+    starts = [a for _, a, _ in base]
+    reached = list(accumulate((b for _, _, b in base), max))
+
+    def reach(before: int) -> int:
+        """Where the pattern spans that begin before a place end."""
+        k = bisect_left(starts, before)
+        return reached[k - 1] if k else -1
+
     out = []
-    taken = [(a, b) for _, a, b in base]
     for a, b in regions(text):
-        if b - a < 7:
+        if b - a < 7 or reach(a + 1) >= b:
             continue
-        cuts = [a]
-        if b - a > STRETCH:
-            cuts += [m.end() + a for m in TOKEN.finditer(text[a:b])][STRETCH - 1::STRETCH]
-        for x, y in zip(cuts, [*cuts[1:], b]):
-            if y - x < 7 or any(p <= x and y <= q for p, q in taken):
-                continue
-            region = Region(text[x:y])
-            for kind, i, j in region.best(weights):
-                p, q = x + region.tokens[i][0], x + region.tokens[j - 1][1]
-                if not any(p < v and u < q for u, v in taken):
-                    out.append((KINDS[kind], p, q))
+        for kind, p, q in segmented(text[a:b], weights):
+            if reach(a + q) <= a + p:
+                out.append((KINDS[kind], a + p, a + q))
     return out
 
 

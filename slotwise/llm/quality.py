@@ -17,6 +17,7 @@ as they occur. Without any training row every score is 0.5.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -37,18 +38,21 @@ CLASSES = bytes(
 )
 
 
+RUN = re.compile(rb"(.)\1+", re.S)
+
+
 def shape(word: bytes) -> bytes:
-    """Character classes of a word, runs written once."""
-    kinds = word[:64].translate(CLASSES)
-    return bytes(b for b, before in zip(kinds, b"\0" + kinds) if b != before)
+    """Character classes of a whole word, runs written once."""
+    return RUN.sub(rb"\1", word.translate(CLASSES))
 
 
 class Words(dict):
-    """word -> place in two growing arrays of hashes, of the word and of its shape."""
+    """word -> place in two growing arrays of hashes, of the word and of its shape. ``limit`` bounds
+    the words kept and ``most_bytes`` their lengths together, besides one text's."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 1_000_000, most_bytes: int = 64 << 20):
         super().__init__()
-        self.limit, self.hashes = limit, np.zeros((1024, 2), np.uint64)
+        self.limit, self.most_bytes, self.held, self.hashes = limit, most_bytes, 0, np.zeros((1024, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
@@ -56,13 +60,15 @@ class Words(dict):
             self.hashes = np.vstack([self.hashes, np.zeros_like(self.hashes)])
         self.hashes[at] = xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape(word), 1)
         self[word] = at
+        self.held += len(word)
         return at
 
     def features(self, text: bytes) -> np.ndarray:
         """Hashed features of a text, repeats included."""
         words = text.split()
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.most_bytes:
             self.clear()
+            self.held = 0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         w, s = self.hashes[at].T
         again = np.zeros(len(at), bool)

@@ -95,7 +95,9 @@ def test_dynamic_program_is_the_best_of_all(weights):
                     best = max(best, value(chosen))
             if len(region.spans) > 60:
                 break
-        got = sum((region.x[region.spans.index((i, j))] @ w[k]) for k, i, j in region.best(w))
+        begins, ends = {a: i for i, (a, _) in enumerate(region.tokens)}, {b: i + 1 for i, (_, b) in enumerate(region.tokens)}
+        found = [(k, begins[a], ends[b]) for k, a, b in pii.segmented("1.2.3.4 a1@b.co", w)]
+        got = sum((region.x[region.spans.index((i, j))] @ w[k]) for k, i, j in found)
         assert got >= best - 1e-9
 
 
@@ -137,3 +139,43 @@ def test_redaction_keeps_everything_else(spark, edge_docs, weights):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[7] == "mail <EMAIL> or <PHONE> <CARD> end"
     assert got[0] is None and got[8] == "word " * 5000
+
+
+def test_spans_are_found_wherever_they_stand_in_a_long_region(weights, monkeypatch):
+    """Stretches only bound memory: a span at any offset to their edges is found, with the same result."""
+    number = "(212)555-0188"
+    monkeypatch.setattr(pii, "STRETCH", 16)
+    for before in range(0, 40):
+        text = "7 " + "w9 " * before + number + " x1" * 12
+        at = text.index(number)
+        found = pii.added_spans(text, [], weights)
+        assert any(k == "phone" and a <= at and b >= at + len(number) for k, a, b in found), before
+    text = "call 7-7 " + "w9 " * 30 + "mail a.b [at] c.org or 10[.]1[.]2[.]3 and " + "8 " * 30 + number
+    whole = []
+    for size in (5, 16, 4096):
+        monkeypatch.setattr(pii, "STRETCH", size)
+        whole.append(pii.added_spans(text, pii.base_spans(text), weights))
+    assert whole[0] == whole[1] == whole[2] and len(whole[0]) >= 2
+
+
+def test_added_spans_meet_no_pattern_span(weights):
+    text = "10[.]1[.]2[.]3 1.2.3.4 (212)555-0188 a@b.co " * 3
+    base = pii.base_spans(text)
+    extra = pii.added_spans(text, base, weights)
+    assert extra and not any(a < y and x < b for _, a, b in extra for _, x, y in base)
+
+
+def test_recall_of_spans_the_patterns_miss(spark, weights):
+    """Rewritten spans of documents that took no part in the fit: found whole and with their kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 7 = 3").select("text").collect()
+    hit, asked = {}, {}
+    for row in docs:
+        for kind, a, b in pii.base_spans(row.text):
+            for text, want in itertools.islice(pii.variants(row.text[a:b], [(kind, 0, b - a)]), 1, None):
+                if want and not pii.base_spans(text):
+                    asked[kind] = asked.get(kind, 0) + 1
+                    found = pii.added_spans(f"please see {text} , thanks", [], weights)
+                    hit[kind] = hit.get(kind, 0) + ((want[0][0], 11, 11 + len(text)) in found)
+    share = {k: round(hit[k] / n, 3) for k, n in asked.items()}
+    print(share, asked)
+    assert all(x >= 0.9 for x in share.values()) and len(share) >= 3, (share, asked)

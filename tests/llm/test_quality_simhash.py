@@ -160,3 +160,14 @@ def test_one_of_each_keeps_the_smallest(spark, prose):
     want = sorted(set(classes_of([slow_print(t) for _, t in rows])))
     doubled = prose.unionByName(prose.where("doc_id % 5 = 0"))
     assert sorted(r["doc_id"] for r in simhash.one_of_each(doubled).collect()) == want
+
+
+def test_shapes_of_whole_words():
+    assert quality.shape(b"Anxt!!") == b"Aa!"
+    long = b"a" * 200 + b"9" * 100 + b"!" + "é".encode() * 50
+    assert quality.shape(long) == b"a9!a" and quality.shape(long + b"Z") == b"a9!aA"
+    memo = quality.Words(most_bytes=1000)
+    want = quality.Words().features(b"one two " + b"x" * 900 + b" one")
+    assert (memo.features(b"one two " + b"x" * 900 + b" one") == want).all()
+    memo.features(b"y" * 500)
+    assert (memo.features(b"one two " + b"x" * 900 + b" one") == want).all() and memo.held < 1000

@@ -154,3 +154,14 @@ def test_the_dot_product_chooses():
     assert pool.what[pool.best(np.array([60.0, 10.0, 100.0]))] == 50
     assert pool.what[pool.best(np.array([40.0, 10.0, 100.0]))] == 30
     assert pool.best(np.array([20.0, 10.0, 100.0])) == -1
+
+
+@pytest.mark.parametrize("segments", [1, 2, 3, 25])
+def test_small_limits_on_segments_hold_to_the_end(segments):
+    """What is left is dealt to powers of two within the limit, whole and in order."""
+    items = [(i, 0, bytes(4 * n), n) for i, n in enumerate([7, 5, 1, 1, 9, 2, 1])]
+    parts = list(packing._powers_of_two(items, segments))
+    sizes = [sum(len(x[2]) // 4 for x in part) for part in parts]
+    assert sum(sizes) == 26 and all(n & (n - 1) == 0 for n in sizes) and all(len(part) <= segments for part in parts)
+    if segments == 25:
+        assert sizes == [16, 8, 2]
