@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import SIGNALS, clamp, contribution, growth_ratio, probability_band
@@ -52,65 +53,105 @@ def launch_windows(launches: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def launch_events(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Events inside a window of a launch of their program.
+#: Signers' rows are chained within stretches of time and from stretch to stretch, so that a busy signer is not one task's.
+CHAIN_US = 6 * 3_600_000_000
+#: Time buckets over the whole span, in which running sums are kept at two levels.
+BUCKETS = 1024
+_AT = ["program_id", "x"]
 
-    The outermost window bounds become literals, so the scan prunes by time.
-    Launches are listed under every time bucket their windows touch and events
-    meet them on (program, bucket), so few candidates fail the exact bounds and a
-    hot program spreads over its buckets. The list is broadcast when its counted
-    size allows it.
-    """
-    slim = windows.select("launch_idx", "program_id", "baseline_start", "launch_ts", "evaluation_end")
-    bounds = slim.agg(
-        F.min("baseline_start").alias("low"),
-        F.max("evaluation_end").alias("high"),
-        F.max(micros(F.col("evaluation_end")) - micros(F.col("baseline_start"))).alias("span"),
-    ).first()
+
+def _bounded(events: DataFrame, windows: DataFrame) -> tuple[DataFrame, int]:
+    """Events of the launches' programs between the outermost window bounds, which are literals to the scan, and the span."""
+    bounds = windows.agg(F.min("baseline_start").alias("low"), F.max("evaluation_end").alias("high")).first()
     if bounds["low"] is None:
-        events = events.where(F.lit(False))
-    else:
-        low, high = (F.lit(str(bounds[c])).cast("timestamp_ntz") for c in ("low", "high"))
-        events = events.where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
-    width = max((bounds["span"] or 0) // 8, 3_600_000_000)
-    first = F.floor(micros(F.col("baseline_start")) / width)
-    last = F.floor((micros(F.col("evaluation_end")) - 1) / width)
-    listed = slim.withColumn("bucket", F.explode(F.sequence(first, last)))
-    signer = F.coalesce("signature", F.lit("")).alias("signature")
-    facts = events.select(
-        "program_id", "timestamp", "event_type", signer, F.floor(micros(F.col("timestamp")) / width).alias("bucket")
-    )
-    inside = (F.col("timestamp") >= F.col("baseline_start")) & (F.col("timestamp") < F.col("evaluation_end"))
-    return facts.join(dimension(listed, limit), ["program_id", "bucket"]).where(inside)
+        return events.where(F.lit(False)), 1
+    low, high = (F.lit(str(bounds[c])).cast("timestamp_ntz") for c in ("low", "high"))
+    span = int((bounds["high"] - bounds["low"]).total_seconds() * 1_000_000)
+    return events.where((F.col("timestamp") >= low) & (F.col("timestamp") < high)), max(span, 1)
+
+
+def _chained(facts: DataFrame) -> DataFrame:
+    """Events (program_id, signature, t, ...) with ``before``, the time of the signer's previous one in the program."""
+    own = ["program_id", "signature", "chunk"]
+    facts = facts.withColumn("chunk", F.floor(F.col("t") / CHAIN_US))
+    inside = F.lag("t").over(W.partitionBy(*own).orderBy("t"))
+    # A row for each stretch of a signer: the last time in it reaches the first event of the next one.
+    ends = facts.groupBy(*own).agg(F.max("t").alias("last"))
+    ends = ends.withColumn("left", F.lag("last").over(W.partitionBy("program_id", "signature").orderBy("chunk"))).drop("last")
+    joined = facts.withColumn("inside", inside).join(ends, own)
+    return joined.withColumn("before", F.coalesce("inside", "left")).drop("inside", "left", "chunk")
+
+
+def _counts_before(points: DataFrame, probes: DataFrame, sums: list[str], width: int, limit: int | None) -> DataFrame:
+    """For every probe (program_id, x) the sums over the program's points with a smaller x.
+
+    Whole buckets are added up per program; only buckets with a probe are looked at point by point, as one
+    sorted run of points and probes. Nothing is paired.
+    """
+    bucket = F.floor(F.col("x") / width).alias("bucket")
+    points, probes = points.select("*", bucket), probes.select(*_AT, bucket)
+    asked = probes.select("program_id", "bucket").distinct()
+    zeros = [F.lit(0).cast("bigint").alias(c) for c in sums]
+    cells = points.groupBy("program_id", "bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    cells = cells.unionByName(asked.select("program_id", "bucket", *zeros)).groupBy("program_id", "bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    # At most a row a bucket and program.
+    earlier = W.partitionBy("program_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = cells.select("program_id", "bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    near = points.join(dimension(asked, limit), ["program_id", "bucket"], "left_semi").withColumn("probe", F.lit(0))
+    both = near.unionByName(probes.select("*", *zeros, F.lit(1).alias("probe")))
+    upto = W.partitionBy("program_id", "bucket").orderBy("x", F.desc("probe")).rowsBetween(W.unboundedPreceding, 0)
+    fine = both.select(*_AT, "bucket", "probe", *[F.sum(c).over(upto).alias(c) for c in sums]).where("probe = 1")
+    return fine.join(base, ["program_id", "bucket"]).select(*_AT, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
 
 
 def window_metrics(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Six counts per launch, zeros where nothing happened.
+    """Six counts per launch, zeros where nothing happened, without pairing events with launches.
 
-    Rows are reduced per (launch, signer) before the launch total, so a busy
-    launch is summed from partial counts and distinct signers need no expand.
+    Plain counts in [a, b) are differences of counts before b and before a. A signer counts in [a, a + L) at
+    its first event there: the one with ``before < a <= t < a + L``. So an event at t stands for the
+    window starts in (max(before, t - L), t], and the distinct signers from a on are the events whose
+    lower end is below a, less the events before a. All are counts of points below a probe. Points are
+    made for each distinct window length, of which settings have two.
     """
-    before = F.col("timestamp") < F.col("launch_ts")
-    sent = F.col("event_type") == "transaction"
-    per_signer = (
-        launch_events(events, windows, limit)
-        .groupBy("launch_idx", "signature")
-        .agg(
-            F.count_if(before).alias("b"),
-            F.count_if(before & sent).alias("bt"),
-            F.count_if(~before).alias("e"),
-            F.count_if(~before & sent).alias("et"),
-        )
-    )
-    totals = per_signer.groupBy("launch_idx").agg(
-        F.sum("b").alias("baseline_events"),
-        F.count_if(F.col("b") > 0).alias("baseline_unique_signatures"),
-        F.sum("bt").alias("baseline_transactions"),
-        F.sum("e").alias("evaluation_events"),
-        F.count_if(F.col("e") > 0).alias("evaluation_unique_signatures"),
-        F.sum("et").alias("evaluation_transactions"),
+    start, at, end = (micros(F.col(c)) for c in ("baseline_start", "launch_ts", "evaluation_end"))
+    kept, span = _bounded(events, windows)
+    lengths = [r[0] for r in windows.select(F.explode(F.array(at - start, end - at)).alias("l")).distinct().orderBy("l").collect()]
+    programs = windows.select("program_id").distinct()
+    facts = kept.join(dimension(programs, limit), "program_id", "left_semi").select(
+        "program_id", F.coalesce("signature", F.lit("")).alias("signature"), micros(F.col("timestamp")).alias("t"),
+        (F.col("event_type") == "transaction").cast("bigint").alias("sent"),
     )
-    return windows.join(totals, "launch_idx", "left").fillna(0, subset=list(COUNTS))
+    sums = ["n", "sent", *(f"d{i}" for i in range(len(lengths)))]
+
+    def point(x: Column, **held: Column) -> Column:
+        return F.struct(x.alias("x"), *[held.get(c, F.lit(0).cast("bigint")).cast("bigint").alias(c) for c in sums])
+
+    lower = [F.greatest(F.coalesce("before", F.col("t") - l), F.col("t") - l) for l in lengths]  # noqa: E741
+    made = F.array(point(F.col("t"), n=F.lit(1), sent=F.col("sent")), *[point(x, **{f"d{i}": F.lit(1)}) for i, x in enumerate(lower)])
+    points = _chained(facts).select("program_id", F.explode(made).alias("p")).select("program_id", "p.*")
+    edges = windows.select("program_id", F.explode(F.array(start, at, end)).alias("x")).distinct()
+    below = _counts_before(points, edges, sums, max(span // BUCKETS, 60_000_000), limit)
+
+    asked = windows.withColumns({"_0": start, "_1": at, "_2": end})
+    for i in range(3):
+        side = below.select("program_id", F.col("x").alias(f"_{i}"), F.struct(*sums).alias(f"_at{i}"))
+        asked = asked.join(side, ["program_id", f"_{i}"], "left")
+
+    def distinct(first: int, length: Column) -> Column:
+        found = F.lit(None).cast("bigint")
+        for i, l in enumerate(lengths):  # noqa: E741
+            found = F.when(length == l, F.col(f"_at{first}.d{i}")).otherwise(found)
+        return found - F.col(f"_at{first}.n")
+
+    totals = {
+        "baseline_events": F.col("_at1.n") - F.col("_at0.n"),
+        "baseline_unique_signatures": distinct(0, F.col("_1") - F.col("_0")),
+        "baseline_transactions": F.col("_at1.sent") - F.col("_at0.sent"),
+        "evaluation_events": F.col("_at2.n") - F.col("_at1.n"),
+        "evaluation_unique_signatures": distinct(1, F.col("_2") - F.col("_1")),
+        "evaluation_transactions": F.col("_at2.sent") - F.col("_at1.sent"),
+    }
+    return asked.select(*windows.columns, *[F.coalesce(totals[c], F.lit(0)).alias(c) for c in COUNTS])
 
 
 def judged(metrics: DataFrame, settings: Settings) -> DataFrame:

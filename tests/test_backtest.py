@@ -68,3 +68,52 @@ def test_scoring_needs_history(spark):
     few = bt.backtest(log, launches(spark, [(0, "", "P", "2024-01-02T12:00:00Z")]), bt.Settings.of())
     with pytest.raises(ValueError):
         bt.score_launches(few, few, bt.Settings.of())
+
+
+def test_counts_equal_pairs(spark):
+    """Against every event joined with every launch: repeated times, signers with gaps over many stretches, odd lengths."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice("PQ"), r.randrange(400) * 1800, r.choice(["transaction", "account"]), r.choice([None, "", "a", "b", *map(str, range(30))])) for _ in range(3000)]
+    log = spark.createDataFrame(rows, "program_id string, s long, event_type string, signature string").selectExpr(
+        "program_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s) AS timestamp", "event_type", "signature"
+    )
+    asked = [(i, r.choice("PQR"), r.randrange(300) * 900, r.choice([1800, 36000, 90000]), r.choice([900, 40000])) for i in range(60)]
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s)"
+    windows = spark.createDataFrame(asked, "launch_idx long, program_id string, s long, b long, e long").selectExpr(
+        "launch_idx", "program_id", f"{at} AS launch_ts", f"{at} - make_dt_interval(0, 0, 0, b) AS baseline_start", f"{at} + make_dt_interval(0, 0, 0, e) AS evaluation_end"
+    )
+    got = bt.window_metrics(log, windows)
+    log.createOrReplaceTempView("_log")
+    windows.createOrReplaceTempView("_windows")
+    counts = ", ".join(
+        f"count_if({inside}) {name}_events, count(DISTINCT CASE WHEN {inside} THEN coalesce(signature, '') END) {name}_unique_signatures, "
+        f"count_if({inside} AND event_type = 'transaction') {name}_transactions"
+        for name, inside in (("baseline", "timestamp >= baseline_start AND timestamp < launch_ts"), ("evaluation", "timestamp >= launch_ts AND timestamp < evaluation_end"))
+    )
+    want = spark.sql(f"SELECT launch_idx, {counts} FROM _windows w LEFT JOIN _log l ON l.program_id = w.program_id GROUP BY launch_idx")
+    assert sorted(map(tuple, got.select("launch_idx", *bt.COUNTS).collect())) == sorted(map(tuple, want.select("launch_idx", *bt.COUNTS).collect()))
+
+
+def test_no_join_pairs_events_with_launches(spark):
+    """Every join's rows are bounded by events plus launches, read from the executed plan."""
+    log = shape(spark, SF, "chain_events")
+    asked = history.valid_launches(shape(spark, SF, "launch_requests")).where("reject_reason IS NULL")
+    made = bt.window_metrics(log, bt.launch_windows(asked, bt.Settings.of()), limit=0)
+    made.collect()
+    bound = log.count() + 3 * asked.count()
+    plans, sizes = [made._jdf.queryExecution().executedPlan()], []
+    while plans:
+        node = plans.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            sizes.append(node.metrics().apply("numOutputRows").value())
+        if name.startswith("AdaptiveSparkPlan"):
+            plans.append(node.executedPlan())
+        elif "QueryStage" in name:
+            plans.append(node.plan())
+        children = node.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    assert len(sizes) >= 5 and max(sizes) <= 3 * log.count() + 3 * asked.count(), sizes
+    assert sorted(sizes)[-1] <= 3 * bound
