@@ -44,19 +44,26 @@ def trailing_grid_sums(df: DataFrame, at: str, span: int, bucket: int, **columns
     return made.where("_bucket = _own").drop("_bucket", "_own", *[f"_run_{n}" for n in columns])
 
 
-def trailing(
-    df: DataFrame, keys: list[str], at: str, span: int, bucket: int, **aggregates: tuple
-) -> DataFrame:
-    """Aggregates over the last ``span`` units up to and including each row.
+def trailing_sum(df: DataFrame, keys: list[str], at: str, span: int, bucket: int, name: str, column: str) -> DataFrame:
+    """``name``: the column's sum over the last ``span`` units up to and including each row's time.
 
-    ``aggregates`` maps a new name to (function, column). A busy key would be one
-    window partition, so time is cut into buckets; the rows of the last ``span``
-    units of a bucket are also given to the next one, where they only feed frames.
+    The sum up to a time less the sum up to ``span`` before it: each row also stands as a probe at the earlier
+    time, one running sum passes over rows and probes in order, and rows of one time share their probe's
+    sum. So work does not grow with the rows in a span. A busy key is cut into time buckets; the rows
+    of the last ``span`` units of a bucket are lent to the next one, where they only feed the sum.
     """
     spread = _with_lent_rows(df, at, span, bucket)
-    frame = W.partitionBy(*keys, "_bucket").orderBy(at).rangeBetween(-(span - 1), 0)
-    made = spread.withColumns({name: fn(F.col(c)).over(frame) for name, (fn, c) in aggregates.items()})
-    return made.where("_bucket = _own").drop("_bucket", "_own")
+    held = F.struct(*df.columns).alias("_row")
+    point = F.struct(F.col(at).alias("x"), F.lit(0).alias("probe"), F.col(column).alias("v"))
+    probe = F.struct((F.col(at) - span).alias("x"), F.lit(1).alias("probe"), F.lit(0).cast(df.schema[column].dataType).alias("v"))
+    both = F.explode(F.when(F.col("_bucket") == F.col("_own"), F.array(point, probe)).otherwise(F.array(point)))
+    spread = spread.select(*keys, "_bucket", "_own", F.col(at).alias("_at"), held, both.alias("_p"))
+    # Of equal times rows come before probes, and rows of one time see one another.
+    upto = W.partitionBy(*keys, "_bucket").orderBy("_p.x", "_p.probe")
+    summed = spread.withColumn("_sum", F.sum("_p.v").over(upto))
+    early = F.max(F.when(F.col("_p.probe") == 1, F.col("_sum"))).over(W.partitionBy(*keys, "_bucket", "_at"))
+    made = summed.withColumn("_early", early).where("_p.probe = 0 AND _bucket = _own")
+    return made.select("_row.*", (F.col("_sum") - F.coalesce("_early", F.lit(0))).alias(name))
 
 
 def counter_deltas(samples: DataFrame, series: list[str], counters: list[str], bucket_us: int) -> DataFrame:
@@ -94,7 +101,7 @@ def counter_increase(
     """Growth of a counter over (t - window, t] at every sample."""
     deltas = counter_deltas(samples, series, [counter], bucket_us)
     span = window_s * SECOND
-    return trailing(deltas, series, "at_us", span, max(bucket_us, span), increase=(F.sum, f"{counter}_delta"))
+    return trailing_sum(deltas, series, "at_us", span, max(bucket_us, span), "increase", f"{counter}_delta")
 
 
 def grid_increases(

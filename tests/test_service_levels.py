@@ -45,3 +45,29 @@ def test_lag_breaches_beyond_the_limit_only(spark):
     got = {r["step"]: r["breached"] for r in sl.lag_checks(df).collect()}
     want = {s: s * 30_000 - max(a for a in at if a <= s * 30_000) > 120_000 for s in range(0, 25)}
     assert got == {s: want[s] for s in got} and min(got) == 0 and max(got) == 24
+
+
+def test_increase_at_irregular_samples(spark):
+    """Against every pair of samples: equal times, resets, gaps longer than the window, samples on a window's edge."""
+    import random
+
+    from slotwise.operators import service_levels as sl
+
+    r = random.Random(8)
+    rows = sorted((i % 3, r.choice([r.randrange(90) * 600, r.randrange(54_000), 3600 * r.randrange(15)]), float(r.randrange(500))) for i in range(400))
+    rows = [(n, f"s{s}", t, v) for n, (s, t, v) in enumerate(rows)]
+    samples = spark.createDataFrame(rows, "sample_id long, series string, s long, c double").selectExpr(
+        "sample_id", "series", "c", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s) AS ts"
+    )
+    want, last = {}, {}
+    grown = []
+    for n, s, t, v in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        p = last.get(s)
+        grown.append((n, s, t, 0.0 if p is None else v if v < p else v - p))
+        last[s] = v
+    for n, s, t, _ in grown:
+        want[n] = sum(d for _, s2, t2, d in grown if s2 == s and t - 3600 < t2 <= t)
+    for bucket in (3600, 7200, 86400):
+        made = sl.counter_increase(samples, ["series"], "c", 3600, bucket * sl.SECOND)
+        assert {x["sample_id"]: x["increase"] for x in made.collect()} == want
+    assert "ts" in made.columns and "RangeFrame, -" not in made._jdf.queryExecution().executedPlan().toString()
