@@ -11,6 +11,12 @@ of rows. What a chunk does to any incoming state is fixed by the few rows at its
 start, so each chunk is reduced to a small entry table; tables are combined in
 a tree (``FAN_IN`` at a time), the state entering every chunk follows, and a
 last pass marks the rows chunk by chunk.
+
+A key with more rows in one quiet period than a chunk may hold goes another way. Its rows are cut in
+order into zones of about a chunk's rows, each known by its times, marks and rows. Few rows of a
+period are accepted, so from a state the next zone that can hold an accepted row is looked up in the zone map,
+and only that zone's rows are read to find the state it leaves: a round for each zone with accepted
+rows, all such keys at a time. Every zone's entering state follows, and zones are marked in parallel.
 """
 
 from __future__ import annotations
@@ -19,9 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.timing import minutes_us
+from ..session import workspace
 
 FAN_IN = 64
 CHUNK_ROWS = 1_000_000
@@ -256,6 +265,94 @@ def _mark_with_carry(table: pa.Table, carry: pa.Table) -> pa.Table:
     return _mark_table(table, _state(carry.to_pandas()))
 
 
+def _zone_exit(table: pa.Table, state: pa.Table) -> pa.Table:
+    """What a zone leaves of the state that enters it: (k, chunk, at, mark, n), n the rows from the anchor to its end."""
+    if not table.num_rows:
+        return pa.Table.from_pylist([], _EXIT_ARROW)
+    order = np.lexsort((table["tie"].to_numpy(), table["at"].to_numpy()))
+    at = table["at"].to_numpy()[order]
+    mark = table["mark"].to_numpy(zero_copy_only=False)[order]
+    held = (state["at"][0].as_py(), state["mark"][0].as_py(), 0) if state.num_rows and state["at"][0].as_py() is not None else None
+    accepted, anchor, position = _decide(at, mark, table["quiet"][0].as_py(), table["repeat"][0].as_py(), held)
+    own = np.flatnonzero(accepted)
+    row = {"k": table["k"][0].as_py(), "chunk": table["chunk"][0].as_py(), "at": None, "mark": None, "n": None}
+    if len(own):
+        row |= {"at": int(anchor[-1]), "mark": mark[own[-1]], "n": int(position[-1])}
+    return pa.Table.from_pylist([row], _EXIT_ARROW)
+
+
+_EXIT = "k string, chunk int, at long, mark string, n long"
+_EXIT_ARROW = pa.schema([("k", pa.string()), ("chunk", pa.int32()), ("at", pa.int64()), ("mark", pa.string()), ("n", pa.int64())])
+
+
+def _zones(base: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in zones (``chunk``, ascending in a key's order), and the state that enters each zone as ``_CARRY``.
+
+    Rows, zone map and each round's exits are written to the shared folder: a round reads only the files
+    of the zones it looks at, and a lost executor repeats no earlier round.
+    """
+    spark, path = base.sparkSession, workspace(base.sparkSession, "zones")
+    parts = base.count() // chunk_rows + 1
+    # Rows of equal time and tie are told apart by their content, so they do not make one zone.
+    cut = base.withColumn("_h", F.xxhash64(F.to_json("row"))).repartitionByRange(parts, "k", "at", "tie", "_h").drop("_h")
+    cut.withColumn("chunk", F.spark_partition_id()).write.parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType([*cut.schema.fields, T.StructField("chunk", T.IntegerType())])).parquet(f"{path}/rows")
+    made = rows.groupBy("k", "chunk").agg(
+        F.max("at").alias("last"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("rows"),
+        F.first("quiet").alias("quiet"), F.first("repeat").alias("repeat"),
+    )
+    made.write.parquet(f"{path}/zones")
+    zones = spark.read.schema(made.schema).parquet(f"{path}/zones")
+    state, told = spark.createDataFrame([], _EXIT), 0
+    while True:
+        # A zone can accept a row once it reaches past the quiet span, with another mark or past the repeat span.
+        other = (F.col("s.mark") == "") | (F.col("low") != F.col("s.mark")) | (F.col("high") != F.col("s.mark"))
+        can = (F.col("last") >= F.col("s.at") + F.greatest("quiet", F.lit(0))) & (
+            (F.col("repeat") <= F.col("quiet")) | other | (F.col("last") >= F.col("s.at") + F.col("repeat"))
+        )
+        ahead = zones.alias("z").join(state.alias("s"), F.col("z.k").eqNullSafe(F.col("s.k")), "left").where(
+            F.col("s.chunk").isNull() | ((F.col("z.chunk") > F.col("s.chunk")) & (F.col("s.at").isNull() | can))
+        )
+        chosen = ahead.groupBy("z.k").agg(F.min("z.chunk").alias("c"), F.first("s.at").alias("at"), F.first("s.mark").alias("mark"))
+        # One row a key; a key with a hot period has chunk_rows rows at least.
+        chosen.select("k", F.col("c").alias("chunk"), "at", "mark").write.parquet(f"{path}/asked/round={told}")
+        asked = spark.read.schema("k string, chunk int, at long, mark string").parquet(f"{path}/asked/round={told}")
+        numbers = [r[0] for r in asked.select("chunk").distinct().collect()]
+        if not numbers:
+            break
+        looked = rows.where(F.col("chunk").isin(numbers)).drop("row").withColumn("key", F.coalesce("k", F.lit("\0")))
+        entering = asked.withColumn("key", F.coalesce("k", F.lit("\0")))
+        exits = looked.join(entering.select("key", "chunk"), ["key", "chunk"], "left_semi").groupBy("key", "chunk").cogroup(
+            entering.groupBy("key", "chunk")
+        ).applyInArrow(_zone_exit, _EXIT)
+        exits.write.parquet(f"{path}/exits/round={told}")
+        fresh = spark.read.schema(_EXIT).parquet(f"{path}/exits/round={told}")
+        # A zone that accepted none passes the state on.
+        same = F.col("f.k").eqNullSafe(F.col("a.k"))
+        passed = fresh.alias("f").join(asked.alias("a"), same).select(
+            "f.k", "f.chunk", F.coalesce("f.at", "a.at").alias("at"), F.coalesce("f.mark", "a.mark").alias("mark"), "f.n"
+        )
+        # Keys with no zone ahead keep their state.
+        done = state.alias("s").join(asked.alias("a"), F.col("s.k").eqNullSafe(F.col("a.k")), "left_anti")
+        state = passed.unionByName(done)
+        state.write.parquet(f"{path}/states/round={told}")
+        state = spark.read.schema(_EXIT).parquet(f"{path}/states/round={told}")
+        told += 1
+    left = spark.read.schema(_EXIT).parquet(f"{path}/exits").where("at IS NOT NULL").select(
+        "k", "chunk", F.struct("at", "mark", "n").alias("left")
+    )
+    by_zone = W.partitionBy("k").orderBy("chunk")
+    before = by_zone.rowsBetween(W.unboundedPreceding, -1)
+    held = zones.alias("z").join(left.alias("l"), F.col("z.k").eqNullSafe(F.col("l.k")) & (F.col("z.chunk") == F.col("l.chunk")), "left")
+    held = held.select("z.k", "z.chunk", "z.rows", "l.left")
+    held = held.withColumn("upto", F.sum("rows").over(by_zone)).withColumn("end", F.when(F.col("left").isNotNull(), F.col("upto")))
+    carry = held.select(
+        "k", "chunk", F.last("left", True).over(before).alias("e"),
+        (F.col("upto") - F.col("rows") - F.last("end", True).over(before)).alias("gap"),
+    ).select("k", F.col("chunk").cast("long").alias("chunk"), F.col("e.at").alias("c_at"), F.col("e.mark").alias("c_mark"), (F.col("e.n") + F.col("gap")).alias("c_n"))
+    return rows.withColumn("chunk", F.col("chunk").cast("long")), carry
+
+
 def rule_rows(
     rows: DataFrame,
     key: Column,
@@ -299,23 +396,28 @@ def apply_quiet_rule(
     must be constant within a key.
     """
     base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
+    marked = f"row {base.schema['row'].dataType.simpleString()}, accepted boolean, anchor_at long, position long"
+    out = F.col("row.*"), F.col("accepted"), F.col("anchor_at"), F.col("position")
     # A rule without any period accepts every row; an hour keeps its chunks sane.
     span = F.greatest("quiet", "repeat")
     period = F.when(span > 0, span).otherwise(F.lit(3_600_000_000))
-    load = (
-        base.groupBy("k", period.alias("period"), F.floor(F.col("at") / period).alias("slot"))
-        .count()
-        .agg(F.max("count").alias("peak"), F.min("slot").alias("low"), F.max("slot").alias("high"))
-        .first()
-    )
+    loads = base.groupBy("k", period.alias("period"), F.floor(F.col("at") / period).alias("slot")).count()
+    load = loads.agg(F.max("count").alias("peak"), F.min("slot").alias("low"), F.max("slot").alias("high")).first()
     peak, low, high = load["peak"] or 1, load["low"] or 0, load["high"] or 0
+    if peak > chunk_rows and periods is None:
+        # A row a key, and each such key has over chunk_rows rows.
+        hot = loads.where(F.col("count") > chunk_rows).select(F.col("k").alias("_hot")).distinct()
+        meets = F.col("k").eqNullSafe(F.col("_hot"))
+        zoned, carry = _zones(base.join(hot, meets, "left_semi"), chunk_rows)
+        there = zoned.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked).select(*out)
+        rest = base.join(hot, meets, "left_anti").select("row.*")
+        here = apply_quiet_rule(rest, key, at_us, tie, quiet_us, repeat_us, mark, chunk_rows, fan_in)
+        return there.unionByName(here)
     if periods is None:
         periods = int(min(max(chunk_rows // peak, 1), MAX_PERIODS))
 
     width = period * F.lit(periods)
     chunked = base.withColumn("chunk", F.floor(F.col("at") / width)).withColumn("start", F.col("chunk") * width)
-    marked = f"row {base.schema['row'].dataType.simpleString()}, accepted boolean, anchor_at long, position long"
-    out = F.col("row.*"), F.col("accepted"), F.col("anchor_at"), F.col("position")
     if low // periods == high // periods:
         return chunked.groupBy("k", "chunk").applyInArrow(_mark_alone, marked).select(*out)
 

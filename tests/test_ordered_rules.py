@@ -51,6 +51,34 @@ def test_hot_key_is_cut_into_bounded_chunks(spark):
     assert got.where("accepted").count() == 500
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_zones_of_hot_periods_equal_the_loop(spark, seed):
+    """Keys with more rows in a period than a chunk may hold, beside cold ones, with marks, ties and a null key."""
+    rnd = random.Random(seed)
+    rows, row_id = [], 0
+    for key, n, quiet, repeat in (("h", 900, 300, 700), ("g", 700, 200, 0), ("m", 600, 0, 400), ("", 400, 150, 100), ("c", 30, 20, 50), ("d", 25, 5, 0)):
+        at = rnd.randint(-50, 50)
+        for _ in range(n):
+            at += rnd.choice([0, 0, 0, 1, 2] if n > 100 else [1, 9, 30])
+            # Long stretches of one mark: whole zones that cannot accept.
+            rows.append((key, row_id, at, quiet, repeat, rnd.choice("ab") if rnd.random() < 0.02 else "a" if key != "m" else rnd.choice(["", "a"])))
+            row_id += 1
+    df = spark.createDataFrame(rows, "k string, id long, at long, quiet long, again long, mark string").repartition(5)
+    got = rules.apply_quiet_rule(
+        df, F.when(F.col("k") != "", F.col("k")), F.col("at"), F.col("id"), F.col("quiet"), F.col("again"), F.col("mark"), chunk_rows=60
+    )
+    assert {r["id"]: (r["accepted"], r["anchor_at"], r["position"]) for r in got.collect()} == loop(rows)
+
+
+def test_one_key_in_one_period_uses_many_tasks(spark):
+    rows = spark.range(400_000).selectExpr("id", "1 AS k", "(id * 7919) % 400000 AS at")
+    got = rules.apply_quiet_rule(rows, F.col("k"), F.col("at"), F.col("id"), F.lit(10_000_000), chunk_rows=50_000)
+    tasks = got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.count_if("accepted").alias("yes"), F.max("position").alias("p"))
+    made = tasks.collect()
+    assert len(made) > 1 and sum(r["n"] for r in made) == 400_000 and sum(r["yes"] for r in made) == 1 and max(r["p"] for r in made) == 400_000
+    assert max(r["n"] for r in made) <= 250_000
+
+
 def test_rate_limit_boundaries(spark):
     at = ["2024-01-01 00:00:00", "2024-01-01 00:00:10", "2024-01-01 00:00:59.999999", "2024-01-01 00:01:00"]
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate(at)], "k string, id long, t string").withColumn(
