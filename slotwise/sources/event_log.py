@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,31 +62,60 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("day")
 
 
-def purge_audit(spark: SparkSession, path: str, now: str, retention_hours: int = 720) -> None:
+#: Stands in a purge's copy of a day once the copy is whole; only then may the day be touched.
+_WHOLE = "_whole"
+
+
+def purge_audit(
+    spark: SparkSession, path: str, now: str, retention_hours: int = 720, after: Callable[[str], None] = lambda step: None
+) -> None:
     """Delete the audit rows older than the retention, by day.
 
-    Whole days before the edge go as folders, and only the edge's own day is written again, by
-    way of a folder beside the log. A purge that stops half way is run again.
+    Whole days before the edge go as folders, and only the edge's own day is written again, from a copy
+    of its kept rows beside the log. The copy counts once its marker stands in it. A purge may stop
+    after any step and the next one, with whatever edge, first ends what it left: a copy with its marker
+    replaces its day again, one without is dropped, as its day was not touched yet. The marker goes before
+    the copy does. No rename has to be atomic. ``after`` is told each step that is done.
     """
     from ..operators.monitors import retention_edge
 
     edge = retention_edge(now, retention_hours)
     first = spark.range(1).select(F.to_date(edge).cast("string").alias("day")).first()["day"]
     files = spark._jvm.org.apache.hadoop.fs
-    root = files.Path(path)
+    root = files.Path(path.rstrip("/"))
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = f"{root.getName()}-purged-"
+
+    def replace_day(copy, day: str) -> None:
+        spark.read.schema(schemas.AUDIT).parquet(copy.toString()).write.mode("overwrite").parquet(f"{path}/day={day}")
+        after("day replaced")
+        fs.delete(files.Path(copy, _WHOLE), False)
+        after("marker gone")
+        fs.delete(copy, True)
+        after("copy gone")
+
+    # A copy at most, unless purges ran at the same time.
+    for left in fs.listStatus(root.getParent()):
+        copy = left.getPath()
+        if copy.getName().startswith(prefix):
+            if fs.exists(files.Path(copy, _WHOLE)):
+                replace_day(copy, copy.getName().removeprefix(prefix))
+            else:
+                fs.delete(copy, True)
     # One entry for each day kept.
     days = {s.getPath().getName(): s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("day=")}
     if f"day={first}" in days:
+        copy = files.Path(root.getParent(), prefix + first)
         kept = spark.read.schema(schemas.AUDIT).parquet(f"{path}/day={first}").where(F.col("created_at") >= edge)
-        beside = f"{path.rstrip('/')}-purged-{first}"
-        kept.write.mode("overwrite").parquet(beside)
-        again = spark.read.schema(schemas.AUDIT).parquet(beside)
-        again.write.mode("overwrite").parquet(f"{path}/day={first}")
-        fs.delete(files.Path(beside), True)
-    for name, folder in days.items():
+        kept.write.mode("overwrite").parquet(copy.toString())
+        after("copy written")
+        fs.create(files.Path(copy, _WHOLE), True).close()
+        after("marker set")
+        replace_day(copy, first)
+    for name, folder in sorted(days.items()):
         if name < f"day={first}":
             fs.delete(folder, True)
+            after("day dropped")
 
 
 def rewrite(df: DataFrame, path: str) -> DataFrame:

@@ -188,3 +188,45 @@ def test_purge_drops_days_and_cuts_the_edge(spark):
         left = event_log.read_audit(spark, path)
         assert sorted(r[0] for r in left.select("evaluation_id").collect()) == keys
     assert left.where(F.to_date("created_at") < F.lit("2024-01-18").cast("date")).count() == 0
+
+
+def test_purge_may_die_after_any_step(spark):
+    """Stopped after its first, second, ... step, and inside the writes; the next purge ends it without losing a kept row."""
+    from slotwise.plans.inputs import shape
+    from slotwise.session import workspace
+    from slotwise.sources import event_log
+
+    now, audit = "2024-01-20T06:00:00Z", shape(spark, "/root/testdata/sf0.001", "audit").where("created_at >= timestamp_ntz'2024-01-16'")
+
+    class Died(Exception):
+        pass
+
+    def ids(df):
+        return sorted(r[0] for r in df.select("evaluation_id").collect())
+
+    want, seen = ids(mon.kept_audit(audit, now, 48)), set()
+    for stop in range(12):
+        path, steps = workspace(spark, "audit"), []
+        event_log.append_audit(audit.coalesce(1), path)
+
+        def die(step):
+            steps.append(step)
+            if len(steps) == stop + 1:
+                if step == "marker set":  # and in the middle of the day's replacement
+                    import glob
+                    import os
+
+                    for f in glob.glob(f"{path}/day=2024-01-18/*.parquet"):
+                        os.truncate(f, 0)
+                raise Died
+
+        try:
+            event_log.purge_audit(spark, path, now, 48, die)
+            break
+        except Died:
+            seen.add(steps[-1])
+        later = "2024-01-20T07:00:00Z" if stop % 2 else now
+        event_log.purge_audit(spark, path, later, 48)
+        assert ids(event_log.read_audit(spark, path)) == (want if later == now else ids(mon.kept_audit(audit, later, 48)))
+        assert not spark._jvm.java.io.File(f"{path}-purged-2024-01-18").exists()
+    assert seen == {"copy written", "marker set", "day replaced", "marker gone", "copy gone", "day dropped"} and stop >= 7
