@@ -921,3 +921,12 @@ WHEN 'not_triggered' THEN 'condition not met' WHEN 'dry_run' THEN 'triggered in
 WHEN 'cooldown' THEN 'triggered but still in cooldown' WHEN 'deduped' THEN 'triggered but dedupe window suppressed duplicate alert'
 WHEN 'sent' THEN 'triggered and webhook sent' WHEN 'failed' THEN 'triggered but webhook delivery failed after retries'
 ELSE 'triggered and handed to delivery' END AS reason FROM (SELECT * FROM settled0 UNION ALL SELECT * FROM settled1 UNION ALL SELECT * FROM settled2)"""
+
+_O["events_per_window"] = _with("chain_events") + """SELECT program_id, us // 21600000000 * 21600000000 AS window_start_us,
+us // 21600000000 * 21600000000 + 21600000000 AS window_end_us, count(*) AS events, count(*) FILTER (event_type = 'transaction') AS transactions
+FROM (SELECT *, epoch_us(timestamp) AS us FROM chain_events) GROUP BY 1, 2, 3"""
+_O["events_per_session"] = _with("chain_events") + """, gaps AS (SELECT program_id, event_type, epoch_us(timestamp) AS us,
+epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY program_id ORDER BY timestamp) AS gap FROM chain_events),
+runs AS (SELECT *, sum(CASE WHEN gap <= 5400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY program_id ORDER BY us) AS run FROM gaps)
+SELECT program_id, min(us) AS window_start_us, max(us) + 5400000000 AS window_end_us, count(*) AS events,
+count(*) FILTER (event_type = 'transaction') AS transactions FROM runs GROUP BY program_id, run"""

@@ -14,6 +14,7 @@ from ..operators import ordered_rules
 from ..session import workspace
 from ..sources import event_log
 from ..streaming import ingest
+from ..streaming import windows
 from ..streaming.keyed import streamed
 from . import catalog, inputs
 from .catalog import DAY_US, NOW, STATIC_URL, query, us
@@ -160,6 +161,22 @@ def stream_alert_suppress(spark, sf):
     return _decided(spark, sf, suppressed, "alerts").select("evaluation_id", "delivery_state", "last_sent_us")
 
 
+@query("events_per_window")
+def events_per_window(spark, sf):
+    def counted(stream, rule):
+        return windows.events_per_window(stream.selectExpr(*inputs.CHAIN_EVENTS), "6 hours", delay_ms=DELAY_MS)
+
+    return _decided(spark, sf, counted, "windows").select("program_id", us("window_start"), us("window_end"), "events", "transactions")
+
+
+@query("events_per_session")
+def events_per_session(spark, sf):
+    def counted(stream, rule):
+        return windows.events_per_session(stream.selectExpr(*inputs.CHAIN_EVENTS), "90 minutes", delay_ms=DELAY_MS)
+
+    return _decided(spark, sf, counted, "sessions").select("program_id", us("window_start"), us("window_end"), "events", "transactions")
+
+
 @query("dlq_replay_job")
 def dlq_replay_job(spark, sf):
     path = workspace(spark, "letters")
