@@ -19,6 +19,7 @@ from ..operators import (
     normalize as norm,
     ordered_rules,
     registry as reg,
+    rollups,
     service_levels as sl,
 )
 from ..schemas import AUDIT, EVENT_LOG
@@ -433,6 +434,27 @@ def conditional_distinct_bound(spark, sf):
     return exact.join(conditional_distinct_approx(spark, sf), "program_id").select("program_id", close.alias("within"))
 
 
+@query("window_rollup")
+def window_rollup(spark, sf):
+    """Four windows of every program from an hourly rollup written once; whether distinct signers lie within
+    three standard errors of the exact count over the events."""
+    path, events = workspace(spark, "rollup"), _events(spark, sf)
+    made = rollups.hourly_rollup(events)
+    made.write.parquet(path)
+    rollup = spark.read.schema(made.schema).parquet(path)
+    end, hours = history.utc_bound(NOW), F.explode(F.array(*[F.lit(h) for h in (1, 24, 168, 672)])).alias("hours")
+    windows = rollup.select("program_id").distinct().select("program_id", hours)
+    windows = windows.withColumns({"window_start": end - F.make_dt_interval(hours=F.col("hours")), "window_end": end})
+    found = rollups.windows_from_rollup(rollup, windows)
+    # The longest window's events, a row for each signer's newest one, tell the exact counts.
+    newest = events.where((F.col("timestamp") >= end - F.expr("INTERVAL 672 HOUR")) & (F.col("timestamp") < end)).groupBy(
+        "program_id", F.coalesce("signature", F.lit("")).alias("signer")
+    ).agg(F.max("timestamp").alias("at"))
+    exact = windows.join(newest, "program_id").where(F.col("at") >= F.col("window_start")).groupBy("program_id", "hours").agg(F.count("*").alias("exact"))
+    close = F.abs(F.col("signers") - F.coalesce("exact", F.lit(0))) <= 3 * 0.016 * F.coalesce("exact", F.lit(0))
+    return found.join(exact, ["program_id", "hours"], "left").select("program_id", "hours", "events", "transactions", close.alias("within"))
+
+
 @query("launch_backtest")
 def launch_backtest(spark, sf):
     return _backtest(spark, sf).select(

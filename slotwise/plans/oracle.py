@@ -930,3 +930,9 @@ epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY program_id ORD
 runs AS (SELECT *, sum(CASE WHEN gap <= 5400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY program_id ORDER BY us) AS run FROM gaps)
 SELECT program_id, min(us) AS window_start_us, max(us) + 5400000000 AS window_end_us, count(*) AS events,
 count(*) FILTER (event_type = 'transaction') AS transactions FROM runs GROUP BY program_id, run"""
+
+_O["window_rollup"] = _with("chain_events") + f""", programs AS (SELECT DISTINCT program_id FROM chain_events),
+w AS (SELECT program_id, hours FROM programs, (VALUES (1), (24), (168), (672)) h(hours))
+SELECT w.program_id, hours, count(event_id) AS events, count(*) FILTER (event_type = 'transaction') AS transactions, true AS within
+FROM w LEFT JOIN chain_events e ON e.program_id = w.program_id AND epoch_us(timestamp) < {_NOW_US}
+AND epoch_us(timestamp) >= {_NOW_US} - hours * 3600000000::BIGINT GROUP BY 1, 2"""

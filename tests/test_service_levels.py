@@ -71,3 +71,24 @@ def test_increase_at_irregular_samples(spark):
         made = sl.counter_increase(samples, ["series"], "c", 3600, bucket * sl.SECOND)
         assert {x["sample_id"]: x["increase"] for x in made.collect()} == want
     assert "ts" in made.columns and "RangeFrame, -" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollup_answers_many_windows(spark):
+    """Counts of whole hours are exact, distinct signers within the sketch's error; one rollup for all windows."""
+    from slotwise.operators import rollups
+
+    log = spark.range(60_000).selectExpr(
+        "concat('P', id % 2) program_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, (id * 7919) % 86400) AS timestamp",
+        "CASE WHEN id % 3 = 0 THEN 'transaction' ELSE 'account' END event_type", "CASE WHEN id % 11 > 0 THEN cast(id % 9000 AS string) END signature",
+    )
+    hour = "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast({} AS int))"
+    windows = spark.range(40).selectExpr("id", "concat('P', id % 3) program_id", f"{hour.format('id % 20')} window_start", f"{hour.format('id % 20 + id % 7')} window_end")
+    got = {r["id"]: r for r in rollups.windows_from_rollup(rollups.hourly_rollup(log), windows).collect()}
+    rows = [(r.program_id, r.timestamp, r.event_type, r.signature or "") for r in log.collect()]
+    assert len(got) == 40
+    for w in windows.collect():
+        held = [r for r in rows if r[0] == w.program_id and w.window_start <= r[1] < w.window_end]
+        r = got[w["id"]]
+        assert (r["events"], r["transactions"]) == (len(held), sum(x[2] == "transaction" for x in held))
+        exact = len({x[3] for x in held})
+        assert abs(r["signers"] - exact) <= 0.05 * exact
