@@ -104,8 +104,90 @@ def _counts_before(points: DataFrame, probes: DataFrame, sums: list[str], width:
     return fine.join(base, ["program_id", "bucket"]).select(*_AT, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
 
 
+def launch_events(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events inside a window of a launch of their program.
+
+    The outermost window bounds become literals, so the scan prunes by time.
+    Launches are listed under every time bucket their windows touch and events
+    meet them on (program, bucket), so few candidates fail the exact bounds and a
+    hot program spreads over its buckets. The list is broadcast when its counted
+    size allows it.
+    """
+    slim = windows.select("launch_idx", "program_id", "baseline_start", "launch_ts", "evaluation_end")
+    bounds = slim.agg(
+        F.min("baseline_start").alias("low"),
+        F.max("evaluation_end").alias("high"),
+        F.max(micros(F.col("evaluation_end")) - micros(F.col("baseline_start"))).alias("span"),
+    ).first()
+    if bounds["low"] is None:
+        events = events.where(F.lit(False))
+    else:
+        low, high = (F.lit(str(bounds[c])).cast("timestamp_ntz") for c in ("low", "high"))
+        events = events.where((F.col("timestamp") >= low) & (F.col("timestamp") < high))
+    width = max((bounds["span"] or 0) // 8, 3_600_000_000)
+    first = F.floor(micros(F.col("baseline_start")) / width)
+    last = F.floor((micros(F.col("evaluation_end")) - 1) / width)
+    listed = slim.withColumn("bucket", F.explode(F.sequence(first, last)))
+    signer = F.coalesce("signature", F.lit("")).alias("signature")
+    facts = events.select(
+        "program_id", "timestamp", "event_type", signer, F.floor(micros(F.col("timestamp")) / width).alias("bucket")
+    )
+    inside = (F.col("timestamp") >= F.col("baseline_start")) & (F.col("timestamp") < F.col("evaluation_end"))
+    return facts.join(dimension(listed, limit), ["program_id", "bucket"]).where(inside)
+
+
+def paired_metrics(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """:func:`window_metrics` by joining events with the launches whose windows hold them.
+
+    Rows are reduced per (launch, signer) before the launch total, so a busy
+    launch is summed from partial counts and distinct signers need no expand.
+    """
+    before = F.col("timestamp") < F.col("launch_ts")
+    sent = F.col("event_type") == "transaction"
+    per_signer = (
+        launch_events(events, windows, limit)
+        .groupBy("launch_idx", "signature")
+        .agg(
+            F.count_if(before).alias("b"),
+            F.count_if(before & sent).alias("bt"),
+            F.count_if(~before).alias("e"),
+            F.count_if(~before & sent).alias("et"),
+        )
+    )
+    totals = per_signer.groupBy("launch_idx").agg(
+        F.sum("b").alias("baseline_events"),
+        F.count_if(F.col("b") > 0).alias("baseline_unique_signatures"),
+        F.sum("bt").alias("baseline_transactions"),
+        F.sum("e").alias("evaluation_events"),
+        F.count_if(F.col("e") > 0).alias("evaluation_unique_signatures"),
+        F.sum("et").alias("evaluation_transactions"),
+    )
+    return windows.join(totals, "launch_idx", "left").fillna(0, subset=list(COUNTS))
+
+
+#: Launches of a program whose windows may hold one event for events to be joined with launches.
+FEW = 3
+
+
 def window_metrics(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Six counts per launch, zeros where nothing happened, without pairing events with launches.
+    """Six counts per launch, zeros where nothing happened.
+
+    Where no event lies in the windows of more than FEW launches, counted on the launches alone, events are
+    joined with launches, which gives at most FEW rows an event. Elsewhere no event meets a
+    launch (:func:`swept_metrics`). Both give the same rows.
+    """
+    edges = F.array(
+        F.struct(F.col("baseline_start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("evaluation_end").alias("at"), F.lit(-1).alias("step"))
+    )
+    moves = windows.select("program_id", F.explode(edges).alias("e")).select("program_id", "e.*")
+    # Windows that end come before those that begin: both bounds are half open.
+    open_now = F.sum("step").over(W.partitionBy("program_id").orderBy("at", "step").rowsBetween(W.unboundedPreceding, 0))
+    most = moves.select(open_now.alias("n")).agg(F.max("n")).first()[0] or 0
+    return (paired_metrics if most <= FEW else swept_metrics)(events, windows, limit)
+
+
+def swept_metrics(events: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """:func:`window_metrics` without pairing events with launches.
 
     Plain counts in [a, b) are differences of counts before b and before a. A signer counts in [a, a + L) at
     its first event there: the one with ``before < a <= t < a + L``. So an event at t stands for the

@@ -59,8 +59,9 @@ def test_bucketed_join_equals_broadcast(spark):
     log = shape(spark, SF, "chain_events")
     asked = history.valid_launches(shape(spark, SF, "launch_requests")).where("reject_reason IS NULL")
     windows = bt.launch_windows(asked, bt.Settings.of())
-    a, b = bt.window_metrics(log, windows), bt.window_metrics(log, windows, limit=0)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a = bt.window_metrics(log, windows)
+    for b in (bt.swept_metrics(log, windows, limit=0), bt.paired_metrics(log, windows, limit=0)):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_scoring_needs_history(spark):
@@ -84,7 +85,7 @@ def test_counts_equal_pairs(spark):
     windows = spark.createDataFrame(asked, "launch_idx long, program_id string, s long, b long, e long").selectExpr(
         "launch_idx", "program_id", f"{at} AS launch_ts", f"{at} - make_dt_interval(0, 0, 0, b) AS baseline_start", f"{at} + make_dt_interval(0, 0, 0, e) AS evaluation_end"
     )
-    got = bt.window_metrics(log, windows)
+    got = bt.swept_metrics(log, windows)
     log.createOrReplaceTempView("_log")
     windows.createOrReplaceTempView("_windows")
     counts = ", ".join(
@@ -100,7 +101,7 @@ def test_no_join_pairs_events_with_launches(spark):
     """Every join's rows are bounded by events plus launches, read from the executed plan."""
     log = shape(spark, SF, "chain_events")
     asked = history.valid_launches(shape(spark, SF, "launch_requests")).where("reject_reason IS NULL")
-    made = bt.window_metrics(log, bt.launch_windows(asked, bt.Settings.of()), limit=0)
+    made = bt.swept_metrics(log, bt.launch_windows(asked, bt.Settings.of()), limit=0)
     made.collect()
     bound = log.count() + 3 * asked.count()
     plans, sizes = [made._jdf.queryExecution().executedPlan()], []
