@@ -5,7 +5,10 @@ last accepted row is at least ``quiet_us`` old and either its mark differs or it
 is at least ``repeat_us`` old. Rate windows, alert cool-down, alert
 de-duplication and nonce replay are all this one rule.
 
-One key may own a large share of all rows, so its rows are not handed to one
+Keys with few rows are dealt by their hash to buckets of a bounded number of rows, and a bucket's
+keys are marked in one call: the number of keys costs no calls.
+
+One key may own a large share of all rows, so the rows of a key with many are not handed to one
 task. Time is cut into chunks of whole quiet periods holding a bounded number
 of rows. What a chunk does to any incoming state is fixed by the few rows at its
 start, so each chunk is reduced to a small entry table; tables are combined in
@@ -34,6 +37,8 @@ from ..session import workspace
 
 FAN_IN = 64
 CHUNK_ROWS = 1_000_000
+#: Keys of up to this part of a chunk's rows go to buckets, which hold this part of a chunk's rows on average.
+KEY_PART, BUCKET_PART = 4, 16
 MAX_PERIODS = 4096
 
 _TABLE = (
@@ -233,6 +238,45 @@ def _decide(at, mark, quiet: int, repeat: int, state: tuple | None):
     return accepted, anchor_at, position
 
 
+def _decide_keys(key, at, mark, quiet, repeat, states: dict):
+    """The same for rows of many keys, sorted by key, time and tie: the plain loop.
+
+    ``states`` has (at, mark, n) by key; keys without one start afresh. The state each key is left in replaces it.
+    """
+    accepted, anchor, position = [], [], []
+    now, state, q, r = None, None, 0, 0
+    for k, t, m, own_quiet, own_repeat in zip(key, at, mark, quiet, repeat):
+        if not accepted or k != now:
+            if accepted:
+                states[now] = state
+            now, state, q, r = k, states.get(k), max(own_quiet, 0), own_repeat
+        age = t - state[0] if state else 0
+        fresh = state is None or (age >= q and (age >= r or m != state[1] or m == ""))
+        state = (t, m, 1) if fresh else (state[0], state[1], state[2] + 1)
+        accepted.append(fresh)
+        anchor.append(state[0])
+        position.append(state[2])
+    if accepted:
+        states[now] = state
+    return accepted, anchor, position
+
+
+def _mark_keys(table: pa.Table) -> pa.Table:
+    """Whole keys of a bucket marked at once; rows without a time are each accepted, with no time to measure from."""
+    key = pd.factorize(table["k"].to_numpy(zero_copy_only=False), use_na_sentinel=False)[0]
+    order = np.lexsort((table["tie"].to_numpy(), table["at"].to_numpy(), key))
+    timed = table["at"].is_valid().to_numpy()[order]
+    table, key = table.take(pa.array(order)), key[order]
+    rows = table.filter(pa.array(timed))
+    made = _decide_keys(key[timed].tolist(), *(rows[c].to_pylist() for c in ("at", "mark", "quiet", "repeat")), {})
+    columns = []
+    for values, without in zip(made, (True, None, 1)):
+        column = np.full(len(timed), without, object)
+        column[timed] = values
+        columns.append(pa.array(column, pa.bool_() if without is True else pa.int64()))
+    return pa.table([table["row"].cast(_nullable(table["row"].type)), *columns], names=["row", "accepted", "anchor_at", "position"])
+
+
 def _nullable(kind: pa.DataType) -> pa.DataType:
     """The type with every nested field nullable, as the declared schema has it."""
     if pa.types.is_struct(kind):
@@ -376,28 +420,12 @@ def rule_rows(
     )
 
 
-def apply_quiet_rule(
-    rows: DataFrame,
-    key: Column,
-    at_us: Column,
-    tie: Column,
-    quiet_us: Column,
-    repeat_us: Column | None = None,
-    mark: Column | None = None,
-    chunk_rows: int = CHUNK_ROWS,
-    fan_in: int = FAN_IN,
-    periods: int | None = None,
-) -> DataFrame:
-    """Add ``accepted``, ``anchor_at`` and ``position`` to every row.
+def _in_buckets(base: DataFrame, buckets: int, marked: str) -> DataFrame:
+    bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("bucket")
+    return base.groupBy(bucket).applyInArrow(_mark_keys, marked)
 
-    ``anchor_at`` is the time of the last accepted row up to and including this
-    one, ``position`` counts the rows since it (the accepted row is 1). Rows
-    that share a time are ordered by ``tie``. ``quiet_us`` and ``repeat_us``
-    must be constant within a key.
-    """
-    base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
-    marked = f"row {base.schema['row'].dataType.simpleString()}, accepted boolean, anchor_at long, position long"
-    out = F.col("row.*"), F.col("accepted"), F.col("anchor_at"), F.col("position")
+
+def _in_chunks(base: DataFrame, marked: str, chunk_rows: int, fan_in: int, periods: int | None) -> DataFrame:
     # A rule without any period accepts every row; an hour keeps its chunks sane.
     span = F.greatest("quiet", "repeat")
     period = F.when(span > 0, span).otherwise(F.lit(3_600_000_000))
@@ -409,17 +437,15 @@ def apply_quiet_rule(
         hot = loads.where(F.col("count") > chunk_rows).select(F.col("k").alias("_hot")).distinct()
         meets = F.col("k").eqNullSafe(F.col("_hot"))
         zoned, carry = _zones(base.join(hot, meets, "left_semi"), chunk_rows)
-        there = zoned.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked).select(*out)
-        rest = base.join(hot, meets, "left_anti").select("row.*")
-        here = apply_quiet_rule(rest, key, at_us, tie, quiet_us, repeat_us, mark, chunk_rows, fan_in)
-        return there.unionByName(here)
+        there = zoned.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked)
+        return there.unionByName(_in_chunks(base.join(hot, meets, "left_anti"), marked, chunk_rows, fan_in, None))
     if periods is None:
         periods = int(min(max(chunk_rows // peak, 1), MAX_PERIODS))
 
     width = period * F.lit(periods)
     chunked = base.withColumn("chunk", F.floor(F.col("at") / width)).withColumn("start", F.col("chunk") * width)
     if low // periods == high // periods:
-        return chunked.groupBy("k", "chunk").applyInArrow(_mark_alone, marked).select(*out)
+        return chunked.groupBy("k", "chunk").applyInArrow(_mark_alone, marked)
 
     slim = chunked.drop("row")
     levels = [slim.groupBy("k", "chunk").applyInPandas(lambda pdf: _chunk_table(pdf), _TABLE)]
@@ -435,9 +461,45 @@ def apply_quiet_rule(
         carry = (
             below.groupBy("k", "parent").cogroup(above.groupBy("k", "parent")).applyInPandas(_down_walk, _CARRY)
         )
-    return (
-        chunked.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked)
-    ).select(*out)
+    return chunked.groupBy("k", "chunk").cogroup(carry.groupBy("k", "chunk")).applyInArrow(_mark_with_carry, marked)
+
+
+def apply_quiet_rule(
+    rows: DataFrame,
+    key: Column,
+    at_us: Column,
+    tie: Column,
+    quiet_us: Column,
+    repeat_us: Column | None = None,
+    mark: Column | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    fan_in: int = FAN_IN,
+    periods: int | None = None,
+) -> DataFrame:
+    """Add ``accepted``, ``anchor_at`` and ``position`` to every row.
+
+    ``anchor_at`` is the time of the last accepted row up to and including this
+    one, ``position`` counts the rows since it (the accepted row is 1). Rows
+    that share a time are ordered by ``tie``. ``quiet_us`` and ``repeat_us``
+    must be constant within a key.
+    """
+    base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
+    marked = f"row {base.schema['row'].dataType.simpleString()}, accepted boolean, anchor_at long, position long"
+    out = F.col("row.*"), F.col("accepted"), F.col("anchor_at"), F.col("position")
+    if periods is not None:
+        return _in_chunks(base, marked, chunk_rows, fan_in, periods).select(*out)
+    held = base.groupBy("k").count()
+    load = held.agg(F.sum("count").alias("rows"), F.max("count").alias("peak")).first()
+    few = max(chunk_rows // KEY_PART, 1)
+    buckets = (load["rows"] or 0) // max(chunk_rows // BUCKET_PART, 1) + 1
+    if (load["peak"] or 0) <= few:
+        return _in_buckets(base, buckets, marked).select(*out)
+    # A row a key, and each such key has over ``few`` rows.
+    many = held.where(F.col("count") > few).select(F.col("k").alias("_many"))
+    meets = F.col("k").eqNullSafe(F.col("_many"))
+    here = _in_buckets(base.join(many, meets, "left_anti"), buckets, marked)
+    there = _in_chunks(base.join(many, meets, "left_semi"), marked, chunk_rows, fan_in, None)
+    return there.unionByName(here).select(*out)
 
 
 def rate_limit(

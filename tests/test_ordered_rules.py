@@ -93,3 +93,19 @@ def test_nonce_lives_through_its_last_instant(spark):
     got = rules.new_nonces(df.withColumn("us", F.col("at") * 1_000_000), "nonce", "us", "id", 600_000_000)
     # Entry 0 ends at 600 and still blocks then; 601 is past it.
     assert {r["id"]: r["fresh"] for r in got.collect()} == {0: True, 1: False, 2: True, 3: True}
+
+
+def test_keys_with_few_rows_share_calls(spark):
+    """Thousands of keys, one of them null, beside one with many rows; rows without a time are accepted each."""
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randrange(2000)}", i, rnd.randrange(400), 50, 120, rnd.choice(["", "a", "b"])) for i in range(5000)]
+    rows += [("many", 5000 + i, i // 2, 20, 90, rnd.choice(["", "a"])) for i in range(400)] + [("", 6000 + i, i * 7, 20, 0, "a") for i in range(40)]
+    df = spark.createDataFrame(rows + [("k1", 7000, None, 50, 120, "a"), ("k1", 7001, None, 50, 120, "a")], "k string, id long, at long, quiet long, again long, mark string")
+    args = F.when(F.col("k") != "", F.col("k")), F.col("at"), F.col("id"), F.col("quiet"), F.col("again"), F.col("mark")
+    small = rules.apply_quiet_rule(df, *args)
+    assert "FlatMapGroupsInArrow [bucket" in small._jdf.queryExecution().executedPlan().toString()
+    want = loop(rows) | {7000: (True, None, 1), 7001: (True, None, 1)}
+    assert {r["id"]: (r["accepted"], r["anchor_at"], r["position"]) for r in small.collect()} == want
+    # The key with many rows goes by chunks, the others by buckets.
+    both = rules.apply_quiet_rule(df.where("at IS NOT NULL"), *args, chunk_rows=1200)
+    assert {r["id"]: (r["accepted"], r["anchor_at"], r["position"]) for r in both.collect()} == loop(rows)
