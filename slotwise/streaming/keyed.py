@@ -1,94 +1,117 @@
 """The ordered rule of :mod:`slotwise.operators.ordered_rules` on a stream, in Spark's keyed state.
 
-Rows may arrive out of order by up to the watermark's delay. A key holds its rows that the watermark has
-not passed, and its last accepted row (time, mark, rows since). An event-time timer at the earliest
-waiting row decides all rows the watermark has passed, in order of time, with the batch rule's own
-step; decisions leave with the micro-batch that the watermark passed them in. When no row waits, a timer
-at the end of the last accepted row's quiet and repeat spans drops the key: by event time, not by the
+Rows may arrive out of order by up to the watermark's delay. Keys are dealt by their hash to ``BUCKETS``
+buckets, so calls and state reads grow with buckets and not with keys. A bucket holds its keys' rows that the
+watermark has not passed, and each key's last accepted row (time, mark, rows since). An event-time timer at
+the earliest waiting row decides all rows the watermark has passed, in order of time, with the batch
+rule's own loop; decisions leave with the micro-batch that the watermark passed them in. A key without
+waiting rows is dropped at the end of its last accepted row's quiet and repeat spans: by event time, not by the
 clock of the job. A retried micro-batch starts from the state store's version before it.
 
 A row older than the watermark, or without a time, is late: it comes out at once with null decisions and
 changes none. (Spark itself would drop such rows; the watermark's column is left out of what the
 operator reads, so that they reach it.)
 
-A key's waiting rows are in one task's memory, as keyed state is: the delay bounds them. The state store is
-RocksDB, so the number of keys is bounded by disk.
+A bucket's waiting rows and live keys are in one task's memory, as keyed state is: the delay and the spans bound
+them. The number of buckets stays the same for a checkpoint's life. The state store is RocksDB, so the state
+of all buckets is bounded by disk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.ordered_rules import _decide, rule_rows
+from ..operators.ordered_rules import _decide_keys, rule_rows
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The time of a row without one; before any watermark.
 NO_TIME = -(1 << 62)
-_WAITING = "at long, tie long, quiet long, repeat long, mark string, payload string"
-_LAST = "at long, mark string, n long, span long"
+#: Buckets of keys; a checkpoint keeps the number it began with.
+BUCKETS = 1024
+#: Waiting rows of a bucket as they came, and its keys' last accepted rows: Arrow streams.
+_STATE = "rows binary"
+_WAITING = pa.schema([("k", pa.string()), ("at", pa.int64()), ("tie", pa.int64()), ("quiet", pa.int64()), ("repeat", pa.int64()), ("mark", pa.string()), ("payload", pa.string())])
+_LAST = pa.schema([("k", pa.string()), ("at", pa.int64()), ("mark", pa.string()), ("n", pa.int64()), ("span", pa.int64())])
 _OUT = "payload string, accepted boolean, anchor_at long, position long"
 
 
+def _stored(rows: list[tuple], schema: pa.Schema) -> bytes:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_arrays(columns, schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def _held(stored: bytes) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(bytes(stored)).read_all().columns)))
+
+
 class QuietRule(StatefulProcessor):
-    """Rows (at, tie, quiet, repeat, mark, payload) of a key; gives payloads with their decisions."""
+    """Rows (k, at, tie, quiet, repeat, mark, payload) of a bucket of keys; gives payloads with their decisions."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.last = handle.getValueState("last", _LAST)
+        self.waiting = handle.getListState("waiting", _STATE)
+        self.last = handle.getValueState("last", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        earliest = None
+        came = []
         for part in rows:
             late = (part["at"] == NO_TIME) | (part["at"] < passed if passed > 0 else False)
             if late.any():
                 yield pd.DataFrame({"payload": part["payload"][late], "accepted": None, "anchor_at": None, "position": None})
             part = part[~late]
-            if len(part):
-                columns = [part[c].tolist() for c in ("at", "tie", "quiet", "repeat", "mark", "payload")]
-                self.waiting.appendList(list(zip(*columns)))
-                first = int(part["at"].min())
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake(earliest)
+            k = [None if pd.isna(v) else v for v in part["k"]]
+            came += zip(k, *(part[c].tolist() for c in _WAITING.names[1:]))
+        if came:
+            self.waiting.appendValue((_stored(came, _WAITING),))
+            wake = min(r[1] for r in came) // 1000 + 1
+            # One timer a bucket.
+            for timer in list(self.handle.listTimers()):
+                at = timer[0] if isinstance(timer, tuple) else timer
+                if at <= wake:
+                    return
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(wake)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in held if r[0] < passed]
-        state = tuple(self.last.get()) if self.last.exists() else None
+        held = [r for part in self.waiting.get() for r in _held(part[0])]
+        due = [r for r in held if r[1] < passed]
+        states = {r[0]: r[1:] for r in _held(self.last.get()[0])} if self.last.exists() else {}
         if due:
-            at, tie, quiet, repeat, mark, payload = zip(*due)
-            at, mark = np.array(at, np.int64), np.array(mark, object)
-            accepted, anchor, position = _decide(at, mark, quiet[0], repeat[0], state[:3] if state else None)
-            own = np.flatnonzero(accepted)
-            state = (int(anchor[-1]), mark[own[-1]] if len(own) else state[1], int(position[-1]), max(quiet[0], repeat[0]))
-            self.last.update(state)
+            due.sort(key=lambda r: (r[0] is not None, r[0] or "", *r[1:]))
+            k, at, _, quiet, repeat, mark, payload = zip(*due)
+            left = {key: state[:3] for key, state in states.items()}
+            accepted, anchor, position = _decide_keys(k, at, mark, quiet, repeat, left)
+            spans = {r[0]: max(r[3], r[4]) for r in due}
+            states |= {key: (*left[key], span) for key, span in spans.items()}
             yield pd.DataFrame({"payload": payload, "accepted": accepted, "anchor_at": anchor, "position": position})
-        rest = held[len(due):]
-        if rest:
-            if due:
-                self.waiting.put(rest)
-            self._wake(rest[0][0])
-            return
-        self.waiting.clear()
-        if state:
-            if state[0] + state[3] < passed:
-                self.last.clear()
+        rest = [r for r in held if r[1] >= passed]
+        waits = {r[0] for r in rest}
+        live = [(k, *state) for k, state in states.items() if k in waits or state[0] + state[3] >= passed]
+        if due:
+            if rest:
+                self.waiting.put([(_stored(rest, _WAITING),)])
             else:
-                self._wake(state[0] + state[3])
-
-    def _wake(self, at: int) -> None:
-        """A timer for when the watermark has passed an instant."""
-        self.handle.registerTimer(at // 1000 + 1)
+                self.waiting.clear()
+        if live:
+            if due or len(live) < len(states):
+                self.last.update((_stored(live, _LAST),))
+        elif states:
+            self.last.clear()
+        ends = [r[1] + r[4] for r in live if r[0] not in waits]
+        if rest or ends:
+            self.handle.registerTimer(min([*ends, *(r[1] for r in rest)]) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -110,11 +133,11 @@ def quiet_stream(
     base = rule_rows(rows, key, at_us, tie, quiet_us, repeat_us, mark)
     fields = base.schema["row"].dataType.fields
     kept = base.select(
-        "k", F.coalesce("at", F.lit(NO_TIME)).alias("at"), F.coalesce("tie", F.lit(0)).alias("tie"), "quiet", "repeat", "mark",
+        F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).alias("bucket"), "k", F.coalesce("at", F.lit(NO_TIME)).alias("at"), F.coalesce("tie", F.lit(0)).alias("tie"), "quiet", "repeat", "mark",
         _packed(fields, "row").alias("payload"), F.timestamp_micros("at").alias("_time"),
     ).withWatermark("_time", f"{int(delay_ms)} milliseconds").drop("_time")
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    made = kept.groupBy("k").transformWithStateInPandas(QuietRule(), _OUT, "Append", "EventTime")
+    made = kept.groupBy("bucket").transformWithStateInPandas(QuietRule(), _OUT, "Append", "EventTime")
     texts = F.from_json("payload", T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))]))
     made = made.select(texts.alias("_row"), "accepted", "anchor_at", "position")
     return made.select(

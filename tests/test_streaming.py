@@ -102,6 +102,17 @@ def test_odd_columns_and_repeats_pass_through_the_state(spark):
     assert key(got) == key(want)
 
 
+def test_many_keys_share_a_bucket_of_state(spark, monkeypatch):
+    """All keys in two buckets: decisions and what is dropped stay each key's own."""
+    monkeypatch.setattr(keyed, "BUCKETS", 2)
+    rows = table(spark, SF, "events").select("event_id", "user_id", "ts").where("ts < timestamp_ntz'2024-01-31'")
+    rows = rows.withColumn("user_id", F.when(F.col("event_id") % 9 != 0, F.col("user_id")))
+    got, seen = _deliver(spark, rows, HOURS[:1] + [f"NOT ({HOURS[0]})"], _limited, 3_600_000)
+    want = _limited(rows)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert all(n <= 2 * 5 for _, n in seen)
+
+
 def _job(spark, out, load):
     return ingest.Ingest(load, lambda: shape(spark, SF, "routes"), out, "https://s/x")
 
