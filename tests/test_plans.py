@@ -4,7 +4,8 @@ import pytest
 
 import __spark_entry__ as driver
 from slotwise.operators import history
-from slotwise.plans.inputs import shape
+from slotwise.operators import monitors as mon
+from slotwise.plans.inputs import NOW, shape
 
 SF = "/root/testdata/sf0.001"
 LIGHT = [
@@ -33,3 +34,9 @@ def test_time_bounds_reach_the_scan(spark):
 def test_launch_bounds_reach_the_scan(spark):
     text = plan(driver.queries()["launch_backtest"](spark, SF))
     assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text and "BroadcastHashJoin" in text
+
+
+def test_monitors_are_checked_once(spark):
+    """Values read the checked monitors that were written, not the requests and their checks again."""
+    made = mon.monitor_values(shape(spark, SF, "chain_events"), mon.accepted_monitors(shape(spark, SF, "monitor_requests")), NOW)
+    assert not any("customer" in f for f in made.inputFiles()) and made.count() > 0
