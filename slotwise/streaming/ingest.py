@@ -23,6 +23,8 @@ from ..sources.event_log import by_day
 from ..sources.json_rows import dead_letter_rows, read_dead_letters
 
 _LOG = logging.getLogger(__name__)
+#: The sinks hold an event's JSON several times over; they compress to well under the default codec's size.
+CODEC = "zstd"
 
 UPDATE = T.StructType(
     [T.StructField("transaction", RAW_TRANSACTION), T.StructField("account", RAW_ACCOUNT)]
@@ -102,7 +104,7 @@ class Ingest:
         path = f"{self.out}/kept/{name}-{batch_id}-{uuid.uuid4().hex[:8]}"
         try:
             table = load()
-            table.write.parquet(path)
+            table.write.parquet(path, compression=CODEC)
             self._kept[name] = table.sparkSession.read.schema(table.schema).parquet(path)
         except PySparkException as failure:
             if name not in self._kept:
@@ -112,7 +114,7 @@ class Ingest:
 
     def _save(self, df: DataFrame, sink: str, batch_id: int) -> DataFrame:
         path = f"{self.out}/{sink}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=CODEC)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def __call__(self, updates: DataFrame, batch_id: int) -> None:
@@ -120,7 +122,7 @@ class Ingest:
         # Written once; every sink reads the written rows, not the join again.
         events = self._save(normalize_updates(updates, registry), "normalized", batch_id)
         by_day(normalize.event_log_rows(events)).write.mode("overwrite").partitionBy("event_date").parquet(
-            f"{self.out}/event_log/batch_id={batch_id}"
+            f"{self.out}/event_log/batch_id={batch_id}", compression=CODEC
         )
         key, value = normalize.record_parts(events.columns)
         outcome = self._save(self.publish(events.withColumn("key", key).withColumn("value", value)), "publish_outcome", batch_id)
