@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cells, folder, in_pieces, partitions, query, raw_texts, stored, table, texts
-from .tokens import END, tokenizer_path, word_ids
+from .common import cells, folder, in_pieces, partitions, query, stored, table, texts
+from .tokens import END, SPACE, WordIds, tokenizer_path, word_ids
 
 SCALE, LANES, BLOCK, CHECKPOINT = 18, 512, 1 << 18, 1 << 17
 LOW = np.uint64(1 << 31)
+#: Bytes of texts encoded at once.
+SLICE = 4 << 20
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -120,22 +122,57 @@ BLOCKS_DDL = (
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 16-bit where the vocabulary allows), ids_crc32."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("order", pa.int64())])
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches):
         encode = word_ids(path)
-        rows = (
-            (doc, len(ids) // 4, np.frombuffer(ids, "<u4").astype(kind).tobytes(), zlib.crc32(ids))
-            for batch in batches
-            for doc, text in zip(cells(batch, "doc_id"), raw_texts(batch))
-            for ids in [encode.text(text) + end]
-        )
-        yield from in_pieces(rows, schema, 512)
+        for batch in batches:
+            docs = batch.column(0)
+            text = batch.column(1).cast(pa.binary())
+            bounds, data = binary_parts(text)
+            first = 0
+            while first < len(text):
+                # Whole texts of up to SLICE bytes; a longer text goes alone.
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1)
+                near = bounds[first:last + 1]
+                ids, n = encoded(encode, data[near[0]:near[-1]], near - near[0], SLICE)
+                ids, n = np.insert(ids, np.cumsum(n), END), n + 1
+                ends = np.concatenate([[0], np.cumsum(n)])
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                order = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                short = ids.astype(kind)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * short.itemsize).astype(np.int32)), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([docs.slice(first, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), packed, pa.array(order, pa.int64())], schema=schema)
+                first = last
 
     kind = "<u2" if vocabulary(path) <= 1 << 16 else "<u4"
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, order long")
 
 
+def encoded(encode: WordIds, data: np.ndarray, bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode.texts``; one text of more than ``most`` bytes in parts cut behind white space."""
+    if len(data) <= most:
+        return encode.texts(data, bounds)
+    found, at = [], 0
+    while at < len(data):
+        stop = min(at + most, len(data))
+        while stop < len(data) and not SPACE[data[at:stop]].any():
+            stop = min(stop + most, len(data))
+        if stop < len(data):
+            stop = at + int(np.flatnonzero(SPACE[data[at:stop]])[-1]) + 1
+        found.append(encode.texts(data[at:stop], np.array([0, stop - at]))[0])
+        at = stop
+    return (ids := np.concatenate(found)), np.array([len(ids)])
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a binary column without nulls begin and end, and the bytes they lie in."""
+    _, bounds, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    bounds = np.frombuffer(bounds, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return bounds, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
 def vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -150,10 +187,10 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in cells(batch, "ids"):
-                total += np.bincount(np.frombuffer(ids, kind), minlength=size) if len(ids) > 4 * size else 0
-                if len(ids) <= 4 * size:
-                    np.add.at(total, np.frombuffer(ids, kind), 1)
+            bounds, data = binary_parts(batch.column(0))
+            ids = data[bounds[0]:bounds[-1]].view(kind)
+            for at in range(0, len(ids), 1 << 20):
+                total += np.bincount(ids[at:at + (1 << 20)], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], schema=schema)
 

@@ -7,6 +7,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 END = 2
 ENCODER = "word_bpe_49k.json"
@@ -14,6 +15,13 @@ CLOSING = string.punctuation
 #: Letters below this code point are composed already and have simple lower-case forms.
 SIMPLE = "\u0250"
 
+# Of bytes: ASCII white space, closing punctuation, a letter's end, and lower case for ASCII.
+SPACE, CLOSES, LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+SPACE[list(b" \t\n\v\f\r")] = CLOSES[list(CLOSING.encode())] = LETTER[list(string.ascii_letters.encode())] = True
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The first byte, in UTF-8, of code points from U+0240 on: SIMPLE and all above it.
+FAR = SIMPLE.encode()[0]
+
 
 def tokenizer_path(name: str = ENCODER) -> str:
     import public_tokenizers
@@ -54,6 +62,9 @@ class WordIds(dict):
             return self.encode(word)
         if len(self) >= self.limit:
             self.clear()
+        if word.isalpha() and word.islower():  # of bytes: ASCII alone
+            self[word] = out = self.merge(word)
+            return out
         s = word.decode()
         if "<|" in s or max(s) >= SIMPLE:
             out = self.encode(word)
@@ -72,6 +83,48 @@ class WordIds(dict):
     def text(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
+    def texts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the UTF-8 texts data[bounds[i]:bounds[i + 1]] in order, and how many each text has.
+
+        The same as ``text``, but a word is looked up once for all texts, in lower case and without its
+        closing punctuation already, by the rules of ``__missing__``.
+        """
+        solid = ~SPACE[data]
+        if not solid.any():
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        opens = solid.copy()
+        opens[1:] &= ~solid[:-1]
+        inner = bounds[:-1][bounds[:-1] < len(data)]
+        opens[inner] = solid[inner]  # texts touch
+        places = np.where(bounds > 0, np.cumsum(solid, dtype=np.int32)[bounds - 1], 0)
+        data, first = data[solid], np.flatnonzero(opens[solid])
+        last = np.append(first[1:], len(data))
+        # Words that are left as they are.
+        odd = data >= FAR
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        whole = last - first > self.longest
+        whole[np.searchsorted(first, np.flatnonzero(odd), "right") - 1] = True
+        # Where the closing punctuation behind a letter begins.
+        core = np.maximum.accumulate(np.where(CLOSES[data], 0, np.arange(1, len(data) + 1, dtype=np.int32)))[last - 1]
+        end = data[core - 1]
+        letter = LETTER[end] | ((data[core - 2] == 0xC3) & (end >= 0x80) & (end != 0x97) & (end != 0xB7))  # not a sign
+        cut = core[(core > first) & (core < last) & letter & ~whole]
+        low = LOWER[data]
+        if whole.any():
+            kept = np.repeat(whole, last - first)
+            low[kept] = data[kept]
+        marks = np.zeros(len(data) + 1, bool)
+        marks[first] = marks[cut] = marks[-1] = True
+        at = np.flatnonzero(marks).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(low)]).dictionary_encode()
+        found = list(map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which, ids = words.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4")
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        return out, np.diff(ends[np.searchsorted(at, places)])
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

@@ -27,6 +27,46 @@ def test_words_encode_like_whole_texts(plain):
     assert len(memo) <= 301
 
 
+def parts(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return data, np.cumsum([0, *map(len, texts)])
+
+
+def test_texts_encode_together_like_one_by_one(plain):
+    import random
+
+    r, memo = random.Random(2), WordIds(tokenizer_path(), limit=300)
+    pool = "abcXYZéÉÁáßİıſKÅÃÌ×÷'’.,!?<|>end 0123 \t\ń̇̌J　中😀Σσςǅ_#%-@ \x1c"
+    ends = ["", "<|endoftext|>.", "<|ENDOFTEXT|>", "É" * 40 + ".", "x" * 64 + "!", "<", "|", "Don't."]
+    for size in [0, 1, 2] + [40] * 60:
+        texts = [("".join(r.choice(pool) for _ in range(r.randint(0, 14))) + r.choice(ends)).encode() for _ in range(size)]
+        ids, n = memo.texts(*parts(texts))
+        want = [plain(t.decode())[:-1] for t in texts]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w.tolist()]
+    assert len(memo) <= 301
+
+
+def test_texts_look_up_a_word_once():
+    """Capitals and closing punctuation make no entries of their own."""
+    memo = WordIds(tokenizer_path())
+    memo.texts(*parts([f"{w}{end}".encode() for w in ("Wort", "wort", "WORT", "avió", "Avió") for end in ("", ",", ".", "!?")]))
+    assert sorted(memo) == sorted(w.encode() for w in ("wort", "avió", ",", ".", "!?"))
+
+
+def test_slices_keep_whole_texts_in_order(spark, prose, plain, monkeypatch):
+    monkeypatch.setattr(rans, "SLICE", 700)
+    texts = dict(map(tuple, prose.collect())) | {900: None, 901: "", 902: "Ä" * 3000 + " end", 903: " \n" * 2000, 904: "a. " * 999}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = rans.tokenized(docs, tokenizer_path()).collect()
+    alone = rans.tokenized(docs.where("doc_id IN (900, 901)"), tokenizer_path()).collect()
+    assert [(r["n_tokens"], r["order"]) for r in alone] == [(1, zlib.crc32(plain("").tobytes()))] * 2
+    assert len(got) == len(texts)
+    for row in got:
+        ids = plain(texts[row["doc_id"]])
+        assert (row["n_tokens"], bytes(row["ids"]), row["order"]) == (len(ids), ids.astype("<u2").tobytes(), zlib.crc32(ids.tobytes()))
+
+
 @pytest.mark.parametrize("skew", [0.0, 0.9])
 def test_blocks_round_trip_and_start_anywhere(skew):
     r = np.random.default_rng(3)
