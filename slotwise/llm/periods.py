@@ -248,9 +248,10 @@ def fragments(tile_rows: DataFrame) -> DataFrame:
             if out:
                 yield record(FRAGMENT, dict(zip(FRAGMENT.names, zip(*out))))
 
-    # As many tasks as the tiles' bytes ask for: they are small for the work they are, so sizes of partitions mislead.
+    # As many tasks as the tiles' bytes ask for, and one a core: they are small for the work they are, so sizes of partitions mislead.
     size = tile_rows.agg(F.sum(F.octet_length("ids") + F.octet_length("bounds"))).first()[0] or 0
-    dealt = tile_rows.select(*KEY, "octave", "first", "bounds", "ids").repartition(1 + size // TASK_BYTES, *KEY, "octave", "first")
+    tasks = max(tile_rows.sparkSession.sparkContext.defaultParallelism, 1 + size // TASK_BYTES)
+    dealt = tile_rows.select(*KEY, "octave", "first", "bounds", "ids").repartition(tasks, *KEY, "octave", "first")
     return dealt.mapInArrow(run, "doc_id long, print long, period long, start long, stop long")
 
 
